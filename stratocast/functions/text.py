@@ -21,6 +21,11 @@ WORD = f"[^{SPACE}]+"
 _TOKEN = r"(?<![a-z0-9])(?!(?:" + "|".join(STOPWORDS) + r")(?![a-z0-9]))[a-z0-9]+"
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate `value` once for an expression that reads it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """White-space words, [] for empty text."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -48,11 +53,13 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def occurrences(items: Column) -> Column:
     """Number equal items 0, 1, ... so that a multiset becomes a set."""
-    ordered = F.array_sort(items)
-    return F.transform(
-        ordered,
-        lambda x, i: F.concat(x, F.lit("\x01"), (i - F.array_position(ordered, x)).cast("string")),
-    )
+
+    def number(ordered: Column) -> Column:
+        return F.transform(
+            ordered, lambda x, i: F.concat(x, F.lit("\x01"), (i - F.array_position(ordered, x)).cast("string"))
+        )
+
+    return bind(F.array_sort(items), number)
 
 
 def f1_from_sizes(overlap: Column, size_a: Column, size_b: Column) -> Column:

@@ -48,7 +48,8 @@ def _jaccard(a: Column, b: Column) -> Column:
 
 
 def _clamp(mean: Column) -> Column:
-    return F.coalesce(F.least(F.lit(HIGHEST), F.greatest(F.lit(LOWEST), mean)), F.lit(NEUTRAL))
+    # greatest and least pass over NULL, so "no pair" is asked first.
+    return F.when(mean.isNull(), F.lit(NEUTRAL)).otherwise(F.least(F.lit(HIGHEST), F.greatest(F.lit(LOWEST), mean)))
 
 
 def agreement_of(texts: Column) -> Column:
