@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratocast.functions.text import bind, word_count
+
 # Evaluation patterns.
 RAIN = [
     r"\b(?:rain|showers?|precipitation|wet|drizzle)\b",
@@ -52,7 +54,9 @@ def _score(text: Column, patterns: list[str]) -> Column:
 
 
 def _verdict(rain: Column, clear: Column) -> Column:
-    return F.when(rain > clear, F.lit(True)).when(clear > rain, F.lit(False))
+    # Looked up by sign, so that both scores are computed once.
+    outcomes = F.array(F.lit(False), F.lit(None).cast("boolean"), F.lit(True))
+    return F.get(outcomes, F.signum(rain - clear).cast("int") + 1)
 
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
@@ -75,7 +79,9 @@ def _range(text: Column, patterns: list[str]) -> Column:
         F.struct(_number(text, patterns[0], 1).alias("lo"), _number(text, patterns[0], 2).alias("hi")),
     )
     single = F.coalesce(*[_number(text, p) for p in patterns[1:]])
-    around = F.when(single.isNotNull(), F.struct((single - 2.0).alias("lo"), (single + 2.0).alias("hi")))
+    around = bind(
+        single, lambda t: F.when(t.isNotNull(), F.struct((t - 2.0).alias("lo"), (t + 2.0).alias("hi")))
+    )
     return F.coalesce(first, around)
 
 
@@ -107,8 +113,6 @@ def midpoint(bounds: Column) -> Column:
 
 def reward_features(text: Column) -> Column:
     """Struct of the features the reward rules read."""
-    from stratocast.functions.text import word_count
-
     low = F.lower(text)
     rain = _verdict(_score(low, REWARD_RAIN), _score(low, REWARD_CLEAR))
     bounds = _range(text, REWARD_TEMPERATURE)
@@ -118,5 +122,5 @@ def reward_features(text: Column) -> Column:
         bounds.alias("temperature_range"),
         sum(hedges[1:], hedges[0]).alias("confidence_score"),
         word_count(text).alias("text_length"),
-        (bounds.isNotNull() | rain.isNotNull()).alias("has_specifics"),
+        ((bounds.isNotNull().cast("int") + rain.isNotNull().cast("int")) > 0).alias("has_specifics"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratocast.functions.text import SPACE, word_count
+from stratocast.functions.text import even_space, word_count
 
 # Default weights and the terms of professional style.
 WEIGHTS = {"accuracy": 0.4, "style": 0.2, "calibration": 0.2, "consistency": 0.2}
@@ -60,8 +60,8 @@ def accuracy_reward(features: Column, observed: Column) -> Column:
     return F.when(checks > 0, F.greatest(F.lit(0.0), total / F.nullif(checks, F.lit(0)))).otherwise(F.lit(0.5))
 
 
-def style_reward(text: Column) -> Column:
-    n = word_count(text)
+def style_reward(text: Column, n: Column | None = None) -> Column:
+    n = word_count(text) if n is None else n
     length = (
         F.when(n < 10, n / 10.0)
         .when(n > 50, F.greatest(F.lit(0.0), F.lit(1.0) - (n - 50) / 50.0))
@@ -70,7 +70,8 @@ def style_reward(text: Column) -> Column:
     low = F.lower(text)
     hits = [F.contains(low, F.lit(t)).cast("int") for t in STYLE_TERMS]
     terms = F.least(F.lit(1.0), sum(hits[1:], hits[0]) / 5.0)
-    closed = F.rlike(text, F.lit(rf"[.!?][{SPACE}]*\z"))
+    tail = F.right(F.rtrim(even_space(text)), F.lit(1))
+    closed = tail.isin(".", "!", "?")
     structure = (
         F.lit(1.0)
         - F.when(closed, F.lit(0.0)).otherwise(F.lit(0.2))
@@ -103,7 +104,8 @@ def composite_reward(
     """
     w = normalize_weights(**(weights or {}))
     accuracy = F.lit(0.5) if observed is None else F.coalesce(accuracy_reward(features, observed), F.lit(0.5))
-    style, calibration, consistency = style_reward(text), calibration_reward(features), consistency_reward(features)
+    style = style_reward(text, features["text_length"])
+    calibration, consistency = calibration_reward(features), consistency_reward(features)
     total = (
         F.lit(w["accuracy"]) * accuracy
         + F.lit(w["style"]) * style

@@ -15,8 +15,12 @@ from pyspark.sql.types import DoubleType
 STOPWORDS = ["a", "an", "and", "are", "by", "for", "in", "is", "of", "the", "to", "with"]
 
 # What str.split() takes for white space, as the inside of a character class.
-SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WORD = f"[^{SPACE}]+"
+SPACE = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# The same class for Java, with one test for all but the Latin characters.
+_SPACE = (
+    r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+)
 # One lower-case metric token that is no stopword.
 _TOKEN = r"(?<![a-z0-9])(?!(?:" + "|".join(STOPWORDS) + r")(?![a-z0-9]))[a-z0-9]+"
 
@@ -26,13 +30,23 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def even_space(text: Column) -> Column:
+    """Every white space character as a plain blank."""
+    return F.regexp_replace(text, _SPACE, " ")
+
+
+def _pieces(text: Column, separator: str) -> Column:
+    # Non-empty parts; separators are one plain character, which splits without a regex.
+    return F.array_remove(F.split(text, separator if separator == " " else "\\" + separator), "")
+
+
 def words(text: Column) -> Column:
     """White-space words, [] for empty text."""
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return _pieces(even_space(text), " ")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD))
+    return F.size(words(text))
 
 
 def metric_tokens(text: Column) -> Column:
@@ -44,6 +58,10 @@ def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams in order; [] when there are fewer than n tokens."""
     if n == 1:
         return tokens
+    if n == 2:
+        rest = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - F.lit(1), F.lit(0)))
+        firsts = F.slice(tokens, F.lit(1), F.size(rest))
+        return F.zip_with(firsts, rest, lambda x, y: F.concat(x, F.lit(" "), y))
     starts = F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0)))
     return F.transform(
         starts,
@@ -59,19 +77,32 @@ def occurrences(items: Column) -> Column:
             ordered, lambda x, i: F.concat(x, F.lit("\x01"), (i - F.array_position(ordered, x)).cast("string"))
         )
 
-    return bind(F.array_sort(items), number)
+    return bind(F.sort_array(items), number)
+
+
+def overlap_count(items_a: Column, items_b: Column) -> Column:
+    """Size of the multiset intersection of two arrays.
+
+    When one side repeats nothing, the set intersection has that size already.
+    Pass columns, not expressions: both are read several times.
+    """
+
+    def plain(items: Column) -> Column:
+        return F.size(F.array_distinct(items)) == F.size(items)
+
+    return F.when(plain(items_a) | plain(items_b), F.size(F.array_intersect(items_a, items_b))).otherwise(
+        F.size(F.array_intersect(occurrences(items_a), occurrences(items_b)))
+    )
 
 
 def f1_from_sizes(overlap: Column, size_a: Column, size_b: Column) -> Column:
     """2PR / (P + R) of an overlap count, which is 2 * overlap / (a + b)."""
-    total = (size_a + size_b).cast("double")
-    return F.when(overlap > 0, F.lit(2.0) * overlap / total).otherwise(F.lit(0.0))
+    return F.lit(2.0) * overlap / F.greatest(size_a + size_b, F.lit(1)).cast("double")
 
 
 def overlap_f1(items_a: Column, items_b: Column) -> Column:
     """Multiset overlap F1 of two token arrays."""
-    shared = F.size(F.array_intersect(occurrences(items_a), occurrences(items_b)))
-    return f1_from_sizes(shared, F.size(items_a), F.size(items_b))
+    return f1_from_sizes(overlap_count(items_a, items_b), F.size(items_a), F.size(items_b))
 
 
 def bleu_overlap(generated_tokens: Column, reference_tokens: Column) -> Column:
@@ -90,9 +121,9 @@ def bleu4(generated_tokens: Column, reference_tokens: Column) -> Column:
     def precision_log(n: int) -> Column:
         hits = F.size(
             F.array_intersect(occurrences(ngrams(generated_tokens, n)), occurrences(ngrams(reference_tokens, n)))
-        ).cast("double")
+        )
         grams = F.greatest(size_g - F.lit(n - 1), F.lit(1)).cast("double")
-        return F.log(F.when(hits > 0, hits).otherwise(F.lit(0.1)) / grams)
+        return F.log(F.greatest(hits.cast("double"), F.lit(0.1)) / grams)
 
     shared = F.size(F.array_intersect(generated_tokens, reference_tokens))
     mean_log = sum((precision_log(n) for n in (2, 3, 4)), precision_log(1)) * F.lit(0.25)
@@ -138,12 +169,18 @@ def rouge_l_lcs(generated_tokens: pd.Series, reference_tokens: pd.Series) -> pd.
 
 
 def length_similarity(generated: Column, reference: Column) -> Column:
-    g, r = word_count(generated), word_count(reference)
+    return length_ratio(word_count(generated), word_count(reference))
+
+
+def length_ratio(g: Column, r: Column) -> Column:
     return F.lit(1.0) - F.abs(g - r) / F.greatest(g, r, F.lit(1)).cast("double")
 
 
 def vocabulary_diversity(generated: Column) -> Column:
-    lowered = words(F.lower(generated))
+    return distinct_share(words(F.lower(generated)))
+
+
+def distinct_share(lowered: Column) -> Column:
     return F.size(F.array_distinct(lowered)) / F.greatest(F.size(lowered), F.lit(1)).cast("double")
 
 
@@ -152,8 +189,9 @@ def readability(generated: Column) -> Column:
 
     Blank pieces do not count; decimal points split as well; no piece gives 0.
     """
-    pieces = F.regexp_count(generated, F.lit(f"[^.]*[^.{SPACE}][^.]*"))
-    mean = F.regexp_count(generated, F.lit(f"[^.{SPACE}]+")) / F.nullif(pieces, F.lit(0)).cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean - F.lit(15.0)) / F.lit(15.0)), F.lit(0.0)) * (
-        F.when(pieces > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    )
+    flat = even_space(generated)
+    pieces = F.size(_pieces(F.replace(flat, F.lit(" "), F.lit("")), "."))
+    spoken = F.size(_pieces(F.replace(flat, F.lit("."), F.lit(" ")), " "))
+    mean = spoken / F.greatest(pieces, F.lit(1)).cast("double")
+    # Without a piece the mean is 0, which scores 0.
+    return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean - F.lit(15.0)) / F.lit(15.0))

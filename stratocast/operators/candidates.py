@@ -39,7 +39,7 @@ def best_of(texts: Column) -> Column:
 
 
 def word_set(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(words(F.lower(text))))
+    return F.sort_array(F.array_distinct(words(F.lower(text))))
 
 
 def _jaccard(a: Column, b: Column) -> Column:

@@ -150,11 +150,12 @@ def encode_vocab(
     tokens = {f"_t{i}": words(F.coalesce(F.col(c), F.lit(""))) for i, c in enumerate(fields)}
     staged = df.withColumns(tokens)
     distinct = F.array_distinct(F.flatten(F.array(*tokens)))
-    pairs = staged.select(*identity, F.explode(distinct).alias("token"))
-    coded = scale.skew_join(pairs, vocab.select("token", "id"), "token", min_rows=min_rows)
+    pairs = staged.select(*identity, F.explode(distinct).alias("_token"))
+    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code"))
+    coded = scale.skew_join(pairs, known, "_token", min_rows=min_rows)
     # One row's own words come back together: bounded by that row's text.
     lookup = coded.groupBy(*identity).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", F.coalesce(F.col("id"), F.lit(unknown_id))))).alias("_ids")
+        F.map_from_entries(F.collect_list(F.struct("_token", F.coalesce(F.col("_code"), F.lit(unknown_id))))).alias("_ids")
     )
     joined = staged.join(lookup, list(identity), "left")
     return joined.select(

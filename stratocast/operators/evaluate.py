@@ -84,16 +84,19 @@ def score_rows(
             "_r1": text.metric_tokens(ref),
             "_gc": extract.extract_conditions(gen),
             "_rc": extract.extract_conditions(ref),
+            "_gw": text.words(F.lower(gen)),
+            "_rw": text.word_count(ref),
         }
     )
+    tokens = tokens.withColumns({"_g2": text.ngrams(F.col("_g1"), 2), "_r2": text.ngrams(F.col("_r1"), 2)})
     g1, r1, gc, rc = F.col("_g1"), F.col("_r1"), F.col("_gc"), F.col("_rc")
     gm, rm = extract.midpoint(gc["temperature_range"]), extract.midpoint(rc["temperature_range"])
     rain_pair = gc["rain"].isNotNull() & rc["rain"].isNotNull()
     columns = {
         "_rouge_1": text.rouge_n(g1, r1, 1),
-        "_rouge_2": text.rouge_n(g1, r1, 2),
-        "_length": text.length_similarity(gen, ref),
-        "_diversity": text.vocabulary_diversity(gen),
+        "_rouge_2": text.overlap_f1(F.col("_g2"), F.col("_r2")),
+        "_length": text.length_ratio(F.size("_gw"), F.col("_rw")),
+        "_diversity": text.distinct_share(F.col("_gw")),
         "_readability": text.readability(gen),
         "_rain_pair": rain_pair.cast("int"),
         "_rain_hit": F.when(rain_pair, (gc["rain"] == rc["rain"]).cast("int")).otherwise(0),
@@ -105,7 +108,7 @@ def score_rows(
     }
     scored = tokens.withColumns(columns)
     bleu_score = F.col("_rouge_1") if bleu == "overlap" else text.bleu4(g1, r1)
-    return scored.withColumn("_bleu", bleu_score).drop("_g1", "_r1", "_gc", "_rc")
+    return scored.withColumn("_bleu", bleu_score).drop("_g1", "_r1", "_gc", "_rc", "_gw", "_rw", "_g2", "_r2")
 
 
 def rain_accuracy() -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,22 +27,22 @@ HOT_ROWS = 2_000_000
 CHUNK_ROWS = 500_000
 
 
-def _seen(value: Column) -> Column:
+def _future(column: str, length: int, horizon: int) -> list[str]:
     # Means and extremes skip NaN as they skip NULL.
-    return F.nanvl(value, F.lit(None).cast("double"))
+    return [f"nanvl(_s{k}.{column}, NULL)" for k in range(length, length + horizon)]
 
 
-def _mean(values: list[Column]) -> Column:
-    total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
-    n = reduce(lambda a, b: a + b, [v.isNotNull().cast("int") for v in values])
-    return total / F.nullif(n, F.lit(0))
+def _mean(values: list[str]) -> str:
+    total = " + ".join(f"coalesce({v}, 0D)" for v in values)
+    n = " + ".join(f"int({v} IS NOT NULL)" for v in values)
+    return f"({total}) / nullif({n}, 0)"
 
 
-def _extreme(values: list[Column], pick) -> Column:
-    return pick(*values) if len(values) > 1 else values[0]
+def _extreme(values: list[str], pick: str) -> str:
+    return f"{pick}({', '.join(values)})" if len(values) > 1 else values[0]
 
 
-def _windows(rows: DataFrame, window: W, length: int, horizon: int, keep: Column | None = None) -> DataFrame:
+def _windows(rows: DataFrame, partition: str, order: str, length: int, horizon: int, keep: str = "true") -> DataFrame:
     """Every start with its input arrays and horizon aggregates.
 
     All look-aheads are offsets in one window, so the rows are shuffled and
@@ -51,36 +50,33 @@ def _windows(rows: DataFrame, window: W, length: int, horizon: int, keep: Column
     length + horizon rows *after* it, which leaves out the last full window on
     purpose.
     """
-    step = F.struct(*[F.col(c) for c in SERIES.values()])
+    step = "named_struct(" + ", ".join(f"'{c}', {c}" for c in SERIES.values()) + ")"
     ahead = length + horizon
-    out = rows.select(
-        "*",
-        *[F.lead(step, k).over(window).alias(f"_s{k}") for k in range(1, ahead)],
-        F.lead(F.lit(True), ahead).over(window).alias("_complete"),
-    ).where(F.col("_complete"))
-    if keep is not None:
-        out = out.where(keep)
-
-    def at(k: int, column: str) -> Column:
-        return F.col(column) if k == 0 else F.col(f"_s{k}")[column]
-
-    arrays = [F.array(*[at(k, column) for k in range(length)]).alias(name) for name, column in SERIES.items()]
-
-    def future(column: str) -> list[Column]:
-        return [_seen(at(k, column)) for k in range(length, ahead)]
-
-    temp, humidity = future("temperature_c"), future("humidity_pct")
-    wind, precip = future("wind_speed_kph"), future("precipitation_probability")
-    aggregates = [
-        _mean(temp).alias("avg_temp"),
-        _extreme(temp, F.greatest).alias("max_temp"),
-        _extreme(temp, F.least).alias("min_temp"),
-        _mean(humidity).alias("avg_humidity"),
-        _extreme(wind, F.greatest).alias("max_wind"),
-        _mean(precip).alias("avg_precip"),
-    ]
+    over = f"OVER (PARTITION BY {partition} ORDER BY {order})"
+    steps = [f"{step} AS _s0", *[f"lead({step}, {k}) {over} AS _s{k}" for k in range(1, ahead)]]
     carried = [c for c in rows.columns if c not in SERIES.values() and not c.startswith("_")]
-    return out.select(*carried, *arrays, *aggregates)
+    helpers = [c for c in ("_member", "_chunk") if c in rows.columns]
+    temp, humidity, wind, precip = (
+        _future(c, length, horizon)
+        for c in ("temperature_c", "humidity_pct", "wind_speed_kph", "precipitation_probability")
+    )
+    return (
+        rows.selectExpr(*carried, *helpers, *steps, f"lead(true, {ahead}) {over} AS _complete")
+        .where(f"_complete AND {keep}")
+        .selectExpr(
+            *carried,
+            *[
+                "array(" + ", ".join(f"_s{k}.{column}" for k in range(length)) + f") AS {name}"
+                for name, column in SERIES.items()
+            ],
+            f"{_mean(temp)} AS avg_temp",
+            f"{_extreme(temp, 'greatest')} AS max_temp",
+            f"{_extreme(temp, 'least')} AS min_temp",
+            f"{_mean(humidity)} AS avg_humidity",
+            f"{_extreme(wind, 'greatest')} AS max_wind",
+            f"{_mean(precip)} AS avg_precip",
+        )
+    )
 
 
 def window_features(
@@ -104,9 +100,9 @@ def window_features(
     rows = obs.where(F.col(location).isNotNull() & F.col(time).isNotNull()).select(
         location, *order, *SERIES.values()
     )
-    plain = W.partitionBy(location).orderBy(*order)
+    by_time = ", ".join(order)
     if hot_rows is None:
-        return _windows(rows, plain, length, horizon)
+        return _windows(rows, location, by_time, length, horizon)
 
     chunk_rows = max(chunk_rows, length + horizon)
     micros = F.unix_micros(F.col(time).cast("timestamp"))
@@ -116,10 +112,9 @@ def window_features(
         )
     )
     on_hot = F.col(location) == F.col("_hot")
-    cold = _windows(rows.join(hot, on_hot, "left_anti"), plain, length, horizon)
+    cold = _windows(rows.join(hot, on_hot, "left_anti"), location, by_time, length, horizon)
     chunked = _chunk(rows.join(hot, on_hot), micros, length + horizon, location, order, chunk_rows)
-    by_chunk = W.partitionBy(location, "_member").orderBy("_position")
-    warm = _windows(chunked, by_chunk, length, horizon, keep=F.col("_member") == F.col("_chunk"))
+    warm = _windows(chunked, f"{location}, _member", "_position", length, horizon, keep="_member = _chunk")
     return cold.unionByName(warm)
 
 

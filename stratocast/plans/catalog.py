@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from stratocast.functions import extract, labels, render, reward, text
 from stratocast.operators import candidates, corpus, evaluate, forecasts, gate, ingest, metriclog, rewards
 from stratocast.operators import sequences as seq
 from stratocast.plans import views as V
+from stratocast.session import prepare
 from stratocast.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +23,12 @@ MINIMUMS = {"train": 240, "val": 30, "test": 30, "extra": 1}
 
 
 def query(function: Query) -> Query:
-    CATALOG[function.__name__] = function
-    return function
+    @wraps(function)
+    def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(prepare(spark), sf_dir)
+
+    CATALOG[function.__name__] = prepared
+    return prepared
 
 
 def r6(value: Column) -> Column:

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from stratocast.functions import extract, labels, render, reward
-from stratocast.functions.text import SPACE as _SPACE
-from stratocast.functions.text import STOPWORDS
+from stratocast.functions.text import SPACE, STOPWORDS
 from stratocast.operators import forecasts, gate, ingest, metriclog
 from stratocast.operators.evaluate import FLAGS, OVERALL, VERDICTS
 from stratocast.plans.catalog import MADE_AT, MINIMUMS
 
-# The engine's \s lacks the vertical tab.
-SPACE = _SPACE + r"\x{0b}"
 WORD = f"[^{SPACE}]+"
 
 

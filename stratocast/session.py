@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+# Read by PySpark once per process, so it has to be set before the first column call.
+_TRACES = "spark.python.sql.dataFrameDebugging.enabled"
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and the bench; on a cluster use the session that is given."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("stratocast")
         .config("spark.ui.enabled", "false")
+        .config(_TRACES, "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -22,7 +27,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """All times are UTC; set it on a session that was made elsewhere."""
+    """All times are UTC, and plans are built without a stack trace per column call."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(_TRACES, "true") != "false":
+        spark.conf.set(_TRACES, "false")
     return spark
