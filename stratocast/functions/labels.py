@@ -96,7 +96,7 @@ def _choose(templates: list[str], pick: Column, values: dict[str, Column]) -> Co
     return chosen.otherwise(_fill(templates[-1], values))
 
 
-def templated_bulletin(
+def bulletin_parts(
     *,
     avg_temp: Column,
     min_temp: Column,
@@ -106,32 +106,37 @@ def templated_bulletin(
     avg_precip: Column,
     identity: list[Column],
     seed: int = 42,
-) -> Column:
-    """One of the condition's sentences, then timing and wind sentences if due.
+) -> dict[str, Column]:
+    """What a templated bulletin is made of; add these columns first, then `templated_bulletin`.
 
-    The choice hashes (seed, identity), where an unseeded draw would change
-    from run to run.
+    The choices hash (seed, identity), where an unseeded draw would change
+    from run to run. A choice of NULL leaves its sentence out.
     """
-    values = {
+    return {
         "temp_desc": temp_band(avg_temp),
         "temp_range": F.concat(fixed_text(min_temp, 0), F.lit("-"), fixed_text(max_temp, 0)),
         "wind_speed": fixed_text(max_wind, 0),
         "precip_desc": precip_band(avg_precip),
+        "condition": condition_class(avg_precip, max_wind, avg_humidity),
+        "main": seeded_pick(3, seed, "main", *identity),
+        "timing": F.when(steady(avg_precip) > 0.3, seeded_pick(4, seed, "timing", *identity)),
+        "wind": F.when(max_wind > 20, seeded_pick(3, seed, "wind", *identity)),
     }
-    condition = condition_class(avg_precip, max_wind, avg_humidity)
-    main_pick = seeded_pick(3, seed, "main", *identity)
+
+
+def templated_bulletin(parts: dict[str, Column]) -> Column:
+    """One of the condition's sentences, then the chosen timing and wind sentences."""
     main = None
     for name, templates in TEMPLATES.items():
-        text = _choose(templates, main_pick, values)
-        main = F.when(condition == name, text) if main is None else main.when(condition == name, text)
-    timing = F.when(
-        steady(avg_precip) > 0.3,
-        F.concat(F.lit(" "), _choose(TIMING, seeded_pick(4, seed, "timing", *identity), values)),
-    ).otherwise("")
-    wind = F.when(
-        max_wind > 20, F.concat(F.lit(" "), _choose(WIND, seeded_pick(3, seed, "wind", *identity), values))
-    ).otherwise("")
-    return F.concat(main, timing, wind)
+        text = _choose(templates, parts["main"], parts)
+        here = parts["condition"] == name
+        main = F.when(here, text) if main is None else main.when(here, text)
+
+    def sentence(name: str, templates: list[str]) -> Column:
+        chosen = F.concat(F.lit(" "), _choose(templates, parts[name], parts))
+        return F.when(parts[name].isNotNull(), chosen).otherwise("")
+
+    return F.concat(main, sentence("timing", TIMING), sentence("wind", WIND))
 
 
 def deterministic_bulletin(

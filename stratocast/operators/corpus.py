@@ -143,25 +143,29 @@ def encode_vocab(
 ) -> DataFrame:
     """Add ARRAY<INT> word ids, `columns` maps a text column to its id column.
 
-    Only (row, distinct word) pairs travel to the vocabulary and back. Frequent
-    words meet it by broadcast, all others by a shuffle on the word.
+    Words travel to the vocabulary and back with their place in the row.
+    Frequent words meet it by broadcast, all others by a shuffle on the word.
     """
     fields = list(columns)
-    tokens = {f"_t{i}": words(F.coalesce(F.col(c), F.lit(""))) for i, c in enumerate(fields)}
-    staged = df.withColumns(tokens)
-    distinct = F.array_distinct(F.flatten(F.array(*tokens)))
-    pairs = staged.select(*identity, F.explode(distinct).alias("_token"))
-    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code"))
-    coded = scale.skew_join(pairs, known, "_token", min_rows=min_rows)
-    # One row's own words come back together: bounded by that row's text.
-    lookup = coded.groupBy(*identity).agg(
-        F.map_from_entries(F.collect_list(F.struct("_token", F.coalesce(F.col("_code"), F.lit(unknown_id))))).alias("_ids")
-    )
-    joined = staged.join(lookup, list(identity), "left")
-    return joined.select(
-        *df.columns,
+    sides = F.array(
         *[
-            F.transform(F.col(t), lambda w: F.element_at(F.col("_ids"), w)).alias(columns[c])
-            for t, c in zip(tokens, fields)
-        ],
+            F.struct(F.lit(i).alias("field"), words(F.coalesce(F.col(c), F.lit(""))).alias("words"))
+            for i, c in enumerate(fields)
+        ]
+    )
+    placed = (
+        df.select(*identity, F.explode(sides).alias("_side"))
+        .select(*identity, F.col("_side.field").alias("_field"), F.posexplode("_side.words").alias("_at", "_token"))
     )
+    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code"))
+    coded = scale.skew_join(placed, known, "_token", min_rows=min_rows)
+    # One row's own words come back together: bounded by that row's text.
+    entry = F.struct("_field", "_at", F.coalesce(F.col("_code"), F.lit(unknown_id)).alias("code"))
+    lists = coded.groupBy(*identity).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+
+    def ids(i: int) -> Column:
+        own = F.filter("_entries", lambda e: e["_field"] == i)["code"] if len(fields) > 1 else F.col("_entries.code")
+        return F.coalesce(own, F.array().cast("array<int>"))
+
+    joined = df.join(lists, list(identity), "left")
+    return joined.select(*df.columns, *[ids(i).alias(columns[c]) for i, c in enumerate(fields)])

@@ -209,19 +209,10 @@ def with_templated_bulletin(
         for c, t in seq.dtypes
         if c == location or c in order
     ]
-    return seq.withColumn(
-        name,
-        labels.templated_bulletin(
-            avg_temp=F.col("avg_temp"),
-            min_temp=F.col("min_temp"),
-            max_temp=F.col("max_temp"),
-            avg_humidity=F.col("avg_humidity"),
-            max_wind=F.col("max_wind"),
-            avg_precip=F.col("avg_precip"),
-            identity=identity,
-            seed=seed,
-        ),
-    )
+    horizon = {c: F.col(c) for c in HORIZON}
+    parts = {f"_{k}": v for k, v in labels.bulletin_parts(**horizon, identity=identity, seed=seed).items()}
+    text = labels.templated_bulletin({k[1:]: F.col(k) for k in parts})
+    return seq.withColumns(parts).withColumn(name, text).drop(*parts)
 
 
 def with_bulletin(seq: DataFrame, name: str = "target") -> DataFrame:

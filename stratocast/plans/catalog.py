@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratocast.functions import extract, labels, render, reward, text
 from stratocast.operators import candidates, corpus, evaluate, forecasts, gate, ingest, metriclog, rewards
 from stratocast.operators import sequences as seq
+from stratocast.operators.scale import stored
 from stratocast.plans import views as V
 from stratocast.session import prepare
 from stratocast.sources import files
@@ -264,7 +265,7 @@ def concat_example(spark, sf):
 
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.corpus(spark, sf).select("sample_id", "prompt", "response")
+    c = stored(V.corpus(spark, sf).select("sample_id", "prompt", "response"))
     vocab = corpus.build_vocab(c, ["prompt", "response"])
     return corpus.encode_vocab(c, ["sample_id"], {"prompt": "prompt_ids", "response": "response_ids"}, vocab)
 
@@ -276,7 +277,7 @@ def build_vocab(spark, sf):
 
 @query
 def encode_vocab(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", "text")
+    d = V.spread(V.table(spark, sf, "documents").select("doc_id", "text"))
     coded = corpus.encode_vocab(d, ["doc_id"], {"text": "ids"}, corpus.build_vocab(d, ["text"]))
     return coded.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
@@ -546,13 +547,14 @@ def response_table(spark, sf):
 
 
 def _gated(spark: SparkSession, sf: str) -> DataFrame:
-    made = files.normalize_predictions(V.prediction_records(spark, sf), F.col("position"))
-    return gate.gate_rows(gate.attach_predictions(V.quality_cases(spark, sf), made))
+    p = stored(V.predictions(spark, sf))
+    made = files.normalize_predictions(V.prediction_records(p), F.col("position"))
+    return gate.gate_rows(gate.attach_predictions(V.quality_cases(p), made))
 
 
 @query
 def normalize_predictions(spark, sf):
-    return files.normalize_predictions(V.prediction_records(spark, sf), F.col("position"))
+    return files.normalize_predictions(V.prediction_records(V.predictions(spark, sf)), F.col("position"))
 
 
 @query

@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a heavy projection at least one partition per core.
+
+    A table of a few small files is one task otherwise; a large table has more
+    partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _scaled(expression: Column, divisor: int) -> Column:
     return expression.cast("double") / F.lit(float(divisor))
 
@@ -153,7 +163,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the one of the next id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
     return d.join(following, "doc_id")
 
@@ -233,9 +243,8 @@ def attempted_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("run"), i.alias("step"), error.alias("error"))
 
 
-def quality_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every window as a quality case of its horizon text."""
-    p = predictions(spark, sf_dir)
+def quality_cases(p: DataFrame) -> DataFrame:
+    """Every prediction as a quality case of its horizon text."""
     return p.select(
         F.col("sample_id").cast("string").alias("id"),
         "location",
@@ -247,9 +256,8 @@ def quality_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def prediction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two list entries per window; empty texts and duplicates included."""
-    p = predictions(spark, sf_dir)
+def prediction_records(p: DataFrame) -> DataFrame:
+    """Two list entries per prediction; empty texts and duplicates included."""
     cloudy = F.col("generated_forecast").startswith("Cloudy")
     none = F.lit(None).cast("string")
     first = F.struct(

@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 # Read by PySpark once per process, so it has to be set before the first column call.
 _TRACES = "spark.python.sql.dataFrameDebugging.enabled"
 
+# Generated methods above this size are not compiled by the JVM; split projections instead.
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and the bench; on a cluster use the session that is given."""
@@ -27,9 +30,10 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """All times are UTC, and plans are built without a stack trace per column call."""
+    """All times are UTC, plans are built without a stack trace per column call, wide projections stay compiled."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     if spark.conf.get(_TRACES, "true") != "false":
         spark.conf.set(_TRACES, "false")
+    spark.conf.set(_METHOD_LIMIT, "8000")
     return spark

@@ -19,7 +19,7 @@ from stratocast.schemas import HOURLY_BLOCK
 def checkpoint_location(spark: SparkSession, name: str, given: str | None = None) -> str:
     """A folder for a query's progress: the given one, else one in the session's shared checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if given is None and root is None:
+    if not given and not root:
         raise ValueError("no checkpoint folder: give one or set spark.checkpoint.dir")
     return given or f"{root.rstrip('/')}/{name}"
 
