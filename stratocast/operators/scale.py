@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # A rank histogram has 16**RANK_DIGITS rows at most, whatever the data size.
@@ -101,14 +100,11 @@ def hash_key(seed: int, *identity: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in identity]))
 
 
-def _histogram(df: DataFrame, bucket: Column) -> DataFrame:
-    # One row per key prefix, so the window below sees at most 16**RANK_DIGITS rows.
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        df.groupBy(bucket.alias("_bucket"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    )
+def _histogram(keys: DataFrame) -> DataFrame:
+    # One row per key prefix, so the windows here see at most 16**RANK_DIGITS rows.
+    before = "sum(_n) OVER (ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    counts = keys.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.selectExpr("*", f"coalesce({before}, 0) AS _before", "sum(_n) OVER () AS _total")
 
 
 def global_rank(df: DataFrame, key: Column, name: str = "rank", digits: int = RANK_DIGITS) -> DataFrame:
@@ -117,17 +113,10 @@ def global_rank(df: DataFrame, key: Column, name: str = "rank", digits: int = RA
     Rows are numbered inside their key prefix and shifted by the count of all
     smaller prefixes.
     """
-    bucket = F.substring(F.col("_key"), 1, digits)
-    keyed = df.withColumn("_key", key)
-    shift = F.broadcast(_histogram(keyed, bucket).select("_bucket", "_before"))
-    within = F.row_number().over(W.partitionBy("_bucket").orderBy("_key"))
-    return (
-        keyed.withColumn("_bucket", bucket)
-        .withColumn("_within", within)
-        .join(shift, "_bucket")
-        .withColumn(name, F.col("_before") + F.col("_within"))
-        .select(*df.columns, name)
-    )
+    keyed = df.withColumn("_key", key).withColumn("_bucket", F.expr(f"substring(_key, 1, {digits})"))
+    shift = F.broadcast(_histogram(keyed.select("_bucket")).select("_bucket", "_before"))
+    within = keyed.selectExpr("*", "row_number() OVER (PARTITION BY _bucket ORDER BY _key) AS _within")
+    return within.join(shift, "_bucket").select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))
 
 
 def rank_cuts(df: DataFrame, key: Column, shares: list[float], digits: int = RANK_DIGITS) -> Column:
@@ -137,31 +126,14 @@ def rank_cuts(df: DataFrame, key: Column, shares: list[float], digits: int = RAN
     merely counted. Share sizes are floor(n * share); an empty leading part
     has the cut ''.
     """
-    bucket = F.substring(F.col("_key"), 1, digits)
-    keys = df.select(key.alias("_key"))
-    hist = _histogram(keys, bucket).withColumn("_total", F.sum("_n").over(W.partitionBy(F.lit(1))))
-    ends: list[Column] = []
-    for share in shares:
-        size = F.floor(F.col("_total") * F.lit(share))
-        ends.append(size if not ends else ends[-1] + size)
-    for i, end in enumerate(ends):
-        hist = hist.withColumn(f"_end{i}", end)
-    holds = [(F.col("_before") < F.col(f"_end{i}")) & (F.col(f"_end{i}") <= F.col("_before") + F.col("_n")) for i in range(len(ends))]
-    any_cut = holds[0]
-    for h in holds[1:]:
-        any_cut = any_cut | h
-    cut_buckets = hist.where(any_cut)
-    ranked = (
-        keys.withColumn("_bucket", bucket)
-        .join(F.broadcast(cut_buckets), "_bucket")
-        .withColumn("_rank", F.col("_before") + F.row_number().over(W.partitionBy("_bucket").orderBy("_key")))
-    )
-    cuts = ranked.agg(
-        F.struct(
-            *[
-                F.coalesce(F.max(F.when(F.col("_rank") == F.col(f"_end{i}"), F.col("_key"))), F.lit("")).alias(f"c{i}")
-                for i in range(len(ends))
-            ]
-        ).alias("cuts")
+    keys = df.select(key.alias("_key")).selectExpr("_key", f"substring(_key, 1, {digits}) AS _bucket")
+    cuts = range(len(shares))
+    sizes = [f"floor(_total * {share!r}D)" for share in shares]
+    ends = [" + ".join(sizes[: i + 1]) + f" AS _end{i}" for i in cuts]
+    holds = " OR ".join(f"(_before < _end{i} AND _end{i} <= _before + _n)" for i in cuts)
+    cut_buckets = _histogram(keys).selectExpr("*", *ends).where(holds)
+    ranked = keys.join(F.broadcast(cut_buckets), "_bucket").selectExpr(
+        "*", "_before + row_number() OVER (PARTITION BY _bucket ORDER BY _key) AS _rank"
     )
-    return cuts.scalar()
+    found = ", ".join(f"coalesce(max(if(_rank = _end{i}, _key, NULL)), '') AS c{i}" for i in cuts)
+    return ranked.selectExpr(f"struct({found}) AS cuts").scalar()

@@ -22,6 +22,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small data, many operations per row: keep all cores busy after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.driver.memory", extra.pop("driver_memory", "8g"))
     )
     for key, value in extra.items():
