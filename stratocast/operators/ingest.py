@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratocast.operators.scale import skew_join
 from stratocast.schemas import BLOCK_ARRAYS, MEASURES, OBSERVATION
 
 # The city dimension, in order; training takes the first five.
@@ -153,11 +154,14 @@ def enrich_locations(df: DataFrame, dim: DataFrame | None = None, name: str = "l
     """Add the country and coordinates of known cities.
 
     Without `dim` the fixed ten-city table is broadcast; a given dimension
-    joins by its own size.
+    (unique on `name`) is looked up safely for locations with many rows.
     """
-    known = F.broadcast(location_dim(df.sparkSession)) if dim is None else dim
-    columns = [c for c in known.columns if c != "name"]
-    return df.drop(*columns).join(known.withColumnRenamed("name", name), name, "left")
+    known = location_dim(df.sparkSession) if dim is None else dim
+    known = known.withColumnRenamed("name", name)
+    facts = df.drop(*[c for c in known.columns if c != name])
+    if dim is None:
+        return facts.join(F.broadcast(known), name, "left")
+    return skew_join(facts, known, name)
 
 
 def readiness_report(df: DataFrame, minimums: dict[str, int], split: str = "split") -> DataFrame:

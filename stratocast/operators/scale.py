@@ -78,8 +78,11 @@ def skew_join(
         .select("_hot_key", F.struct(*values, F.lit(True).alias("_hit")).alias("_hot"))
     )
     cold_dim = dim.select(F.col(key).alias("_cold_key"), F.struct(*values, F.lit(True).alias("_hit")).alias("_cold"))
+    # Row content spreads served rows; the partition number does so for equal rows, and stays the same in a retry.
     plain = [F.col(c) for c, t in facts.dtypes if "map<" not in t]
-    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*plain), F.lit(1 << 20)).cast("string"))
+    spread = F.concat(
+        F.lit("\x00"), F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(1 << 20)).cast("string")
+    )
     tagged = facts.join(F.broadcast(hot_dim), F.col(key) == F.col("_hot_key"), "left").withColumn(
         "_join_key", F.when(F.col("_hot_key").isNull(), F.col(key).cast("string")).otherwise(spread)
     )

@@ -141,6 +141,19 @@ def test_skew_join_equals_join(spark):
             assert sorted(map(tuple, scale.skew_join(facts, dim, "k", how, min_rows=min_rows).select("id", "k", "v").collect())) == plain
 
 
+def test_skew_join_spreads_equal_rows(spark):
+    facts = spark.range(0, 4000, 1, 8).select(F.lit("hot").alias("k"))
+    dim = spark.createDataFrame([("hot", 1), ("x", 2)], "k string, v int")
+    out = scale.skew_join(facts, dim, "k", min_rows=10)
+    assert out.where("v = 1").count() == 4000
+
+
+def test_stored_reads_back(spark):
+    df = spark.createDataFrame([(1, ["a"]), (2, None)], "id int, tags array<string>")
+    kept = scale.stored(df)
+    assert kept.schema == df.schema and sorted(kept.collect()) == sorted(df.collect())
+
+
 def test_training_arrays(spark):
     df = spark.createDataFrame([(1, [5, 6], [7]), (2, [1, 2, 3], [4, 5, 6])], "id int, prompt_ids array<int>, response_ids array<int>")
     got = {r["id"]: r for r in corpus.response_only_arrays(df, 5, 0).collect()}

@@ -62,6 +62,9 @@ def test_locations(spark):
     assert ingest.location_dim(spark).count() == 10 and ingest.location_dim(spark, training_only=True).count() == 5
     got = ingest.enrich_locations(spark.createDataFrame([("Cairo",), ("X",)], "location_name string")).orderBy("location_name").collect()
     assert got[0]["country"] == "Egypt" and got[1]["country"] is None
+    dim = spark.createDataFrame([("X", "Nowhere")], "name string, country string")
+    own = ingest.enrich_locations(spark.createDataFrame([("Cairo",), ("X",)], "location_name string"), dim)
+    assert {tuple(r) for r in own.collect()} == {("Cairo", None), ("X", "Nowhere")}
 
 
 def test_readiness(spark):
