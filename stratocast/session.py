@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-# Read by PySpark once per process, so it has to be set before the first column call.
+# A static setting, so it belongs where a session is made: no stack trace per column call while planning.
 _TRACES = "spark.python.sql.dataFrameDebugging.enabled"
 
 # Generated methods above this size are not compiled by the JVM; split projections instead.
@@ -32,10 +32,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **extra:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """All times are UTC, plans are built without a stack trace per column call, wide projections stay compiled."""
+    """All times are UTC, and wide projections stay compiled; for a session that was made elsewhere."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if spark.conf.get(_TRACES, "true") != "false":
-        spark.conf.set(_TRACES, "false")
     spark.conf.set(_METHOD_LIMIT, "8000")
     return spark
