@@ -6,9 +6,6 @@ task, and whatever they broadcast is bounded by construction.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,25 +17,6 @@ HEAVY_LIMIT = 10_000
 HEAVY_ROWS = 1_000_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a costly intermediate once and read it back, so that several uses do not recompute it.
-
-    It goes to the shared folder of spark.checkpoint.dir, where it outlives
-    lost executors and where each use reads its own columns only. Without that
-    folder a local session takes a temporary one; on a cluster the plan is
-    left as it is.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            return df
-        root = tempfile.mkdtemp(prefix="stratocast-")
-    path = f"{root.rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def heavy_keys(
     df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, limit: int = HEAVY_LIMIT, **extra: Column
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratocast.functions import extract, labels, render, reward, text
 from stratocast.operators import candidates, corpus, evaluate, forecasts, gate, ingest, metriclog, rewards
 from stratocast.operators import sequences as seq
-from stratocast.operators.scale import stored
+from stratocast.storage import stored
 from stratocast.plans import views as V
 from stratocast.session import prepare
 from stratocast.sources import files

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratocast.functions import labels
 from stratocast.operators import corpus, scale
 from stratocast.operators import sequences as seq
+from stratocast.storage import stored
 
 SCHEMA = (
     "location_name string, datetime timestamp, event_id bigint, temperature_c double, humidity_pct double, "
@@ -150,7 +151,7 @@ def test_skew_join_spreads_equal_rows(spark):
 
 def test_stored_reads_back(spark):
     df = spark.createDataFrame([(1, ["a"]), (2, None)], "id int, tags array<string>")
-    kept = scale.stored(df)
+    kept = stored(df)
     assert kept.schema == df.schema and sorted(kept.collect()) == sorted(df.collect())
 
 
