@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import mixing
+from stratocast.llm import mixing, toxicity
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -61,3 +61,14 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM chosen
 """
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    labels = table(spark, sf_dir, "labels").where(part != 1)
+    return toxicity.score(docs, toxicity.fit(docs, labels), threshold=0.7).select(
+        "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
