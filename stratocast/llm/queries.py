@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import mixing, toxicity
+from stratocast.llm import decontaminate, mixing, toxicity
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -72,3 +72,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels), threshold=0.7).select(
         "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items that its text holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "contaminated", "items"
+    )

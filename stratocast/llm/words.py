@@ -14,6 +14,8 @@ import numpy as np
 SLICE_BYTES = 1 << 20  # texts are worked on in slices of about this size; a longer text is a slice of its own
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+GAPS_AND_MARKS = _SPACE.copy()  # blanks and ASCII punctuation, for words of letters and digits only
+GAPS_AND_MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _BYTE = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] += np.uint64(32)
@@ -56,11 +58,14 @@ def slices(texts: list) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def word_hashes(texts: list, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts (bytes or None), and each text's first word's index, with the end."""
+def word_hashes(texts: list, lower: bool, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts (bytes or None), and each text's first word's index, with the end.
+
+    Words are runs of bytes outside `gaps`, which must hold the line feed.
+    """
     sizes = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
     data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
-    inside = ~_SPACE[data]
+    inside = ~gaps[data]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate([[0], edge])
