@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, mixing, toxicity
+from stratocast.llm import decontaminate, mixing, pii, toxicity
+
+PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -63,6 +65,13 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM ch
 """
 
 
+@query
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, key=PII_KEY).select("doc_id", "n_entities", "text")
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learned from the labelled documents that are not held out."""
