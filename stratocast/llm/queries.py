@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, mixing, pii, toxicity
+from stratocast.llm import decontaminate, mixing, near_join, pii, toxicity
 
 PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
@@ -22,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _part(n: int) -> Column:
+    """The fold of a doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def not_held_out(labels: DataFrame) -> DataFrame:
+    """The labels that toxicity may learn from."""
+    return labels.where(_part(3) != 1)
+
+
 @query
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
@@ -76,13 +86,18 @@ def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document, learned from the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    part = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
-    labels = table(spark, sf_dir, "labels").where(part != 1)
+    labels = not_held_out(table(spark, sf_dir, "labels"))
     return toxicity.score(docs, toxicity.fit(docs, labels), threshold=0.7).select(
-        "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score", "predicted"
+        "doc_id", F.coalesce(_part(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted"
     )
 
 
+@query
+def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles and the class of near copies it belongs to."""
+    return near_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items that its text holds."""
