@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, mixing, near_join, pii, toxicity
+from stratocast.llm import decontaminate, mixing, near_join, pii, toxicity, url_filter
 
 PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
@@ -75,6 +75,21 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM ch
 """
 
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url with its rule and verdict; examples are labelled by words in their hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = url_filter.host_and_path(F.col("_url"))
+    bad = F.lit(False)
+    for word in url_filter.BAD_WORDS:
+        bad = bad | F.instr("_host", word).cast("boolean")
+    labelled = pages.select(F.col("url").alias("_url")).withColumn("_host", host).withColumn("_bad", bad.cast("int"))
+    return url_filter.UrlFilter(labelled, "_url", "_bad").judge(pages, RULES).drop("url")
+
+
 @query
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by surrogates."""
