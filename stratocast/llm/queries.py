@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, mixing, near_join, pii, toxicity, url_filter
+from stratocast.llm import decontaminate, mixing, near_join, pii, toxicity, url_filter, vector_join
 
 PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
@@ -107,6 +107,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of near duplicates of the same label and their component."""
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 @query
 def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of shingles and the class of near copies it belongs to."""
