@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, mixing, near_join, pii, toxicity, url_filter, vector_join
+from stratocast.llm import decontaminate, html_text, mixing, near_join, pii, toxicity, url_filter, vector_join
 
 PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
@@ -126,3 +126,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
         "doc_id", "contaminated", "items"
     )
+
+
+@query
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(pages))
