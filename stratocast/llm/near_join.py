@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
+from stratocast.llm.bits import bit_filter, holds
 from stratocast.llm.components import components
 from stratocast.storage import stored
 
@@ -46,7 +47,6 @@ PER_BUCKET = 1 << 19  # block keys per group of the join, about
 SAMPLE = 16  # one in so many texts tells which blocks are frequent
 FREQUENT = 4  # sampled sets that share a frequent block
 GROUP = 1024  # members of a block that are compared in one piece
-MAX_BITS = 1 << 26  # bound of the filter of the texts that are read again
 MAX_FREQUENT = 200_000  # frequent blocks that are sorted last; the others only cost time
 _SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -333,7 +333,8 @@ def _whole(batches, bits: np.ndarray):
     for batch in batches:
         name, data = [], []
         for a, b, ids, begin, names in _texts(batch):
-            hit = bits[names & (len(bits) - 1)] & _fresh(names, seen)
+            hit = holds(bits, names)
+            hit[hit] = _fresh(names[hit], seen)
             name += names[hit].tolist()
             data += [ids[begin[i] : begin[i + 1]].tobytes() for i in np.flatnonzero(hit)]
         yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(data, pa.binary())], ["set", "shingles"])
@@ -394,19 +395,7 @@ class NearJoin:
         """The pairs whose whole sets are similar enough; only texts of such pairs are read again."""
         pairs = stored(pairs)
         names = stored(pairs.select("a").union(pairs.select("b")).distinct())
-        size = 1024
-        while size < min(MAX_BITS, 16 * names.count()):
-            size *= 2
-        place = F.col("a").bitwiseAND(size - 1)
-        words = (
-            names.groupBy(F.shiftright(place, 5).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(a & 31 AS int))")).alias("bits"))
-            .toPandas()
-        )
-        packed = np.zeros(size // 32, np.uint32)
-        packed[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-        bits = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
-        shared = self.spark.sparkContext.broadcast(bits)  # MAX_BITS at most
+        shared = self.spark.sparkContext.broadcast(bit_filter(names, "a", names.count()))
         read = self.texts.select("_bytes").mapInArrow(lambda b: _whole(b, shared.value), "set bigint, shingles binary")
         whole = stored(read.join(names, read["set"] == names["a"], "left_semi").groupBy("set").agg(F.max("shingles").alias("x")))
         met = pairs.join(whole.select(F.col("set").alias("a"), F.col("x").alias("xa")), "a").join(

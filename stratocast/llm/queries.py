@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, html_text, mixing, near_join, pii, toxicity, url_filter, vector_join
+from stratocast.llm import decontaminate, html_text, mixing, near_join, pii, substrings, toxicity, url_filter, vector_join
 
 PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
@@ -128,6 +128,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that stand earlier in the corpus."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
