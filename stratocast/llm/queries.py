@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, html_text, mixing, near_join, pii, substrings, toxicity, url_filter, vector_join
+from stratocast.llm import decontaminate, html_text, language_model, mixing, near_join, pii, substrings, toxicity, url_filter, vector_join
 
 PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
@@ -75,6 +75,14 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM ch
 """
 
 
+@query
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document under a neural model and under token counts of the training fold."""
+    held_out = F.coalesce(_part(10) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return language_model.LanguageModel(docs.where("NOT held_out")).score(docs)
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
