@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratocast.functions.text import bind, word_count
+from stratocast.functions.text import bind, even_space, word_count
 
 # Evaluation patterns.
 RAIN = [
@@ -65,7 +65,7 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
 
 def rain_signal(text: Column) -> Column:
     """True for rain, False for clear, NULL when the text does not decide."""
-    low = F.lower(text)
+    low = F.lower(even_space(text))
     # Any digit count: compare as double, an overlong number is simply large.
     chance = _number(low, CHANCE)
     wet = F.when(chance >= 50, F.lit(2)).otherwise(F.lit(0))
@@ -90,12 +90,12 @@ def temperature_range(text: Column) -> Column:
 
     Signs are not read and the bounds may be in either order.
     """
-    return _range(text, TEMPERATURE)
+    return _range(even_space(text), TEMPERATURE)
 
 
 def wind_speed(text: Column) -> Column:
     """First wind number; the unit is kept as written."""
-    low = F.lower(text)
+    low = F.lower(even_space(text))
     return F.coalesce(*[_number(low, p) for p in WIND])
 
 
@@ -113,6 +113,7 @@ def midpoint(bounds: Column) -> Column:
 
 def reward_features(text: Column) -> Column:
     """Struct of the features the reward rules read."""
+    text = even_space(text)
     low = F.lower(text)
     rain = _verdict(_score(low, REWARD_RAIN), _score(low, REWARD_CLEAR))
     bounds = _range(text, REWARD_TEMPERATURE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stratocast.functions.render import fixed_text
+from stratocast.functions.render import shown
 
 # The bulletin sentences per condition, timing and wind.
 TEMPLATES = {
@@ -114,8 +114,8 @@ def bulletin_parts(
     """
     return {
         "temp_desc": temp_band(avg_temp),
-        "temp_range": F.concat(fixed_text(min_temp, 0), F.lit("-"), fixed_text(max_temp, 0)),
-        "wind_speed": fixed_text(max_wind, 0),
+        "temp_range": F.concat(shown(min_temp, 0), F.lit("-"), shown(max_temp, 0)),
+        "wind_speed": shown(max_wind, 0),
         "precip_desc": precip_band(avg_precip),
         "condition": condition_class(avg_precip, max_wind, avg_humidity),
         "main": seeded_pick(3, seed, "main", *identity),
@@ -150,7 +150,7 @@ def deterministic_bulletin(
         .when(steady(humidity) >= 80, "Cloudy")
         .otherwise("Mainly dry")
     )
-    speed = fixed_text(max_wind, 0)
+    speed = shown(max_wind, 0)
     wind = (
         F.when(max_wind >= 28, F.concat(F.lit("windy with gusts near "), speed))
         .when(max_wind >= 18, F.concat(F.lit("breezy with winds around "), speed))
@@ -161,9 +161,9 @@ def deterministic_bulletin(
         F.lit(" conditions expected with "),
         band,
         F.lit(" temperatures around "),
-        fixed_text(min_temp, 0),
+        shown(min_temp, 0),
         F.lit("-"),
-        fixed_text(max_temp, 0),
+        shown(max_temp, 0),
         F.lit("C and "),
         wind,
         F.lit(" km/h."),

@@ -66,9 +66,14 @@ def fixed_text(value: Column, digits: int) -> Column:
     )
 
 
+def shown(value: Column, digits: int) -> Column:
+    """`fixed_text`, and 'nan' for a missing number, as in the corpus."""
+    return F.coalesce(fixed_text(value, digits), F.lit("nan"))
+
+
 def number_list(values: Column, digits: int) -> Column:
-    """An array of numbers as comma-separated fixed text."""
-    return F.array_join(F.transform(values, lambda v: fixed_text(v, digits)), ", ")
+    """An array of numbers as comma-separated fixed text; a missing one reads 'nan'."""
+    return F.array_join(F.transform(values, lambda v: shown(v, digits)), ", ")
 
 
 def render_prompt(

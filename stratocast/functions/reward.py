@@ -53,7 +53,7 @@ def accuracy_reward(features: Column, observed: Column) -> Column:
     error = F.abs(seen - (lo + hi) / 2.0)
     temp_check = F.when(
         lo.isNotNull() & seen.isNotNull(),
-        F.when((lo <= seen) & (seen <= hi), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - error / 10.0)),
+        F.when((lo <= seen) & (seen <= hi), F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.nanvl(F.lit(1.0) - error / 10.0, F.lit(0.0)))),
     )
     checks = rain_check.isNotNull().cast("int") + temp_check.isNotNull().cast("int")
     total = F.coalesce(rain_check, F.lit(0.0)) + F.coalesce(temp_check, F.lit(0.0))

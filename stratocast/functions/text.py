@@ -21,6 +21,7 @@ _SPACE = (
     r"[ \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
     r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 )
+SPACE_CLASS = _SPACE
 # One lower-case metric token that is no stopword.
 _TOKEN = r"(?<![a-z0-9])(?!(?:" + "|".join(STOPWORDS) + r")(?![a-z0-9]))[a-z0-9]+"
 

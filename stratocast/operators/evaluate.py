@@ -157,11 +157,15 @@ def evaluate(
     """All metrics per group (or per rollup level) in one aggregation.
 
     Rows are reduced to partial sums before the shuffle, so group sizes do not
-    matter. Brier score, reliability and resolution are constant 0.
+    matter. Brier score, reliability and resolution are constant 0. A rollup
+    has `level`, one bit per column that is rolled up, so that a null group and
+    a total can be told apart.
     """
     rows = pred if scored else score_rows(pred, bleu=bleu)
     grouped = rows.rollup(*by) if rollup else rows.groupBy(*by)
+    level = [F.grouping_id().cast("bigint").alias("level")] if rollup else []
     out = grouped.agg(
+        *level,
         F.count(F.lit(1)).alias("predictions"),
         F.avg("_bleu").alias("bleu_score"),
         F.avg("_rouge_1").alias("rouge_1_f"),
@@ -185,7 +189,9 @@ def evaluate(
     )
     zeros = [F.lit(0.0).alias(c) for c in ("brier_score", "reliability", "resolution")]
     return score_interval(
-        out.select("*", *zeros, overall.alias("overall_score")).select(*by, "predictions", *METRICS)
+        out.select("*", *zeros, overall.alias("overall_score")).select(
+            *by, *(["level"] if rollup else []), "predictions", *METRICS
+        )
     )
 
 

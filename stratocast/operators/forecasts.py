@@ -17,6 +17,7 @@ from stratocast.functions.render import (
     render_payload_prompt,
     render_prompt,
 )
+from stratocast.functions.text import SPACE_CLASS as SPACE
 from stratocast.operators import candidates
 from stratocast.operators.scale import skew_join
 from stratocast.operators.sequences import SERIES, first_l_per_location, with_persistence_bulletin
@@ -71,8 +72,12 @@ def parse_requests(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.where(F.col("reason").isNull()).drop("reason"), tagged.where(F.col("reason").isNotNull())
 
 
+def _stripped(city: Column) -> Column:
+    return F.regexp_replace(city, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def _city_key(city: Column) -> Column:
-    return F.lower(F.trim(city))
+    return F.lower(_stripped(city))
 
 
 def first_prompts(corpus: DataFrame, position: Sequence[str], location: str = "location", prompt: str = "input"):
@@ -105,7 +110,7 @@ def lookup_prompt(
 
     def from_profile(key: str) -> Column:
         series = [F.array(*[F.lit(v) for v in PROFILES[key][s]]) for s in SERIES]
-        return render_prompt(F.trim(F.col(city)), F.lit(LOCAL_TIME), *series)
+        return render_prompt(_stripped(F.col(city)), F.lit(LOCAL_TIME), *series)
 
     profile = F.lit(None).cast("string")
     for key in PROFILES:
@@ -115,15 +120,26 @@ def lookup_prompt(
     return known.withColumn(name, chat_serving(prompt) if chat else prompt).select(*requests.columns, name)
 
 
-def payload_forecast(requests: DataFrame, city: str = "city", payload: str = "weather_data") -> DataFrame:
-    """Prompt and one-sentence forecast from the payload of each request."""
+def payload_forecast(
+    requests: DataFrame,
+    city: str = "city",
+    payload: str = "weather_data",
+    corpus: DataFrame | None = None,
+    position: Sequence[str] = (),
+) -> DataFrame:
+    """Prompt and one-sentence forecast from the payload of each request.
+
+    With a `corpus`, a request without payload gets the prompt of its city.
+    """
     data = F.col(payload)
-    return requests.withColumns(
+    prompt = F.when(has_payload(data), render_payload_prompt(F.col(city), data))
+    known = requests if corpus is None else lookup_prompt(requests, corpus, position, city, "_known")
+    return known.withColumns(
         {
-            "input_prompt": F.when(has_payload(data), render_payload_prompt(F.col(city), data)),
+            "input_prompt": prompt if corpus is None else F.coalesce(prompt, F.col("_known")),
             "forecast": fallback_sentence(F.col(city), data),
         }
-    )
+    ).drop("_known")
 
 
 def generate(df: DataFrame, generator: Generator, prompt: str = "prompt") -> DataFrame:
@@ -172,9 +188,12 @@ def batch_forecast(
     order: Sequence[str] = ("datetime",),
     length: int = 4,
     model_version: str = "latest",
+    rejected: DataFrame | None = None,
 ) -> DataFrame:
     """One response per request; a failing request becomes an error row.
 
+    So do `rejected` ones (see `parse_requests`), with their reason.
+
     Inputs are the first rows of the request's location. Without a generator
     the text is the bulletin that the inputs persist. `requests` must be
     parsed; `generated_at` is a parameter so that a rerun gives the same rows.
@@ -204,7 +223,20 @@ def batch_forecast(
             "confidence_score": candidates.agreement_of(F.col("candidates")),
         }
     )
-    return response_table(chosen, generated_at, model_version, carried=[c for c in requests.columns if c == "request_id"])
+    carried = [c for c in requests.columns if c == "request_id"]
+    out = response_table(chosen, generated_at, model_version, carried)
+    return out if rejected is None else out.unionByName(rejected_responses(rejected, generated_at, model_version, carried))
+
+
+def rejected_responses(
+    rejected: DataFrame, generated_at: Column, model_version: str = "latest", carried: Sequence[str] = ("request_id",)
+) -> DataFrame:
+    """An error row for each request that could not be parsed."""
+    none = F.lit(None)
+    made = rejected.withColumns(
+        {"error": F.col("reason"), "forecast_text": none.cast("string"), "confidence_score": none.cast("double")}
+    )
+    return response_table(made, generated_at, model_version, carried)
 
 
 def iso_time(ts: Column) -> Column:

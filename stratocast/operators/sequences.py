@@ -173,14 +173,20 @@ def first_l_per_location(
 ) -> DataFrame:
     """The first `n` rows of every location as arrays, the model input at serving time.
 
+    Rows without a time are left out, as in windows; a missing precipitation
+    probability is 0.
+
     The row limit is applied before the shuffle as well, so a hot location
     sends at most `n` rows per task.
     """
     keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     step = F.struct(F.col("_rn"), *[F.col(c) for c in SERIES.values()], F.col(order[0]).alias("_time"))
     steps = F.array_sort(F.collect_list(step))
+    served = {c: F.col(c) for c in SERIES.values()}
+    served["precipitation_probability"] = F.coalesce("precipitation_probability", F.lit(0.0))
     picked = (
-        obs.where(F.col(location).isNotNull())
+        obs.where(F.col(location).isNotNull() & F.col(order[0]).isNotNull())
+        .withColumns(served)
         .withColumn("_rn", F.row_number().over(W.partitionBy(location).orderBy(*keys)))
         .where(F.col("_rn") <= n)
         .groupBy(location)

@@ -161,7 +161,9 @@ def render_prompt(spark, sf):
 
 @query
 def render_payload_prompt(spark, sf):
-    made = forecasts.payload_forecast(V.requests(spark, sf))
+    made = forecasts.payload_forecast(
+        V.requests(spark, sf), corpus=V.corpus(spark, sf), position=["datetime", "sample_id"]
+    )
     return made.select("request_id", "input_prompt")
 
 
@@ -277,20 +279,21 @@ def build_vocab(spark, sf):
 
 @query
 def encode_vocab(spark, sf):
-    d = V.spread(V.table(spark, sf, "documents").select("doc_id", "text"))
+    d = V.table(spark, sf, "documents").select("doc_id", "text")
     coded = corpus.encode_vocab(d, ["doc_id"], {"text": "ids"}, corpus.build_vocab(d, ["text"]))
     return coded.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 
 
 @query
 def response_only_arrays(spark, sf):
-    return rounded(corpus.response_only_arrays(_encoded(spark, sf).drop("prompt", "response"), 48, 0))
+    made = corpus.response_only_arrays(_encoded(spark, sf).drop("prompt", "response"), 512, 0)
+    return rounded(made.withColumn("trained", F.size(F.filter("labels", lambda x: x != -100))))
 
 
 @query
 def full_sequence_arrays(spark, sf):
     both = _encoded(spark, sf).select("sample_id", F.concat("prompt_ids", "response_ids").alias("ids"))
-    return rounded(corpus.full_sequence_arrays(both, 64, 0))
+    return rounded(corpus.full_sequence_arrays(both, 512, 0))
 
 
 # Text -----------------------------------------------------------------------
@@ -502,9 +505,9 @@ def parse_requests(spark, sf):
 
 @query
 def batch_forecast(spark, sf):
-    good, _ = forecasts.parse_requests(V.requests(spark, sf))
+    good, bad = forecasts.parse_requests(V.requests(spark, sf))
     made_at = F.to_timestamp(F.lit(MADE_AT))
-    return rounded(forecasts.batch_forecast(good, V.observations(spark, sf), made_at, order=V.ORDER))
+    return rounded(forecasts.batch_forecast(good, V.observations(spark, sf), made_at, order=V.ORDER, rejected=bad))
 
 
 def echo_generator(prompts: list[str]) -> list[list[str]]:
@@ -520,24 +523,27 @@ def echo_generator(prompts: list[str]) -> list[list[str]]:
 
 @query
 def batch_forecast_python(spark, sf):
-    good, _ = forecasts.parse_requests(V.requests(spark, sf))
+    good, bad = forecasts.parse_requests(V.requests(spark, sf))
     made_at = F.to_timestamp(F.lit(MADE_AT))
     return rounded(
-        forecasts.batch_forecast(good, V.observations(spark, sf), made_at, generator=echo_generator, order=V.ORDER)
+        forecasts.batch_forecast(
+            good, V.observations(spark, sf), made_at, generator=echo_generator, order=V.ORDER, rejected=bad
+        )
     )
 
 
 @query
 def response_table(spark, sf):
-    good, _ = forecasts.parse_requests(V.requests(spark, sf))
-    made = good.select(
+    good, bad = forecasts.parse_requests(V.requests(spark, sf))
+    both = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+    made = both.select(
         "request_id",
         "name",
         "forecast_horizon",
         "include_confidence",
         render.fallback_sentence(F.col("city"), F.col("weather_data")).alias("forecast_text"),
         ((F.col("request_id") % 10).cast("double") / 10.0).alias("confidence_score"),
-        F.when(F.col("weather_data").isNull(), F.lit("no payload")).alias("error"),
+        F.coalesce("reason", F.when(F.col("weather_data").isNull(), F.lit("no payload"))).alias("error"),
     )
     made_at = F.timestamp_micros(F.lit(1_706_769_000_000_000) + F.col("request_id") * 500_000)
     return rounded(forecasts.response_table(made, made_at))

@@ -361,7 +361,7 @@ def _overall(rouge: str, categorical: str, length: str, read: str, rain: str) ->
 def evaluation(by: list[str], rollup: bool = False) -> str:
     keys = ", ".join(by)
     group = "" if not by else f"GROUP BY ROLLUP ({keys})" if rollup else f"GROUP BY {keys}"
-    lead = keys + ", " if by else ""
+    lead = (keys + ", " if by else "") + (f"grouping_id({keys}) AS level, " if rollup else "")
     agg = f"""SELECT {lead}count(*) AS predictions, avg(rouge_1) AS bleu_score, avg(rouge_1) AS rouge_1_f,
  avg(rouge_2) AS rouge_2_f, avg(rouge_1) AS rouge_l_f,
  CAST(sum(rain_hit) AS DOUBLE) / greatest(sum(rain_pair), 1) AS rain_accuracy,
@@ -384,7 +384,7 @@ EVALUATED = [
 
 def evaluation_rounded(by: list[str], rollup: bool = False) -> str:
     columns = ", ".join(f"{r6(c)} AS {c}" for c in EVALUATED)
-    return f"SELECT {''.join(b + ', ' for b in by)}predictions, {columns} FROM ({evaluation(by, rollup)})"
+    return f"SELECT {''.join(b + ', ' for b in by)}{'level, ' if rollup else ''}predictions, {columns} FROM ({evaluation(by, rollup)})"
 
 
 def rewarded(t: str, rain: str, temp: str, w: dict[str, float]) -> str:
@@ -549,6 +549,16 @@ def _payload_prompt() -> str:
     return f"CASE WHEN has_payload THEN {text} END"
 
 
+def _city_prompt() -> str:
+    return _serving(
+        "coalesce(k.known, CASE WHEN lower(trim(city)) = 'new york' THEN " + _profile("new york") + " END, " + _profile("nairobi") + ")"
+    )
+
+
+_CITY_JOIN = """LEFT JOIN (SELECT lower(trim(location)) AS key, arg_min(input, (datetime, sample_id)) AS known FROM corpus GROUP BY 1) k
+ ON k.key = lower(trim(r.city))"""
+
+
 def _fallback() -> str:
     return (
         "CASE WHEN has_payload THEN city || ' should see temperatures near ' || coalesce(p_temperature, 'the current range')"
@@ -755,19 +765,15 @@ def oracle() -> dict[str, str]:
     q["render_prompt"] = with_ctes(
         f"SELECT event_id, {prompt('location_name', minute('datetime'))} AS prompt FROM win", "win"
     )
-    q["render_payload_prompt"] = with_ctes(f"SELECT request_id, {_payload_prompt()} AS input_prompt FROM reqs", "reqs")
+    q["render_payload_prompt"] = with_ctes(
+        f"SELECT r.request_id, coalesce({_payload_prompt()}, {_city_prompt()}) AS input_prompt FROM reqs r {_CITY_JOIN}", "reqs", "corpus"
+    )
     q["wrap_chat"] = with_ctes(
         f"""SELECT sample_id, md5({_serving('input')}) AS serving,
  md5({lit(render.CHAT_OPEN)} || input || {lit(render.CHAT_TURN)}) AS training_prompt, target || '</s>' AS training_response FROM corpus""",
         "corpus",
     )
-    q["lookup_prompt"] = with_ctes(
-        f"""SELECT r.request_id, {_serving('coalesce(k.known, CASE WHEN lower(trim(city)) = ' + "'new york'" + ' THEN ' + _profile('new york') + ' END, ' + _profile('nairobi') + ')')} AS prompt
- FROM reqs r LEFT JOIN (SELECT lower(trim(location)) AS key, arg_min(input, (datetime, sample_id)) AS known FROM corpus GROUP BY 1) k
- ON k.key = lower(trim(r.city))""",
-        "reqs",
-        "corpus",
-    )
+    q["lookup_prompt"] = with_ctes(f"SELECT r.request_id, {_city_prompt()} AS prompt FROM reqs r {_CITY_JOIN}", "reqs", "corpus")
     q["condition_mix"] = with_ctes(
         f"""SELECT {condition('avg_precip', 'max_wind', 'avg_humidity')} AS condition, count(*) AS windows,
  {r6('avg(' + count_words(_HORIZON) + ')')} AS mean_words FROM win GROUP BY 1""",
@@ -812,13 +818,13 @@ def oracle() -> dict[str, str]:
     ones = "list_transform(p || r, lambda z: 1)"
     masked = "(list_transform(p, lambda z: -100) || r)"
     q["response_only_arrays"] = with_ctes(
-        f"""SELECT sample_id, {_fit('p || r', 48, 0)} AS input_ids, {_fit(ones, 48, 0)} AS attention_mask,
- {_fit(masked, 48, -100)} AS labels FROM encoded""",
+        f"""SELECT sample_id, {_fit('p || r', 512, 0)} AS input_ids, {_fit(ones, 512, 0)} AS attention_mask,
+ {_fit(masked, 512, -100)} AS labels, least(512, len(p) + len(r)) - least(512, len(p)) AS trained FROM encoded""",
         "encoded",
     )
     q["full_sequence_arrays"] = with_ctes(
-        f"""SELECT sample_id, {_fit('p || r', 64, 0)} AS input_ids, {_fit(ones, 64, 0)} AS attention_mask,
- {_fit('p || r', 64, 0)} AS labels FROM encoded""",
+        f"""SELECT sample_id, {_fit('p || r', 512, 0)} AS input_ids, {_fit(ones, 512, 0)} AS attention_mask,
+ {_fit('p || r', 512, 0)} AS labels FROM encoded""",
         "encoded",
     )
 
@@ -917,9 +923,9 @@ def oracle() -> dict[str, str]:
     q["parse_requests"] = with_ctes(
         "SELECT request_id, forecast_horizon, include_confidence, reason FROM parsed", "parsed"
     )
-    joined = f"""SELECT q.*, f.* EXCLUDE (location_name, datetime), CASE WHEN f.location_name IS NULL THEN {lit(forecasts.NO_DATA)} || q.name END AS missing,
+    joined = f"""SELECT q.*, f.* EXCLUDE (location_name, datetime), CASE WHEN q.reason IS NOT NULL THEN q.reason WHEN f.location_name IS NULL THEN {lit(forecasts.NO_DATA)} || q.name END AS missing,
  {prompt('q.name', minute(_MADE), {c: number_list('f.' + c, d) for c, d in DIGITS.items()})} AS p
- FROM parsed q LEFT JOIN firsts f ON f.location_name = q.name WHERE q.reason IS NULL"""
+ FROM parsed q LEFT JOIN firsts f ON f.location_name = q.name"""
     q["batch_forecast"] = with_ctes(
         _responses(
             f"SELECT *, missing AS error, {_PERSIST} AS forecast_text, 0.5::DOUBLE AS confidence_score FROM ({joined})", _MADE
@@ -938,8 +944,8 @@ def oracle() -> dict[str, str]:
     q["response_table"] = with_ctes(
         _responses(
             f"""SELECT p.*, {_fallback().replace('has_payload', 'p.has_payload').replace('city', 'p.city')} AS forecast_text,
- (p.request_id % 10)::DOUBLE / 10 AS confidence_score, CASE WHEN NOT p.has_payload THEN 'no payload' END AS error
- FROM parsed p JOIN reqs r ON r.request_id = p.request_id WHERE p.reason IS NULL""",
+ (p.request_id % 10)::DOUBLE / 10 AS confidence_score, coalesce(p.reason, CASE WHEN NOT p.has_payload THEN 'no payload' END) AS error
+ FROM parsed p JOIN reqs r ON r.request_id = p.request_id""",
             "make_timestamp(1706769000000000 + request_id * 500000)",
         ),
         "parsed",

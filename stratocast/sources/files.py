@@ -123,5 +123,7 @@ def normalize_predictions(df: DataFrame, position: Column) -> DataFrame:
 
 
 def normalize_prediction_maps(df: DataFrame, predictions: str = "predictions") -> DataFrame:
-    """Map shape: one row per entry."""
-    return df.select(F.explode(predictions).alias("id", "generated_forecast"))
+    """Map shape: one row per id, the last of equal ones; a null text reads 'None'."""
+    entries = df.select(F.posexplode(F.map_entries(predictions)).alias("_at", "_entry"))
+    text = F.coalesce(F.col("_entry.value").cast("string"), F.lit("None"))
+    return entries.groupBy(F.col("_entry.key").alias("id")).agg(F.max_by(text, "_at").alias("generated_forecast"))
