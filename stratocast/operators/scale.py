@@ -46,7 +46,8 @@ def skew_join(
     """Look `key` up in `dim` (unique on `key`), safely for skewed facts.
 
     Heavy keys meet their few dim rows by broadcast. All other rows shuffle on
-    the key; rows already served carry a spread key, so no task gets them all.
+    the key; rows already served, and rows with a NULL key, carry a spread key,
+    so no task gets them all.
     `how` is 'left' or 'inner'.
     """
     values = [c for c in dim.columns if c != key]
@@ -62,11 +63,11 @@ def skew_join(
         F.lit("\x00"), F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(1 << 20)).cast("string")
     )
     tagged = facts.join(F.broadcast(hot_dim), F.col(key) == F.col("_hot_key"), "left").withColumn(
-        "_join_key", F.when(F.col("_hot_key").isNull(), F.col(key).cast("string")).otherwise(spread)
+        "_join_key", F.when(F.col("_hot_key").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(spread)
     )
     joined = tagged.join(
         cold_dim.withColumn("_cold_key", F.col("_cold_key").cast("string")),
-        (F.col("_join_key") == F.col("_cold_key")) & F.col("_hot_key").isNull(),
+        (F.col("_join_key") == F.col("_cold_key")) & F.col("_hot_key").isNull() & F.col(key).isNotNull(),
         "left",
     )
     found = F.coalesce(F.col("_hot"), F.col("_cold"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratocast.functions import labels
 from stratocast.functions.render import prompt_time, render_prompt
 from stratocast.operators.scale import heavy_keys
+from stratocast.storage import stored
 
 # Sequence column -> observation column.
 SERIES = {
@@ -94,7 +95,7 @@ def window_features(
     time, further columns break ties. Rows without location or time are left
     out. Locations above `hot_rows` rows are processed in chunks that carry
     the next length + horizon rows, so a hot location spreads over many tasks;
-    hot_rows=None asserts that there is none and saves counting.
+    rows are counted by location first, which hot_rows=None saves.
     """
     time = order[0]
     rows = obs.where(F.col(location).isNotNull() & F.col(time).isNotNull()).select(
@@ -104,56 +105,55 @@ def window_features(
     if hot_rows is None:
         return _windows(rows, location, by_time, length, horizon)
 
+    counts = heavy_keys(rows, location, hot_rows)
+    found = counts.collect()  # HEAVY_LIMIT rows at most
+    if not found:
+        return _windows(rows, location, by_time, length, horizon)
     chunk_rows = max(chunk_rows, length + horizon)
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    hot = F.broadcast(
-        heavy_keys(rows, location, hot_rows, _first=F.min(micros), _last=F.max(micros)).withColumnRenamed(
-            location, "_hot"
-        )
-    )
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, counts.schema).select(F.col(location).alias("_hot")))
     on_hot = F.col(location) == F.col("_hot")
     cold = _windows(rows.join(hot, on_hot, "left_anti"), location, by_time, length, horizon)
-    chunked = _chunk(rows.join(hot, on_hot), micros, length + horizon, location, order, chunk_rows)
+    chunked = _chunk(rows.join(hot, on_hot, "left_semi"), length + horizon, location, order, chunk_rows)
     warm = _windows(chunked, f"{location}, _member", "_position", length, horizon, keep="_member = _chunk")
     return cold.unionByName(warm)
 
 
-def _chunk(
-    rows: DataFrame, micros: Column, halo: int, location: str, order: Sequence[str], chunk_rows: int
-) -> DataFrame:
-    """Rows of hot locations with their exact position, copied into every chunk that reads them.
+def placed(rows: DataFrame, location: str, order: Sequence[str]) -> DataFrame:
+    """`rows` with _position, the exact place of each within its location.
 
-    Time cells of even width give each row its position: rows before its cell
-    (a small count table) plus its number inside the cell.
+    Rows are dealt to partitions by range of (location, *order), so neither an
+    outlying time nor equal times can put a location into one task. A row's
+    position is its place in its partition, shifted by the counts of the
+    location's partitions before.
     """
-    cells = F.ceil(F.col("_n") / F.lit(float(chunk_rows)))
-    width = F.ceil((F.col("_last") - F.col("_first") + 1) / cells)
-    placed = rows.withColumn("_cell", F.floor((micros - F.col("_first")) / width))
-    earlier = W.partitionBy(location).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(location, "_cell")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    keys = [F.col(location), *[F.col(c) for c in order]]
+    dealt = stored(
+        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_at", 33)  # the upper bits are the partition, the lower ones the place in it
+    earlier = W.partitionBy(location).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = (
+        dealt.groupBy(location, part.alias("_part"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .select(location, "_cell", "_before")
+        .drop("_rows")
     )
-    inside = F.row_number().over(W.partitionBy(location, "_cell").orderBy(*order)) - 1
-    position = F.col("_before") + F.col("_inside")
-    chunk = F.floor(F.col("_position") / F.lit(chunk_rows))
-    shared = (F.col("_position") % chunk_rows < halo) & (F.col("_chunk") > 0)
     return (
-        placed.withColumn("_inside", inside)
-        .join(offsets, [location, "_cell"])
-        .withColumn("_position", position)
-        .withColumn("_chunk", chunk)
-        .withColumn(
-            "_member",
-            F.explode(
-                F.when(shared, F.array(F.col("_chunk") - 1, F.col("_chunk"))).otherwise(F.array(F.col("_chunk")))
-            ),
-        )
+        dealt.withColumn("_part", part)
+        .join(parts, [location, "_part"])
+        .withColumn("_position", F.col("_before") + F.col("_at") - F.col("_first"))
+        .drop("_at", "_part", "_first", "_before")
     )
 
 
+def _chunk(rows: DataFrame, halo: int, location: str, order: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Rows of hot locations with their position, copied into every chunk that reads them."""
+    chunk = F.floor(F.col("_position") / F.lit(chunk_rows))
+    shared = (F.col("_position") % chunk_rows < halo) & (F.col("_chunk") > 0)
+    members = F.when(shared, F.array(F.col("_chunk") - 1, F.col("_chunk"))).otherwise(F.array(F.col("_chunk")))
+    return placed(rows, location, order).withColumn("_chunk", chunk).withColumn("_member", F.explode(members))
+
+
 def sliding_sequences(obs: DataFrame, length: int = 4, horizon: int = 6, **options) -> DataFrame:
     """The five input arrays of every window start."""
     return window_features(obs, length, horizon, **options).drop(*HORIZON)
