@@ -58,6 +58,8 @@ LAYOUTS = (
     '<div id="menu"><ul>{items}</ul></div><main><h1>{title}</h1>{text}</main><form class="newsletter"><p>{more}</p><label>{more}</label></form><div id="comments">{others}</div><footer>{more}</footer>',
     '<nav class="breadcrumb">{more}</nav><div class="ad">{more}</div><div class="post"><h1>{title}</h1>{text}<div class="ad">{more}</div>{text2}</div><div class="comment">{others}</div>',
     '<header><nav><ul>{items}</ul></nav></header><article><h1>{title}</h1>{text}<aside class="related">{others}</aside>{text2}<ul>{bullets}</ul></article><footer><p>{more}</p></footer>',
+    '<div class="notice">{more}</div><article><h1>{title}</h1>{text}<div class="comments"><h3>{more}</h3>{others}</div></article><footer>{more}</footer>',
+    '<div class="banner"><p>{more}</p></div><article><h1>{title}</h1>{text}<div class="comment"><p>{more}</p>{others}</div><form><p>{more}</p></form></article>',
     '<body><h1>{title}</h1>{text}<div class="share social">{more}</div><div class="widget"><h3>{more}</h3><ul>{items}</ul></div><footer>{more}</footer></body>',
 )
 

@@ -60,34 +60,32 @@ def _buckets(data: np.ndarray, n: int) -> np.ndarray:
 
 def _word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All n-gram buckets of the words one after another, and where each word's begin."""
-    parts, owner = [], []
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     starts, ends = _word_bounds(data)
-    for n in SIZES:
-        buckets = _buckets(data, n)
-        count = np.maximum(0, ends - starts + 3 - n)
-        who = np.repeat(np.arange(len(words)), count)
-        place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-        parts.append(buckets[starts[who] - 1 + place])
-        owner.append(who)
-    who, ids = np.concatenate(owner), np.concatenate(parts)
-    order = np.argsort(who, kind="stable")
-    return ids[order], np.searchsorted(who[order], np.arange(len(words) + 1))
+    counts = {n: np.maximum(0, ends - starts + 3 - n) for n in SIZES}
+    begin = np.concatenate([[0], np.cumsum(sum(counts.values()))])
+    ids, at = np.empty(begin[-1], np.int32), begin[:-1].copy()
+    for n, count in counts.items():
+        buckets = _buckets(data, n).astype(np.int32)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        ids[np.repeat(at, count) + place] = buckets[np.repeat(starts - 1, count) + place]
+        at += count
+    return ids, begin
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, words: list[bytes], steps: int = 120, seed: int = 7) -> Model:
     """Fit embeddings and softmax by Adam on whole passes; texts hold indexes into `words`."""
     ids, begin = _word_grams(words)
-    counts = np.diff(begin).astype(np.float64)
+    counts = np.diff(begin)
     lengths = np.array([len(t) for t in texts])
-    flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.int64)
+    flat = np.concatenate(texts)
     first = np.concatenate([[0], np.cumsum(lengths)])
-    # The window at each word, cut short at the end of its text unless the text is shorter.
-    at = np.arange(len(flat))
-    text_of = np.repeat(np.arange(len(texts)), lengths)
-    until = np.minimum(at + WINDOW, first[text_of + 1])
-    n_run = np.concatenate([[0.0], np.cumsum(counts[flat])])
-    n_window = np.maximum(n_run[until] - n_run[at], 1.0)
+    # The window at each word, cut short at the end of its text.
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    until = np.minimum(np.arange(len(flat)) + WINDOW, first[text_of + 1]).astype(np.int32)
+    n_run = np.concatenate([[0], np.cumsum(counts[flat])])
+    n_window = np.maximum(n_run[until] - n_run[:-1], 1).astype(np.float32)
+    del n_run
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
@@ -98,24 +96,28 @@ def train(texts: list[np.ndarray], labels: np.ndarray, words: list[bytes], steps
     }
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in state.items()}
     warm, rate, decay = steps // 6, 0.05, 1e-6
+    cuts = np.linspace(0, len(words), 1 + max(1, len(ids) >> 19)).astype(int)  # to work on part of the n-grams at a time
+    parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
     for step in range(1, steps + 1):
-        gram = state["e"] @ state["v"]
-        word = np.add.reduceat(gram[ids], begin[:-1]) if len(words) else np.zeros(0)
-        run = np.concatenate([[0.0], np.cumsum(word[flat])])
-        logit = (run[until] - run[at]) / n_window
+        gram = (state["e"] @ state["v"]).astype(np.float32)
+        word = np.concatenate([np.add.reduceat(gram[ids[begin[a] : begin[b]]], begin[a:b] - begin[a]) for a, b in parts])
+        run = np.concatenate([[0.0], np.cumsum(word[flat], dtype=np.float64)])
+        logit = ((run[until] - run[:-1]) / n_window).astype(np.float32)
         if step <= warm:  # the mean window first, then the worst
-            total = np.bincount(text_of, logit, len(texts)) / np.maximum(lengths, 1) + state["b"]
+            best = np.bincount(text_of, logit, len(texts)) / lengths
         else:
-            total = np.maximum.reduceat(logit, first[:-1]) + state["b"]
-        p = 1 / (1 + np.exp(-total))
-        error = (p - labels) * weight
+            best = np.maximum.reduceat(logit, first[:-1])
+        error = (1 / (1 + np.exp(-(best + state["b"]))) - labels) * weight
         if step <= warm:
-            back = (error / np.maximum(lengths, 1))[text_of] / n_window
+            back = (error / lengths)[text_of] / n_window
         else:
-            back = np.where(logit == (total - state["b"])[text_of], (error)[text_of], 0.0) / n_window
-        edge = np.bincount(at, back, len(flat) + 1) - np.bincount(until, back, len(flat) + 1)
-        per_word = np.bincount(flat, np.cumsum(edge)[:-1], len(words))
-        per_gram = np.bincount(ids, np.repeat(per_word, np.diff(begin)), size)
+            back = np.where(logit == best[text_of], error[text_of], 0.0) / n_window
+        edge = np.bincount(until, back, len(flat) + 1)
+        edge[:-1] -= back
+        per_word = np.bincount(flat, -np.cumsum(edge)[:-1], len(words))
+        per_gram = np.zeros(size)
+        for a, b in parts:
+            per_gram += np.bincount(ids[begin[a] : begin[b]], np.repeat(per_word[a:b], counts[a:b]), size)
         grads = {
             "e": np.outer(per_gram, state["v"]) + decay * state["e"],
             "v": state["e"].T @ per_gram + decay * state["v"],
@@ -165,8 +167,8 @@ def fit(
     label: str = "toxic",
     text: str = "text",
     key: str = "doc_id",
-    max_rows: int = 1500,
-    max_bytes: int = 200_000,
+    max_rows: int = 1200,
+    max_bytes: int = 60_000,
     seed: int = 0,
 ) -> Model | None:
     """Train on at most `max_rows` labelled documents of each kind, none longer than `max_bytes`; None without both kinds."""
