@@ -96,7 +96,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, words: list[bytes], steps
     }
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in state.items()}
     warm, rate, decay = steps // 6, 0.05, 1e-6
-    cuts = np.linspace(0, len(words), 1 + max(1, len(ids) >> 19)).astype(int)  # to work on part of the n-grams at a time
+    cuts = np.linspace(0, len(words), 1 + max(1, len(ids) >> 18)).astype(int)  # to work on part of the n-grams at a time
     parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
     for step in range(1, steps + 1):
         gram = (state["e"] @ state["v"]).astype(np.float32)
@@ -167,7 +167,7 @@ def fit(
     label: str = "toxic",
     text: str = "text",
     key: str = "doc_id",
-    max_rows: int = 1200,
+    max_rows: int = 1000,
     max_bytes: int = 60_000,
     seed: int = 0,
 ) -> Model | None:
