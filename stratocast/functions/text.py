@@ -117,19 +117,24 @@ def bleu4(generated_tokens: Column, reference_tokens: Column) -> Column:
     zero numerator above unigrams counts as 0.1 and a denominator is at least
     1; with no unigram in common the score is 0.
     """
-    size_g, size_r = F.size(generated_tokens), F.size(reference_tokens)
-
-    def precision_log(n: int) -> Column:
-        hits = F.size(
+    def hits(n: int) -> Column:
+        return F.size(
             F.array_intersect(occurrences(ngrams(generated_tokens, n)), occurrences(ngrams(reference_tokens, n)))
         )
+
+    return bleu4_from_counts([hits(n) for n in (1, 2, 3, 4)], F.size(generated_tokens), F.size(reference_tokens))
+
+
+def bleu4_from_counts(hits: list[Column], size_g: Column, size_r: Column) -> Column:
+    """BLEU-4 from the clipped counts of 1- to 4-grams and the two lengths."""
+
+    def precision_log(n: int) -> Column:
         grams = F.greatest(size_g - F.lit(n - 1), F.lit(1)).cast("double")
-        return F.log(F.greatest(hits.cast("double"), F.lit(0.1)) / grams)
+        return F.log(F.greatest(hits[n - 1].cast("double"), F.lit(0.1)) / grams)
 
-    shared = F.size(F.array_intersect(generated_tokens, reference_tokens))
     mean_log = sum((precision_log(n) for n in (2, 3, 4)), precision_log(1)) * F.lit(0.25)
     penalty = F.when(size_g > size_r, F.lit(0.0)).otherwise(F.lit(1.0) - size_r / F.greatest(size_g, F.lit(1)))
-    return F.when(shared > 0, F.exp(mean_log + penalty)).otherwise(F.lit(0.0))
+    return F.when(hits[0] > 0, F.exp(mean_log + penalty)).otherwise(F.lit(0.0))
 
 
 def rouge_n(generated_tokens: Column, reference_tokens: Column, n: int) -> Column:

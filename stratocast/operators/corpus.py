@@ -157,7 +157,11 @@ def encode_vocab(
         .select(*identity, F.col("_side.field").alias("_field"), F.posexplode("_side.words").alias("_at", "_token"))
     )
     known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code"))
-    coded = scale.skew_join(placed, known, "_token", min_rows=min_rows)
+    heavy = None
+    if "uses" in vocab.columns:  # the vocabulary knows its frequent words
+        often = vocab.where(F.col("uses") > min_rows).orderBy(F.col("uses").desc(), "token").limit(scale.HEAVY_LIMIT)
+        heavy = often.select(F.col("token").alias("_token"))
+    coded = scale.skew_join(placed, known, "_token", min_rows=min_rows, heavy=heavy)
     # One row's own words come back together: bounded by that row's text.
     entry = F.struct("_field", "_at", F.coalesce(F.col("_code"), F.lit(unknown_id)).alias("code"))
     lists = coded.groupBy(*identity).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))

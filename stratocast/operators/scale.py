@@ -42,16 +42,18 @@ def skew_join(
     how: str = "left",
     min_rows: int = HEAVY_ROWS,
     limit: int = HEAVY_LIMIT,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Look `key` up in `dim` (unique on `key`), safely for skewed facts.
 
     Heavy keys meet their few dim rows by broadcast. All other rows shuffle on
     the key; rows already served, and rows with a NULL key, carry a spread key,
-    so no task gets them all.
+    so no task gets them all. `heavy` names the heavy keys (column `key`, at
+    most `limit` rows) where they are known already, which saves counting.
     `how` is 'left' or 'inner'.
     """
     values = [c for c in dim.columns if c != key]
-    hot = heavy_keys(facts, key, min_rows, limit).select(F.col(key).alias("_hot_key"))
+    hot = (heavy_keys(facts, key, min_rows, limit) if heavy is None else heavy).select(F.col(key).alias("_hot_key"))
     hot_dim = (
         dim.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"))
         .select("_hot_key", F.struct(*values, F.lit(True).alias("_hit")).alias("_hot"))

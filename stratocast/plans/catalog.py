@@ -367,8 +367,7 @@ def rouge_l_lcs(spark, sf):
 
 @query
 def bleu4(spark, sf):
-    p = _pair_tokens(spark, sf)
-    return p.select("conv_id", "turn", r6(text.bleu4(F.col("_g"), F.col("_r"))).alias("bleu4"))
+    return rounded(evaluate.bleu4_long(_pair_tokens(spark, sf), ["conv_id", "turn"], "_g", "_r"))
 
 
 @query

@@ -188,3 +188,29 @@ def test_corpus_stats(spark):
     assert s["avg_response_length"] == pytest.approx(4 / 3) and s["response_length_std"] == pytest.approx(math.sqrt(14 / 9))
     assert corpus.corpus_stats(df.limit(0)).count() == 0
     assert corpus.concat_example(spark.createDataFrame([("i", "t")], "input string, target string")).first()["text"] == "i\nt</s>"
+
+
+@pytest.mark.parametrize("times", ["outlier", "equal", "missing tiebreak"])
+def test_hot_location_is_spread(spark, times):
+    """No partition of a hot location's rows gets much more than its share, whatever the times."""
+    at = {"outlier": "if(id = 0, 0, 1000000000 + id)", "equal": "5", "missing tiebreak": "id div 500"}[times]
+    rows = spark.range(0, 20_000, 1, 8).selectExpr("'hot' AS location_name", f"timestamp_seconds({at}) AS datetime", "id AS event_id")
+    dealt = seq.placed(rows, "location_name", ("datetime", "event_id"))
+    assert [r["_position"] for r in dealt.orderBy("event_id").collect()] == list(range(20_000))
+    parts = rows.repartitionByRange(8, "location_name", "datetime", "event_id").groupBy(F.spark_partition_id()).count()
+    assert parts.agg(F.max("count")).first()[0] < 20_000 / 8 * 2
+
+
+def test_null_keys_are_spread(spark):
+    facts = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("k"), "id")
+    dim = spark.createDataFrame([(str(i), i) for i in range(0, 20_000, 20)], "k string, v int")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        out = scale.skew_join(facts, dim, "k")
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 20_000 and max(sizes) < 20_000 * 0.6 and out.where("v IS NOT NULL").count() == 1000
+    finally:
+        for name in settings:
+            spark.conf.unset(name)

@@ -167,6 +167,17 @@ def test_token_metrics_against_brute_force(spark):
         assert row["lcs"] == pytest.approx(2 * n / (len(g) + len(r)) if n else 0.0)
 
 
+def test_bleu4_of_long_texts(spark):
+    many = [f"t{i * i % 701}" for i in range(20_000)]
+    rows = [(0, ["a", "b"], ["a"]), (1, [], ["a"]), (2, ["a"], []), (3, list("abcabc"), list("abcab"))]
+    many = [f"t{i * i % 701}" for i in range(20_000)]
+    rows += [(100, many, many[5_000:] + many[:4_000]), (101, many, ["none"])]
+    df = spark.createDataFrame(rows, "id int, g array<string>, r array<string>")
+    long = {r["id"]: r["bleu4"] for r in evaluate.bleu4_long(df, ["id"], "g", "r").collect()}
+    for i, g, r in rows:
+        assert long[i] == pytest.approx(py_bleu4(g, r))
+
+
 def test_exploded_overlap_equals_array_form(spark):
     rng = random.Random(7)
     make = lambda n: " ".join(rng.choice(["rain", "sun", "the", "Wind.", "dry", "fog"]) for _ in range(n))
