@@ -55,6 +55,11 @@ def metric_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
+def rouge_tokens(text: Column) -> Column:
+    """Lower-case ASCII alphanumeric tokens, stopwords included; [] for null."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams in order; [] when there are fewer than n tokens."""
     if n == 1:

@@ -70,11 +70,17 @@ def prediction_table(
 
 
 def score_rows(
-    pred: DataFrame, generated: str = "generated_forecast", reference: str = "reference_forecast", bleu: str = "overlap"
+    pred: DataFrame,
+    generated: str = "generated_forecast",
+    reference: str = "reference_forecast",
+    bleu: str = "overlap",
+    rouge: str = "fallback",
 ) -> DataFrame:
     """Add every row-level metric and error, computed from tokens made once per row.
 
     bleu='overlap' takes the unigram F1, bleu='bleu4' the smoothed BLEU-4.
+    rouge='fallback' leaves stopwords out and takes rouge-1 for rouge-L;
+    rouge='library' keeps them and takes the longest common subsequence.
     """
     gen, ref = F.coalesce(F.col(generated), F.lit("")), F.coalesce(F.col(reference), F.lit(""))
     tokens = pred.withColumns(
@@ -85,14 +91,16 @@ def score_rows(
             "_rc": extract.extract_conditions(ref),
             "_gw": text.words(F.lower(gen)),
             "_rw": text.word_count(ref),
+            "_gt": text.metric_tokens(gen) if rouge == "fallback" else text.rouge_tokens(gen),
+            "_rt": text.metric_tokens(ref) if rouge == "fallback" else text.rouge_tokens(ref),
         }
     )
-    tokens = tokens.withColumns({"_g2": text.ngrams(F.col("_g1"), 2), "_r2": text.ngrams(F.col("_r1"), 2)})
+    tokens = tokens.withColumns({"_g2": text.ngrams(F.col("_gt"), 2), "_r2": text.ngrams(F.col("_rt"), 2)})
     g1, r1, gc, rc = F.col("_g1"), F.col("_r1"), F.col("_gc"), F.col("_rc")
     gm, rm = extract.midpoint(gc["temperature_range"]), extract.midpoint(rc["temperature_range"])
     rain_pair = gc["rain"].isNotNull() & rc["rain"].isNotNull()
     columns = {
-        "_rouge_1": text.rouge_n(g1, r1, 1),
+        "_rouge_1": text.rouge_n(F.col("_gt"), F.col("_rt"), 1),
         "_rouge_2": text.overlap_f1(F.col("_g2"), F.col("_r2")),
         "_length": text.length_ratio(F.size("_gw"), F.col("_rw")),
         "_diversity": text.distinct_share(F.col("_gw")),
@@ -106,8 +114,14 @@ def score_rows(
         ).cast("double"),
     }
     scored = tokens.withColumns(columns)
-    bleu_score = F.col("_rouge_1") if bleu == "overlap" else text.bleu4(g1, r1)
-    return scored.withColumn("_bleu", bleu_score).drop("_g1", "_r1", "_gc", "_rc", "_gw", "_rw", "_g2", "_r2")
+    if bleu == "bleu4":
+        bleu_score = text.bleu4(g1, r1)
+    else:
+        bleu_score = F.col("_rouge_1") if rouge == "fallback" else text.overlap_f1(g1, r1)
+    longest = F.col("_rouge_1") if rouge == "fallback" else text.rouge_l_lcs(F.col("_gt"), F.col("_rt"))
+    return scored.withColumns({"_bleu": bleu_score, "_rouge_l": longest}).drop(
+        "_g1", "_r1", "_gc", "_rc", "_gw", "_rw", "_g2", "_r2", "_gt", "_rt"
+    )
 
 
 def rain_accuracy() -> Column:
@@ -152,7 +166,12 @@ def row_overall() -> Column:
 
 
 def evaluate(
-    pred: DataFrame, by: Sequence[str] = (), rollup: bool = False, bleu: str = "overlap", scored: bool = False
+    pred: DataFrame,
+    by: Sequence[str] = (),
+    rollup: bool = False,
+    bleu: str = "overlap",
+    scored: bool = False,
+    rouge: str = "fallback",
 ) -> DataFrame:
     """All metrics per group (or per rollup level) in one aggregation.
 
@@ -161,7 +180,7 @@ def evaluate(
     has `level`, one bit per column that is rolled up, so that a null group and
     a total can be told apart.
     """
-    rows = pred if scored else score_rows(pred, bleu=bleu)
+    rows = pred if scored else score_rows(pred, bleu=bleu, rouge=rouge)
     grouped = rows.rollup(*by) if rollup else rows.groupBy(*by)
     level = [F.grouping_id().cast("bigint").alias("level")] if rollup else []
     out = grouped.agg(
@@ -170,7 +189,7 @@ def evaluate(
         F.avg("_bleu").alias("bleu_score"),
         F.avg("_rouge_1").alias("rouge_1_f"),
         F.avg("_rouge_2").alias("rouge_2_f"),
-        F.avg("_rouge_1").alias("rouge_l_f"),
+        F.avg("_rouge_l").alias("rouge_l_f"),
         rain_accuracy().alias("rain_accuracy"),
         temperature_mae().alias("temperature_mae"),
         wind_mae().alias("wind_speed_mae"),

@@ -361,8 +361,8 @@ def rouge_fallback(spark, sf):
 
 @query
 def rouge_l_lcs(spark, sf):
-    p = _pair_tokens(spark, sf)
-    return p.select("conv_id", "turn", r6(text.rouge_l_lcs(F.col("_g"), F.col("_r"))).alias("rouge_l"))
+    g, r = text.rouge_tokens(F.col("answer")), text.rouge_tokens(F.col("question"))
+    return V.text_pairs(spark, sf).select("conv_id", "turn", r6(text.rouge_l_lcs(g, r)).alias("rouge_l"))
 
 
 @query

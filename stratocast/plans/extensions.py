@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.functions import extract
-from stratocast.operators import outcomes, rewards
+from stratocast.operators import evaluate, outcomes, rewards
 from stratocast.operators import sequences as seq
 from stratocast.plans import oracle as O
 from stratocast.plans import views as V
@@ -153,6 +153,12 @@ def dataset_round_trip(spark, sf):
     )
 
 
+@query
+def evaluate_pinned(spark, sf):
+    """The evaluation with BLEU-4 and the library's ROUGE."""
+    return rounded(evaluate.evaluate(V.predictions(spark, sf), by=["band"], bleu="bleu4", rouge="library"))
+
+
 _GAPPY = """gappy AS (SELECT location_name, CASE WHEN event_id % 41 <> 0 THEN datetime END AS datetime, event_id,
  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 97 = 0 THEN 1000.0 ELSE temperature_c END AS temperature_c,
  CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 89 = 0 THEN 150.0 ELSE humidity_pct END AS humidity_pct, wind_speed_kph,
@@ -180,8 +186,38 @@ def _gappy_window(fill: bool, rows: str) -> str:
     return ", ".join([*[f"list({c}) OVER a AS {n}" for n, c in _SERIES.items()], f"list({precip}) OVER a AS precipitation_probability"]) + rows
 
 
+# Longest common subsequence of g and r: one row of the table of lengths per token of r.
+_LCS = """(list_reduce(list_transform(range(1, len(r) + 1), lambda i: [i]), lambda above, i: list_reduce(
+ list_transform(range(1, len(g) + 1), lambda j: [j]), lambda acc, j: acc || [greatest(acc[len(acc)], above[j[1] + 1],
+ above[j[1]] + CAST(g[j[1]] = r[i[1]] AS BIGINT))], [0::BIGINT]), list_transform(range(0, len(g) + 1), lambda x: 0::BIGINT)))[len(g) + 1]"""
+_ROUGE_L = f"CASE WHEN len(g) + len(r) > 0 THEN 2.0::DOUBLE * {_LCS} / (len(g) + len(r)) ELSE 0.0::DOUBLE END"
+
+
+def _rouge_tokens(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), '[a-z0-9]+')"
+
+
+def _pinned() -> str:
+    """Scores as in `scored`, but BLEU-4 and ROUGE over tokens with stopwords."""
+    bleu = O.bleu4_expression()
+    staged = ", ".join(f"{O.grams(a, n)} AS {a}{n}" for a in "gr" for n in (2, 3, 4))
+    return f"""b AS (SELECT sample_id, {bleu} AS bleu FROM (SELECT *, {staged} FROM pred_tokens)),
+ l AS (SELECT sample_id, {O.f1(O.overlap('g', 'r'), 'g', 'r')} AS one, {O.f1(O.overlap('g2', 'r2'), 'g2', 'r2')} AS two, {_ROUGE_L} AS longest
+  FROM (SELECT *, {O.grams('g', 2)} AS g2, {O.grams('r', 2)} AS r2 FROM (SELECT sample_id, {_rouge_tokens('generated_forecast')} AS g,
+  {_rouge_tokens('reference_forecast')} AS r FROM pred))),
+ pinned AS (SELECT s.* EXCLUDE (rouge_1, rouge_2), b.bleu, l.one AS rouge_1, l.two AS rouge_2, l.longest FROM scored s
+  JOIN b ON b.sample_id = s.sample_id JOIN l ON l.sample_id = s.sample_id)"""
+
+
 def sql() -> dict[str, str]:
     q: dict[str, str] = {}
+    q["rouge_l_lcs"] = O.with_ctes(
+        f"""SELECT conv_id, turn, round({_ROUGE_L}, 6) AS rouge_l FROM (SELECT conv_id, turn, {_rouge_tokens('answer')} AS g,
+ {_rouge_tokens('question')} AS r FROM text_pairs)""",
+        "text_pairs",
+    )
+    scores = O.evaluation_rounded(["band"], bleu="bleu", rouge_l="longest", source="pinned")
+    q["evaluate_pinned"] = O.with_ctes(f", {_pinned()} {scores}", "scored")
     made = "(SELECT *, datetime + (event_id % 12 + 1) * INTERVAL 1 HOUR AS until FROM obs)"
     q["verify_outcomes"] = O.with_ctes(
         f"""SELECT f.event_id, max(o.precipitation_probability) >= 0.5 AS rain, round(avg(o.temperature_c), 6) AS temperature

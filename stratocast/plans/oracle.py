@@ -351,25 +351,25 @@ def _score_columns() -> str:
 cte("scored", ["pred_tokens"], f"scored AS ({_score_columns()})")
 
 
-def _overall(rouge: str, categorical: str, length: str, read: str, rain: str) -> str:
+def _overall(bleu: str, rouge: str, categorical: str, length: str, read: str, rain: str) -> str:
     terms = {
-        "bleu": rouge, "rouge_1": rouge, "categorical": categorical, "length": length, "readability": read, "rain": rain,
+        "bleu": bleu, "rouge_1": rouge, "categorical": categorical, "length": length, "readability": read, "rain": rain,
     }
     return "(" + " + ".join(f"{OVERALL[k]}::DOUBLE * {v}" for k, v in terms.items()) + ")"
 
 
-def evaluation(by: list[str], rollup: bool = False) -> str:
+def evaluation(by: list[str], rollup: bool = False, bleu: str = "rouge_1", rouge_l: str = "rouge_1", source: str = "scored") -> str:
     keys = ", ".join(by)
     group = "" if not by else f"GROUP BY ROLLUP ({keys})" if rollup else f"GROUP BY {keys}"
     lead = (keys + ", " if by else "") + (f"grouping_id({keys}) AS level, " if rollup else "")
-    agg = f"""SELECT {lead}count(*) AS predictions, avg(rouge_1) AS bleu_score, avg(rouge_1) AS rouge_1_f,
- avg(rouge_2) AS rouge_2_f, avg(rouge_1) AS rouge_l_f,
+    agg = f"""SELECT {lead}count(*) AS predictions, avg({bleu}) AS bleu_score, avg(rouge_1) AS rouge_1_f,
+ avg(rouge_2) AS rouge_2_f, avg({rouge_l}) AS rouge_l_f,
  CAST(sum(rain_hit) AS DOUBLE) / greatest(sum(rain_pair), 1) AS rain_accuracy,
  coalesce(avg(temp_error), 0) AS temperature_mae, coalesce(avg(wind_error), 0) AS wind_speed_mae,
  avg(categorical) AS categorical_accuracy, 0.0::DOUBLE AS brier_score, 0.0::DOUBLE AS reliability,
  0.0::DOUBLE AS resolution, avg(read_score) AS readability_score, avg(length_sim) AS length_similarity,
- avg(diversity) AS vocabulary_diversity FROM scored {group}"""
-    overall = _overall("bleu_score", "categorical_accuracy", "length_similarity", "readability_score", "rain_accuracy")
+ avg(diversity) AS vocabulary_diversity FROM {source} {group}"""
+    overall = _overall("bleu_score", "rouge_1_f", "categorical_accuracy", "length_similarity", "readability_score", "rain_accuracy")
     margin = "CASE WHEN predictions > 10 THEN 0.05::DOUBLE ELSE 0.10::DOUBLE END"
     return f"""SELECT *, greatest(0.0, overall_score - {margin}) AS confidence_interval_low,
  least(1.0, overall_score + {margin}) AS confidence_interval_high FROM (SELECT *, {overall} AS overall_score FROM ({agg}))"""
@@ -382,9 +382,9 @@ EVALUATED = [
 ]
 
 
-def evaluation_rounded(by: list[str], rollup: bool = False) -> str:
+def evaluation_rounded(by: list[str], rollup: bool = False, **scores: str) -> str:
     columns = ", ".join(f"{r6(c)} AS {c}" for c in EVALUATED)
-    return f"SELECT {''.join(b + ', ' for b in by)}{'level, ' if rollup else ''}predictions, {columns} FROM ({evaluation(by, rollup)})"
+    return f"SELECT {''.join(b + ', ' for b in by)}{'level, ' if rollup else ''}predictions, {columns} FROM ({evaluation(by, rollup, **scores)})"
 
 
 def rewarded(t: str, rain: str, temp: str, w: dict[str, float]) -> str:
@@ -436,7 +436,7 @@ def _gate() -> str:
     toks = CTES["pred_tokens"][1].replace("pred_tokens AS", "case_tokens AS").replace("FROM pred)", "FROM cases)")
     scores = "case_scores AS (" + _score_columns().replace("FROM pred_tokens", "FROM case_tokens") + ")"
     gated = "gated AS (" + REWARDED % "case_scores" + ")"
-    overall = _overall("rouge_1", "categorical", "length_sim", "read_score", "rain_hit")
+    overall = _overall("rouge_1", "rouge_1", "categorical", "length_sim", "read_score", "rain_hit")
     patterns = r"['\|', 'generate a forecast', 'GUSTS near 4[5-9]']"
     rows = f"""gate_out AS (SELECT id, location, overall_score >= {gate.MIN_OVERALL} AND reward >= {gate.MIN_REWARD}
  AND len(rt) >= greatest(1, 3 - 1) AND len(fp) = 0 AND word_count BETWEEN 8 AND 55 AS passed,
@@ -608,8 +608,8 @@ def _echo(relation: str) -> str:
  SELECT *, {texts} AS texts FROM ({relation}))"""
 
 
-def _bleu4() -> str:
-    staged = ", ".join(f"{grams(a, n)} AS {a}{n}" for a in "gr" for n in (2, 3, 4))
+def bleu4_expression() -> str:
+    """BLEU-4 over token lists g, r and their n-grams g2, r2, ..."""
 
     def log_precision(n: int) -> str:
         a, b = ("g", "r") if n == 1 else (f"g{n}", f"r{n}")
@@ -617,9 +617,13 @@ def _bleu4() -> str:
         return f"ln(CASE WHEN {shared} > 0 THEN {shared} ELSE 0.1 END::DOUBLE / greatest(len(g) - {n - 1}, 1))"
 
     mean = " + ".join(log_precision(n) for n in (1, 2, 3, 4))
-    return f"""SELECT conv_id, turn, round(CASE WHEN len(list_intersect(g, r)) > 0 THEN
- exp(0.25::DOUBLE * ({mean}) + CASE WHEN len(g) > len(r) THEN 0.0 ELSE 1.0 - len(r)::DOUBLE / greatest(len(g), 1) END)
- ELSE 0.0 END, 6) AS bleu4 FROM (SELECT *, {staged} FROM pair_tokens)"""
+    return f"""CASE WHEN len(list_intersect(g, r)) > 0 THEN exp(0.25::DOUBLE * ({mean})
+ + CASE WHEN len(g) > len(r) THEN 0.0 ELSE 1.0 - len(r)::DOUBLE / greatest(len(g), 1) END) ELSE 0.0 END"""
+
+
+def _bleu4() -> str:
+    staged = ", ".join(f"{grams(a, n)} AS {a}{n}" for a in "gr" for n in (2, 3, 4))
+    return f"SELECT conv_id, turn, round({bleu4_expression()}, 6) AS bleu4 FROM (SELECT *, {staged} FROM pair_tokens)"
 
 
 def _doc_counts() -> str:
