@@ -182,25 +182,24 @@ def _first_of_equals(keys: np.ndarray, places: np.ndarray, pieces: np.ndarray) -
     return order, later & ((k != k[begin][node]) | (p != p[begin][node]))
 
 
-def _reports(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """One row per text with the places of its windows that stand earlier."""
-    order = np.lexsort((places, keys))
-    keys, places = keys[order], places[order]
-    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    end = np.append(start[1:], len(keys))
-    values = [places[a:b].tobytes() for a, b in zip(start, end)]
-    return pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(values, pa.binary())], ["_key", "places"])
-
-
-def _send_suffixes(batches, copies, anchors: np.ndarray, frequent: np.ndarray, parts: int):
+def _packed(keys: np.ndarray, places: np.ndarray, buckets: int) -> tuple[list, list, list]:
+    """Reported windows by bucket of their text: bucket, keys and places."""
+    bucket = ((W.mixed(keys.astype(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    at = np.flatnonzero(edge[1:] > edge[:-1]).tolist()
+    rows = [by[edge[i] : edge[i + 1]] for i in at]
+    return at, [keys[r].tobytes() for r in rows], [places[r].tobytes() for r in rows]
+
+
+def _send_suffixes(batches, copies, anchors: np.ndarray, frequent: np.ndarray, parts: int, buckets: int):
+    """Suffixes by part; and, by parts beyond the last, windows that are reported already."""
     held, count = [], 0
 
     def flush():
         keys, places, pieces = (np.concatenate(x) for x in zip(*held))
         order, later = _first_of_equals(keys, places, pieces)
-        told = _reports(keys[order[later]], places[order[later]])
-        none = pa.nulls(len(told))
-        yield [none.cast(pa.int32()), told.column(0), told.column(1), none.cast(pa.binary()), none.cast(pa.binary())]
+        at, some, where = _packed(keys[order[later]], places[order[later]], buckets)
         keep = order[~later]
         prefix = _prefixes(pieces[keep])
         name = prefix[:, 0].copy()
@@ -210,26 +209,25 @@ def _send_suffixes(batches, copies, anchors: np.ndarray, frequent: np.ndarray, p
         part = ((name >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(part, kind="stable")
         edge = np.searchsorted(part[by], np.arange(parts + 1))
-        at = np.flatnonzero(edge[1:] > edge[:-1]).tolist()
-        rows = [keep[by[edge[i] : edge[i + 1]]] for i in at]
-        nulls = pa.nulls(len(at))
-        yield [
-            pa.array(at, pa.int32()), nulls.cast(pa.int64()), pa.array([places[r].tobytes() for r in rows], pa.binary()),
-            pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([pieces[r].tobytes() for r in rows], pa.binary()),
-        ]
+        to = np.flatnonzero(edge[1:] > edge[:-1]).tolist()
+        rows = [keep[by[edge[i] : edge[i + 1]]] for i in to]
+        columns = [
+            pa.array([parts + i for i in at] + to, pa.int32()),
+            pa.array(some + [keys[r].tobytes() for r in rows], pa.binary()),
+            pa.array(where + [places[r].tobytes() for r in rows], pa.binary()),
+            pa.array([None] * len(at) + [pieces[r].tobytes() for r in rows], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["part", "keys", "places", "pieces"])
 
     for batch in batches:
         for found in _suffixes(batch, copies, anchors):
             held.append(found)
             count += len(found[0])
             if count >= FLUSH:
-                yield from (pa.RecordBatch.from_arrays(x, SENT) for x in flush())
+                yield flush()
                 held, count = [], 0
     if count:
-        yield from (pa.RecordBatch.from_arrays(x, SENT) for x in flush())
-
-
-SENT = ["part", "_key", "places", "keys", "pieces"]
+        yield flush()
 
 
 def _member(names: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -238,12 +236,28 @@ def _member(names: np.ndarray, values: np.ndarray) -> np.ndarray:
     return names[np.minimum(np.searchsorted(names, values), len(names) - 1)] == values
 
 
-def _tree(group: pa.Table) -> pa.Table:
-    keys, places, pieces = (
-        np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("keys", np.int64), ("places", np.int32), ("pieces", np.uint32))
-    )
-    order, later = _first_of_equals(keys, places, pieces.reshape(-1, PIECES))
-    return pa.Table.from_batches([_reports(keys[order[later]], places[order[later]])])
+def _joined(group: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column(column).to_pylist()), kind)
+
+
+def _tree(group: pa.Table, parts: int, buckets: int) -> pa.Table:
+    """The windows of one part that stand earlier; or those of one bucket that were reported before."""
+    keys, places = _joined(group, "keys", np.int64), _joined(group, "places", np.int32)
+    if group.column("part")[0].as_py() < parts:
+        order, later = _first_of_equals(keys, places, _joined(group, "pieces", np.uint32).reshape(-1, PIECES))
+        keys, places = keys[order[later]], places[order[later]]
+    at, some, where = _packed(keys, places, buckets)
+    return pa.table([pa.array(at, pa.int32()), pa.array(some, pa.binary()), pa.array(where, pa.binary())], ["bucket", "keys", "places"])
+
+
+def _by_text(group: pa.Table) -> pa.Table:
+    """One row per text with the places of its windows that stand earlier."""
+    keys, places = _joined(group, "keys", np.int64), _joined(group, "places", np.int32)
+    order = np.argsort(keys, kind="stable")
+    keys, places = keys[order], places[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    values = [places[a:b].tobytes() for a, b in zip(start, np.append(start[1:], len(keys)))]
+    return pa.table([pa.array(keys[start], pa.int64()), pa.array(values, pa.binary())], ["_key", "places"])
 
 
 def _kept(batches):
@@ -259,7 +273,7 @@ def _kept(batches):
                 words = []
             elif places:
                 edge = np.zeros(len(words) + 1, np.int64)
-                at = np.frombuffer(b"".join(places), np.int32)
+                at = np.frombuffer(places, np.int32)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + LENGTH, -1)
                 keep = np.cumsum(edge[:-1]) == 0
@@ -305,22 +319,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     frequent = share(np.sort(np.array([r["prefix"] for r in rows], np.int64).view(np.uint64)))
 
     parts = max(shuffled, int(n_words / 4 / PER_PART) + 1)
-    schema = "part int, _key bigint, places binary, keys binary, pieces binary"
-    sent = stored(
-        given.mapInArrow(lambda b: _send_suffixes(b, copy_bits.value, anchor_bits.value, frequent.value, parts), schema).unionByName(
-            rest.mapInArrow(lambda b: _send_suffixes(b, None, anchor_bits.value, frequent.value, parts), schema)
-        )
+    to = max(shuffled, n_words >> 22)
+    schema = "part int, keys binary, places binary, pieces binary"
+    sent = given.mapInArrow(
+        lambda b: _send_suffixes(b, copy_bits.value, anchor_bits.value, frequent.value, parts, to), schema
+    ).unionByName(
+        rest.mapInArrow(lambda b: _send_suffixes(b, None, anchor_bits.value, frequent.value, parts, to), schema)
     )
-    trees = sent.where("part IS NOT NULL").groupBy("part").applyInArrow(_tree, "_key bigint, places binary")
-    reports = sent.where("part IS NULL").select("_key", "places").unionByName(trees)
-    by_text = stored(reports.groupBy("_key").agg(F.collect_list("places").alias("places")))
-
+    trees = sent.groupBy("part").applyInArrow(lambda t: _tree(t, parts, to), "bucket int, keys binary, places binary")
+    by_text = stored(trees.groupBy("bucket").applyInArrow(_by_text, "_key bigint, places binary"))
     own = texts.select(F.col("_own"), "_key", "_bytes")
     whole_copies = copies.select("_key", F.lit(True).alias("_copy")).distinct()
     joined = (
         own.join(by_text, "_key", "left")
         .join(whole_copies, "_key", "left")
-        .select("_own", "_bytes", F.coalesce("_copy", F.lit(False)).alias("_copy"), F.coalesce("places", F.array().cast("array<binary>")).alias("places"))
+        .select("_own", "_bytes", F.coalesce("_copy", F.lit(False)).alias("_copy"), "places")
     )
     kind = docs.schema[key].dataType.simpleString()
     out = joined.mapInArrow(_kept, f"_own {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
