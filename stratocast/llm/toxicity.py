@@ -90,9 +90,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, words: list[bytes], steps
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     state = {
-        "e": rng.normal(0, 0.1, (size, DIM)),
-        "v": rng.normal(0, 0.1, DIM),
-        "b": np.zeros(1),
+        "e": rng.normal(0, 0.1, (size, DIM)).astype(np.float32),
+        "v": rng.normal(0, 0.1, DIM).astype(np.float32),
+        "b": np.zeros(1, np.float32),
     }
     moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in state.items()}
     warm, rate, decay = steps // 6, 0.05, 1e-6
@@ -118,16 +118,17 @@ def train(texts: list[np.ndarray], labels: np.ndarray, words: list[bytes], steps
         per_gram = np.zeros(size)
         for a, b in parts:
             per_gram += np.bincount(ids[begin[a] : begin[b]], np.repeat(per_word[a:b], counts[a:b]), size)
+        per_gram = per_gram.astype(np.float32)
         grads = {
-            "e": np.outer(per_gram, state["v"]) + decay * state["e"],
+            "e": np.outer(per_gram, state["v"]) + np.float32(decay) * state["e"],
             "v": state["e"].T @ per_gram + decay * state["v"],
-            "b": np.array([error.sum()]),
+            "b": np.array([error.sum()], np.float32),
         }
         for k, g in grads.items():
             m, s = moments[k]
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            state[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-10)
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.001) * (g * g - s)
+            state[k] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(s / np.float32(1 - 0.999**step)) + np.float32(1e-10))
     return Model((state["e"] @ state["v"]).astype(np.float32), float(state["b"][0]))
 
 
@@ -167,7 +168,7 @@ def fit(
     label: str = "toxic",
     text: str = "text",
     key: str = "doc_id",
-    max_rows: int = 1000,
+    max_rows: int = 800,
     max_bytes: int = 60_000,
     seed: int = 0,
 ) -> Model | None:
