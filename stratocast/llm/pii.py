@@ -2,7 +2,7 @@
 
 Detected: e-mail addresses, IPv4 addresses, card numbers, phone numbers,
 social security numbers, access keys, values of password / token / secret
-settings, and names after a title. Each entity is replaced by a keyed surrogate
+settings that hold a digit, and names after a title. Each entity is replaced by a keyed surrogate
 of its own kind and format: digits stay digits, letters keep their case, card
 numbers keep their first digit and their (in)valid check digit, phone numbers
 their country code and a 555 exchange, addresses of one domain share a
@@ -31,14 +31,14 @@ KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
 CARD = r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<=(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_key)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_.-]{8,}"
+SECRET = r"(?<=(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_key)\s{0,2}[=:]\s{0,2}[\"']?)(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{8,}"
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "г-жа"), "m": ("Mr", "Herr", "Señor", "г-н")}
 TITLE = "(?:" + "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True)) + r")\.?"
 NAME = r"\p{Lu}[\p{Ll}'-]+"
 PERSON = rf"(?<![\p{{L}}]){TITLE} {NAME}(?: {NAME})?"
 ANY = "|".join([EMAIL, KEY, IP, PHONE, SSN, CARD, SECRET, PERSON])
 # What any entity contains, to pass over other texts quickly.
-HINT = rf"[0-9@]|{TITLE} "
+HINT = rf"[0-9@]|AKIA|{TITLE} "
 
 # Given names by gender and script.
 GIVEN = {
