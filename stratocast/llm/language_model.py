@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
+from stratocast.llm.frequent import most_frequent
 from stratocast.storage import stored
 
 SHORT = 512
@@ -219,9 +220,11 @@ class LanguageModel:
         read = texts.select(F.col(text).cast("binary").alias("_bytes"))
         self.table = stored(read.mapInArrow(_counted, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("c")))
         all_ = self.table.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds")).first()
-        many = self.table.orderBy(F.col("c").desc(), "token").limit(MANY).toPandas()
+        end = int(END.astype(np.int64))
+        often = most_frequent(self.table.where(F.col("token") != end), "c", MANY - 1)
+        many = often.union(self.table.where(F.col("token") == end)).toPandas()
         names, counts = many["token"].to_numpy(np.int64).view(np.uint64), many["c"].to_numpy(np.int64)
-        best = names[: SHORT - 1]
+        best = names[np.lexsort((names, -counts))][: SHORT - 1]
         short = np.unique(np.append(best, END)) if len(names) else names
         order = np.argsort(names)
         self.counts = Counts(names[order], counts[order], int(all_["total"] or 0), int(all_["kinds"]))

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from stratocast.llm import words as W
 from stratocast.llm.bits import bit_filter, holds
 from stratocast.llm.components import components
+from stratocast.llm.frequent import most_frequent
 from stratocast.storage import stored
 
 WIDTH = 5
@@ -370,7 +371,7 @@ class NearJoin:
         """The blocks that are frequent in a sample of the texts; at most MAX_FREQUENT, ascending."""
         sample = self.texts.where(F.pmod(F.xxhash64("_bytes"), F.lit(SAMPLE)) == 0).select("_bytes")
         keys = sample.mapInArrow(_sampled, "key bigint").groupBy("key").count().where(F.col("count") >= FREQUENT)
-        rows = keys.orderBy(F.col("count").desc(), "key").limit(MAX_FREQUENT).select("key").collect()
+        rows = most_frequent(stored(keys), "count", MAX_FREQUENT).select("key").collect()
         return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
     def meet(self) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
 from stratocast.llm.bits import bit_filter, holds
+from stratocast.llm.frequent import most_frequent
 from stratocast.storage import stored
 
 LENGTH = 20
@@ -314,8 +315,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     sample = given.where(F.pmod(F.xxhash64("_bytes"), F.lit(SAMPLE)) == 0)
     prefixes = sample.mapInArrow(lambda b: _sampled(b, anchor_bits.value), "prefix bigint").groupBy("prefix").count()
-    often = prefixes.where(F.col("count") >= PER_PART // SAMPLE // 2).orderBy(F.col("count").desc(), "prefix")
-    rows = often.limit(MAX_PREFIXES).select("prefix").collect()
+    often = stored(prefixes.where(F.col("count") >= PER_PART // SAMPLE // 2))
+    rows = most_frequent(often, "count", MAX_PREFIXES).select("prefix").collect()
     frequent = share(np.sort(np.array([r["prefix"] for r in rows], np.int64).view(np.uint64)))
 
     parts = max(shuffled, int(n_words / 4 / PER_PART) + 1)
