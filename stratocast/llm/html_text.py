@@ -273,7 +273,10 @@ def laid_out(blocks: list[Block], labels: list[int], layout: str) -> tuple[list[
 def fit(pages: DataFrame, html: str = "html", max_pages: int = 60, max_chars: int = 50_000) -> Field:
     """Train on at most `max_pages` pages of at most `max_chars`, chosen by hash, as they are and in every layout."""
     usable = pages.select(F.col(html).alias("_html")).where(F.length("_html").between(1, max_chars))
-    rows = usable.orderBy(F.xxhash64("_html"), "_html").limit(max_pages).collect()
+    hashed = usable.withColumn("_hash", F.xxhash64("_html"))
+    cut = hashed.select("_hash").distinct().orderBy("_hash").limit(max_pages).agg(F.max("_hash")).first()[0]
+    near = hashed.where(F.lit(False) if cut is None else F.col("_hash") <= cut)  # equal pages count once
+    rows = near.dropDuplicates(["_hash"]).orderBy("_hash").limit(max_pages).collect()
     labelled = []
     for r in rows:
         blocks = blocks_of(r["_html"])[:60]

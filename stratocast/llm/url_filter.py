@@ -74,13 +74,16 @@ class UrlFilter:
     """Trees and suffix rates learned from labelled urls."""
 
     def __init__(self, labelled: DataFrame, url: str, label: str, max_rows: int = 20_000, trees: int = 10, depth: int = 3):
-        """Fit on at most `max_rows` rows with label 0 or 1, chosen by a hash of the url."""
-        sample = (
+        """Fit on at most `max_rows` different rows with label 0 or 1, chosen by a hash of the url."""
+        usable = (
             labelled.select(F.col(url).alias("_url"), F.col(label).cast("double").alias("_label"))
             .where("_label IN (0, 1)")
-            .orderBy(F.xxhash64("_url"), "_url", "_label")
-            .limit(max_rows)
+            .distinct()
         )
+        # A share of all that falls below the bound, so that the limit has little to sort.
+        share = min(1.0, 0.9 * max_rows / max(1, usable.count()))
+        place = F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(1 << 30))
+        sample = usable.where(place <= int(share * (1 << 30))).orderBy(place, "_url", "_label").limit(max_rows)
         host, path = host_and_path(F.col("_url"))
         train = lexical(sample.withColumns({"host": host, "path": path})).cache()
         total = train.agg(F.count(F.lit(1)).alias("n"), F.avg("_label").alias("rate")).first()
