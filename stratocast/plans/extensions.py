@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from stratocast.plans import oracle as O
 from stratocast.plans import views as V
 from stratocast.plans.catalog import query, rounded
 from stratocast.sources import files
-from stratocast.storage import shared_folder
+from stratocast.storage import new_path
 
 NBSP = "\u00a0"
 
@@ -136,7 +134,7 @@ def normalize_prediction_maps(spark, sf):
 
 @query
 def observations_round_trip(spark, sf):
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
+    path = new_path(spark) + ".parquet"
     obs = V.observations(spark, sf).withColumns(
         {c: F.lit(None).cast("double") for c in ("latitude", "longitude", "wind_direction_deg", "precipitation_mm", "cloud_cover_pct", "visibility_km")}
     )
@@ -146,7 +144,7 @@ def observations_round_trip(spark, sf):
 
 @query
 def dataset_round_trip(spark, sf):
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.jsonl"
+    path = new_path(spark) + ".jsonl"
     files.write_dataset(V.corpus(spark, sf).drop("sample_id"), path)
     return files.read_dataset(spark, path).groupBy("location").agg(
         F.count(F.lit(1)).alias("rows"), F.max("input").alias("last_input"), F.min("target").alias("first_target")

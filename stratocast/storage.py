@@ -24,6 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/stratocast-{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the session's folder that nothing has been written to."""
+    folder = shared_folder(spark)
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        atexit.register(clear, spark)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write `df` as Parquet to the shared folder and return a reader of it.
 
@@ -31,11 +40,7 @@ def stored(df: DataFrame, partitions: int | None = None) -> DataFrame:
     its own columns. The write is a job, so it runs when this is called.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    path = f"{folder}/{uuid.uuid4().hex}"
-    if folder not in _SEEN:
-        _SEEN.add(folder)
-        atexit.register(clear, spark)
+    path = new_path(spark)
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
