@@ -4,8 +4,10 @@ Features: lengths of url, host and path, path depth, numbers of host labels, of
 hyphens and of query parameters, share of digits, longest host label, entropy of
 the host's characters, and how often labelled urls with the same last label or
 last two labels of the host are to be blocked (smoothed; a training row's own
-label does not count for itself). Only DataFrame functions are used; the trees
-are trained by Spark's own library on a bounded sample of labelled urls.
+label does not count for itself). Only DataFrame functions are used. Suffixes
+are counted over all different labelled urls and looked up by shuffle, frequent
+ones by broadcast; only the trees are trained, by Spark's own library, on a
+bounded sample of labelled urls.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits
 no rule and is scored like any other; repeated rows are judged one by one;
@@ -21,11 +23,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratocast.operators.scale import skew_join
+from stratocast.storage import stored
+
 ADDED = ("host", "path", "rule", "score", "verdict")
 FEATURES = (
     "_url_length", "_host_length", "_path_length", "_depth", "_labels", "_hyphens", "_parameters",
     "_digits", "_longest", "_entropy", "_rate1", "_rate2",
 )
+HEAVY = 10_000  # rows from which on a suffix is looked up by broadcast
 PRIOR = 5.0  # labelled urls that the overall rate counts for in a suffix's rate
 
 # Fixed words whose presence in a host marks a labelled example to block.
@@ -64,47 +70,57 @@ def lexical(urls: DataFrame) -> DataFrame:
         "_parameters": count(url, "[?&]"), "_digits": count(url, "[0-9]") / F.greatest(F.length(url), F.lit(1)),
         "_longest": longest, "_entropy": entropy,
     }
-    columns = {k: v.cast("double") for k, v in features.items()}
-    return urls.withColumns(columns).withColumns(
-        {"_suffix1": F.substring_index(host, ".", -1), "_suffix2": F.substring_index(host, ".", -2)}
-    )
+    return urls.withColumns({k: v.cast("double") for k, v in features.items()})
+
+
+def suffixed(urls: DataFrame) -> DataFrame:
+    """`urls` with the last label and the last two labels of the host."""
+    return urls.withColumns({f"_suffix{i}": F.substring_index("host", ".", -i) for i in (1, 2)})
 
 
 class UrlFilter:
     """Trees and suffix rates learned from labelled urls."""
 
     def __init__(self, labelled: DataFrame, url: str, label: str, max_rows: int = 20_000, trees: int = 10, depth: int = 3):
-        """Fit on at most `max_rows` different rows with label 0 or 1, chosen by a hash of the url."""
-        usable = (
-            labelled.select(F.col(url).alias("_url"), F.col(label).cast("double").alias("_label"))
-            .where("_label IN (0, 1)")
-            .distinct()
-        )
-        # A share of all that falls below the bound, so that the limit has little to sort.
-        share = min(1.0, 0.9 * max_rows / max(1, usable.count()))
-        place = F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(1 << 30))
-        sample = usable.where(place <= int(share * (1 << 30))).orderBy(place, "_url", "_label").limit(max_rows)
+        """Count suffixes over all different rows with label 0 or 1; fit on at most `max_rows`, chosen by a hash of the url."""
         host, path = host_and_path(F.col("_url"))
-        train = lexical(sample.withColumns({"host": host, "path": path})).cache()
-        total = train.agg(F.count(F.lit(1)).alias("n"), F.avg("_label").alias("rate")).first()
+        usable = stored(
+            suffixed(
+                labelled.select(F.col(url).alias("_url"), F.col(label).cast("double").alias("_label"))
+                .where("_label IN (0, 1)")
+                .distinct()
+                .withColumns({"host": host, "path": path})
+            )
+        )
+        total = usable.agg(F.count(F.lit(1)).alias("n"), F.avg("_label").alias("rate")).first()
         self.rate, self.model = total["rate"] or 0.0, None
         self.suffixes = [
-            train.groupBy(f"_suffix{i}").agg(F.count(F.lit(1)).alias(f"_n{i}"), F.sum("_label").alias(f"_s{i}")) for i in (1, 2)
+            stored(usable.groupBy(f"_suffix{i}").agg(F.count(F.lit(1)).alias(f"_n{i}"), F.sum("_label").alias(f"_s{i}")))
+            for i in (1, 2)
         ]
         if total["n"]:
-            own = F.col("_label")
-            rows = self._assembled(self._rated(train, own))
+            # A share of all that falls below the bound, so that the limit has little to sort.
+            share = min(1.0, 0.9 * max_rows / total["n"])
+            place = F.pmod(F.xxhash64("_url", F.lit(1)), F.lit(1 << 30))
+            sample = usable.where(place <= int(share * (1 << 30))).orderBy(place, "_url", "_label").limit(max_rows)
+            train = stored(sample)
+            rows = self._assembled(lexical(self._rated(train, F.col("_label"))))
             gbt = GBTClassifier(featuresCol="_features", labelCol="_label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=1)
             self.model = gbt.fit(rows)
-        train.unpersist()
 
     def _rated(self, urls: DataFrame, own: Column | None = None) -> DataFrame:
+        """`urls` with the suffixes' rates; with `own`, the sample's rows, of which each counts without its own label."""
         for i, table in enumerate(self.suffixes, 1):
-            urls = urls.join(F.broadcast(table), f"_suffix{i}", "left")  # max_rows suffixes at most
+            suffix = f"_suffix{i}"
+            if own is None:
+                urls = skew_join(urls, table, suffix, min_rows=HEAVY)
+            else:
+                met = table.join(F.broadcast(urls.select(suffix).distinct()), suffix, "left_semi")  # max_rows at most
+                urls = urls.join(F.broadcast(met), suffix, "left")
             n, s = F.coalesce(f"_n{i}", F.lit(0)), F.coalesce(f"_s{i}", F.lit(0.0))
             if own is not None:
                 n, s = n - 1, s - own
-            urls = urls.withColumn(f"_rate{i}", (s + PRIOR * self.rate) / (n + PRIOR))
+            urls = urls.withColumn(f"_rate{i}", (s + PRIOR * self.rate) / (n + PRIOR)).drop(f"_n{i}", f"_s{i}")
         return urls
 
     def _assembled(self, urls: DataFrame) -> DataFrame:
@@ -120,7 +136,7 @@ class UrlFilter:
         if self.model is None:
             scored = rows.withColumn("score", F.lit(0.0))
         else:
-            scored = self.model.transform(self._assembled(self._rated(lexical(rows)))).withColumn(
+            scored = self.model.transform(self._assembled(lexical(self._rated(suffixed(rows))))).withColumn(
                 "score", vector_to_array("probability")[1]
             )
         method = F.when(F.col("score") >= threshold, "block").otherwise("allow")

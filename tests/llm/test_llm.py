@@ -199,6 +199,30 @@ def test_url_trees_on_held_out_urls(spark):
     assert wrong <= 3
 
 
+def test_url_suffixes_of_all_labelled_urls(spark):
+    rows = [(f"http://h{i}.site{i % 300}.{'bad' if i % 300 < 100 else 'good'}{i % 7}/{i}", int(i % 300 < 100)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "url string, bad int")
+    judge = url_filter.UrlFilter(df.union(df), "url", "bad", max_rows=50)  # the trees see 50 urls, the rates all
+    want = [collections.defaultdict(lambda: [0, 0]) for _ in range(2)]
+    for url, bad in rows:
+        host = url.split("/")[2].split(".")
+        for i in (1, 2):
+            at = want[i - 1][".".join(host[-i:])]
+            at[0], at[1] = at[0] + 1, at[1] + bad
+    assert judge.rate == pytest.approx(1 / 3)
+    for i, table in enumerate(judge.suffixes, 1):
+        assert {r[f"_suffix{i}"]: [r[f"_n{i}"], r[f"_s{i}"]] for r in table.collect()} == want[i - 1]
+    pages = df.withColumns({"host": F.lit("own"), "more": F.lit(1)}).union(df.limit(1).select("url", "bad", F.lit("own"), F.lit(2)))
+    got = judge.judge(pages, [])
+    assert got.columns == ["url", "bad", "more", "host", "path", "rule", "score", "verdict"] and got.count() == 3001
+    host, path = url_filter.host_and_path(F.col("_url"))
+    every = url_filter.suffixed(df.select(F.col("url").alias("_url"), "bad").withColumns({"host": host, "path": path}))
+    for r in judge._rated(every).collect():
+        for i in (1, 2):
+            n, s = want[i - 1][r[f"_suffix{i}"]]
+            assert r[f"_rate{i}"] == pytest.approx((s + 5 / 3) / (n + 5))
+
+
 # 4 surrogates ---------------------------------------------------------------------
 
 PEOPLE = "Mrs. Anna Petrova and Mr. John Smith; Mr. Smith, г-н Иван Петров"
