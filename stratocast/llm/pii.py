@@ -1,11 +1,12 @@
 """Surrogates for personal data, in DataFrame functions only.
 
-Detected: e-mail addresses, IPv4 addresses, card numbers, phone numbers,
-social security numbers, access keys, values of password / token / secret
-settings that hold a digit, and names after a title. Each entity is replaced by a keyed surrogate
-of its own kind and format: digits stay digits, letters keep their case, card
+Detected: e-mail addresses, IPv4 addresses, card numbers, phone numbers with a
+country code or in a national format with separators, social security numbers,
+access keys, values of password / passwd / token / secret / api key settings
+(names in any case, values of eight or more of A-Z a-z 0-9 + / _ . -), and names
+after a title. Each entity is replaced by a keyed surrogate of its own kind and format: digits stay digits, letters keep their case, card
 numbers keep their first digit and their (in)valid check digit, phone numbers
-their country code and a 555 exchange, addresses of one domain share a
+their country code or leading 0 and a 555 exchange, addresses of one domain share a
 surrogate domain, names keep title, gender and script. The same entity gets the
 same surrogate in every document. Surrogates are checked for collisions over the
 whole corpus and drawn again until different entities of a kind have different
@@ -31,14 +32,24 @@ KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
 CARD = r"(?<![0-9.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<=(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_key)\s{0,2}[=:]\s{0,2}[\"']?)(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{8,}"
+# National numbers: 3-3-4 digits, and a leading 0 with two to four groups. Blanks alone part only what can be an area code.
+NATIONAL = (
+    r"(?=[(0-9])(?<![\p{L}0-9+])(?<![0-9][.,/-])(?:"
+    r"(?:1[ .-])?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2}[ -][0-9]{4})"
+    r"|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})"
+    r"|(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,4}[ /-])[0-9]{3,4}[ -]?[0-9]{3,4}"
+    r")(?![0-9])(?![.,/-][0-9])"
+)
+SETTING = r"(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s{0,2}[=:]"
+# The first look back is for speed only.
+SECRET = rf"(?<=[=:]\s{{0,2}}[\"']?)(?<={SETTING}\s{{0,2}}[\"']?)(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{{8,}}"
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Señora", "г-жа"), "m": ("Mr", "Herr", "Señor", "г-н")}
 TITLE = "(?:" + "|".join(sorted(TITLES["f"] + TITLES["m"], key=len, reverse=True)) + r")\.?"
 NAME = r"\p{Lu}[\p{Ll}'-]+"
 PERSON = rf"(?<![\p{{L}}]){TITLE} {NAME}(?: {NAME})?"
-ANY = "|".join([EMAIL, KEY, IP, PHONE, SSN, CARD, SECRET, PERSON])
+ANY = "|".join([EMAIL, KEY, IP, PHONE, SSN, CARD, NATIONAL, SECRET, PERSON])
 # What any entity contains, to pass over other texts quickly.
-HINT = rf"[0-9@]|AKIA|{TITLE} "
+HINT = rf"[0-9@]|AKIA|{TITLE} |{SETTING}"
 
 # Given names by gender and script.
 GIVEN = {
@@ -56,11 +67,11 @@ def kind_of(value: Column) -> Column:
     whole = {
         "email": f"^{EMAIL}$", "key": r"^AKIA[0-9A-Z]{16}$", "ip": rf"^(?:{OCTET}\.){{3}}{OCTET}$",
         "phone": r"^\+[0-9]", "ssn": r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", "card": r"^[0-9](?:[ -]?[0-9]){12,18}$",
-        "person": rf"^{TITLE} {NAME}",
+        "national": f"^{NATIONAL}$", "person": rf"^{TITLE} {NAME}",
     }
     kind = F.lit("secret")
     for name, pattern in reversed(whole.items()):
-        kind = F.when(value.rlike(pattern), F.lit(name)).otherwise(kind)
+        kind = F.when(value.rlike(pattern), F.lit("phone" if name == "national" else name)).otherwise(kind)
     return kind
 
 
@@ -110,11 +121,11 @@ def _card(value: Column, drawn: Column) -> Column:
 
 
 def _phone(value: Column, drawn: Column, attempt: Column) -> Column:
-    """Country code kept, and a 555 exchange unless the format is crowded."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}?(?=[ .(-]|[0-9]{7,})[ .-]?", 0)
+    """Country code or leading 0 kept, and a 555 exchange unless the format is crowded."""
+    code = F.regexp_extract(value, r"^\+[0-9]{1,3}?(?=[ .(-]|[0-9]{7,})[ .-]?|^1[ .-]|^(?!\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}$)\(?0(?=[1-9])", 0)
     rest = F.expr("substring(_drawn, 1 + length(_code))")
     with_555 = F.concat(F.regexp_extract(rest, r"^\(?[0-9]{3}\)?[ .-]?", 0), F.lit("555"), F.regexp_extract(rest, r"[ .-]?[0-9]{4}$", 0))
-    fits = value.rlike(r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?555[ .-]?[0-9]{4}$") & (attempt < WIDEN_AT)
+    fits = value.rlike(r"^(?:\+[0-9]{1,3}[ .-]?|1[ .-])?\(?[0-9]{3}\)?[ .-]?555[ .-]?[0-9]{4}$") & (attempt < WIDEN_AT)
     return code, F.concat(F.col("_code"), F.when(fits, with_555).otherwise(rest))
 
 
@@ -163,6 +174,7 @@ def surrogate(entities: DataFrame, key: str) -> DataFrame:
         .when(F.col("kind") == "card", _card(value, F.col("_drawn")))
         .when(F.col("kind") == "key", F.concat(F.lit("AKIA"), F.expr("substring(_drawn, 5)")))
         .when(F.col("kind") == "person", _person(value, key, attempt))
+        .when((F.col("kind") == "secret") & (attempt >= WIDEN_AT), F.concat("_drawn", F.substring("_digest", 1, 8)))
         .otherwise(F.col("_drawn"))
     )
     return (

@@ -269,6 +269,35 @@ def test_crowded_surrogates_stay_distinct(spark):
     assert len(rows) == 300 == len({r["surrogate"] for r in rows}) and all(r["surrogate"] != r["value"] for r in rows)
 
 
+def test_surrogates_of_settings_and_national_phones(spark):
+    secrets = ["correcthorsebattery", "Tr0ub4dor.and.3", "onlyletterskey", "JustLettersToo", "abcdefgh", "quotedletters"]
+    settings = ["password: {}", "PASSWORD={}", "API_KEY={}", "apikey = '{}'", "Api-Key: {}", '"Secret": "{}"']
+    phones = ["(217) 555-7713", "217-555-7713", "217.555.7713", "217 555 7713", "1-217-555-7713", "(017)234-5678", "0171/1234567", "020 7946 0958", "(030) 1234567", "01 23 45 67 89"]
+    plain = [
+        "password: ________", "the token was lost", "on 01-02-2024, 2024-01-02 or 05.06.2023 at 10:30", "100 200 3000 items in 12 of 345 cases",
+        "version 217.555.7713.2", "id 217-555-77134", "pages 12-345-678",
+    ]
+    texts = [s.format(v) for s, v in zip(settings, secrets)] + [f"call {p}, now" for p in phones] + plain
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, "key").collect()}
+    for i, value in enumerate(secrets + phones):
+        before, after = texts[i].split(value)
+        new = got[i]["text"]
+        assert got[i]["n_entities"] == 1 and value not in new and new.startswith(before) and new.endswith(after)
+        drawn = new[len(before) : len(new) - len(after)]
+        shape = [tuple("0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in x) for x in (value, drawn)]
+        assert shape[0] == shape[1]
+        if "555" in value:
+            assert drawn[-8:-5] == "555" and (value[:2] != "1-" or drawn[:2] == "1-")
+        if value in phones[6:]:
+            assert drawn.lstrip("(")[0] == "0"
+    n = len(secrets + phones)
+    assert [got[n + i]["text"] for i in range(len(plain))] == plain
+    crowded = spark.createDataFrame([("secret", f"-------{chr(97 + i)}") for i in range(26)], "kind string, value string")
+    rows = pii.surrogate_table(crowded, "k").collect()
+    assert len({r["surrogate"] for r in rows}) == 26 and all(r["surrogate"] != r["value"] for r in rows)
+
+
 # 5 toxicity -----------------------------------------------------------------------
 
 
