@@ -1,17 +1,20 @@
 """Scores of texts by a log-bilinear neural language model, trained in numpy by noise-contrastive estimation.
 
-Tokens are words, A-Z lower-cased, and one end after each text. The model's
-outputs are the SHORT most frequent tokens and one class for all others; within
-that class a token has its smoothed share of the training tokens. The last
-CONTEXT tokens' vectors, weighted by position, are added up and multiplied with
-the output vectors; the softmax over all outputs is computed in full for every
-different context by one matrix product, so probabilities are normalised.
+Tokens are words, A-Z lower-cased, and one end after each text. The MANY most
+frequent tokens are outputs with vectors of their own; rarer ones are dealt by
+hash to classes, one for about TAIL of them, which are outputs too, and within
+such a class a token has its smoothed share of the training tokens. The last
+CONTEXT tokens' vectors, weighted by position, are added up. The softmax has two
+levels: the SHORT most frequent outputs and groups of the others by frequency,
+about as many as a group has outputs; then the outputs within the group. Both
+are computed in full by matrix products, so probabilities are normalised.
 
 Token counts are exact, over all training texts. Training starts from the counts
-(all vectors near zero) and passes once over all training texts: every task
-trains its own copy on the texts it reads, and the copies are averaged, weighted
-by tokens. Counts of the MANY most frequent tokens are broadcast; the others of
-each text are looked up by a join.
+(all vectors near zero) and passes once over all training texts in ROUNDS: in
+each every task trains its own copy on the texts it reads, and each vector is
+averaged over the copies that changed it, weighted by how often they did. Counts
+of the MANY most frequent tokens are broadcast; the others of each text are
+looked up by a join.
 
 Edge cases: null and empty texts are one end token; without training texts
 every token is unknown and the model is uniform; repeated rows are scored one by
@@ -20,7 +23,7 @@ one; columns of the input that carry the name of a result column are replaced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,12 @@ MANY = 1 << 18
 CONTEXT = 3
 DIM = 16
 NOISE = 64
+NOISE_WITHIN = 4  # for each token, from its own group
+TAIL = 256
+ROUNDS = 4
+COPY = 1 << 23  # tokens that a copy of the model learns from in a round, where there are enough
+LEAST = 1 << 19  # tokens from which on a round is worth another copy
+PIECE = 1 << 14  # vectors that are averaged together
 BATCH = 8192
 RATE = 0.06
 FLUSH = 1 << 21  # tokens whose counts a task holds
@@ -54,35 +63,53 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Counts:
-    """Training counts: the MANY most frequent tokens by hash (ascending), total, number of different tokens."""
+    """Training counts: the MANY most frequent tokens by hash (ascending), total, number of different tokens.
+
+    `tail` has the log10 of the smoothed count of each class of other tokens.
+    """
 
     names: np.ndarray
     counts: np.ndarray
     total: int
     kinds: int
+    tail: np.ndarray
 
 
 @dataclass
 class Model:
-    """The outputs' tokens (ascending), their rank, and the vectors; output len(short) is the class of all others."""
+    """The frequent tokens (ascending) and the vectors; outputs from len(short) on are the classes of all others.
+
+    The last column of outputs and heads is the bias. A group's outputs are
+    order[start[g]:start[g + 1]]; groups of one output need no second level.
+    """
 
     short: np.ndarray
     share: np.ndarray
+    group: np.ndarray
+    order: np.ndarray
+    start: np.ndarray
     inputs: np.ndarray
-    places: np.ndarray
     outputs: np.ndarray
-    bias: np.ndarray
+    heads: np.ndarray
+    places: np.ndarray
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.inputs, self.outputs, self.heads, self.places]
+
+    def copy(self) -> Model:
+        return replace(self, inputs=self.inputs.copy(), outputs=self.outputs.copy(), heads=self.heads.copy(), places=self.places.copy())
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         n = len(self.short)
+        other = n + (hashes & np.uint64(len(self.share) - n - 1)).astype(np.int64)  # the classes are a power of two
         if not n:
-            return np.zeros(len(hashes), np.int64)
+            return other
         at = np.minimum(np.searchsorted(self.short, hashes), n - 1)
-        return np.where(self.short[at] == hashes, at, n)
+        return np.where(self.short[at] == hashes, at, other)
 
     def contexts(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The CONTEXT ids before each token; before a text stands the id after the last class."""
-        out = np.full((len(ids), CONTEXT), len(self.short) + 1, np.int64)
+        out = np.full((len(ids), CONTEXT), len(self.share), np.int64)
         at = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
         for k in range(CONTEXT):
             has = np.flatnonzero(at > k)
@@ -91,79 +118,122 @@ class Model:
 
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Natural log probability of each output id in its context."""
-        base = len(self.short) + 2
+        base = len(self.share) + 1
         code = np.zeros(len(ids), np.int64)
         for k in range(CONTEXT):
             code = code * base + context[:, k]
         _, one, back = np.unique(code, return_index=True, return_inverse=True)
-        vector = (self.inputs[context[one]] * self.places).sum(axis=1)
-        norm = np.empty(len(one), np.float32)
-        for a in range(0, len(one), BATCH):
-            logit = vector[a : a + BATCH] @ self.outputs.T + self.bias
-            top = logit.max(axis=1)
-            norm[a : a + BATCH] = np.log(np.exp(logit - top[:, None]).sum(axis=1)) + top
-        own = np.einsum("ij,ij->i", vector[back], self.outputs[ids]) + self.bias[ids]
-        return (own - norm[back]).astype(np.float64)
+        vector = np.ones((len(one), DIM + 1), np.float32)
+        vector[:, :DIM] = (self.inputs[context[one]] * self.places).sum(axis=1)
+        group = self.group[ids]
+        out = (np.einsum("ij,ij->i", vector[back], self.heads[group]) - _norms(vector, self.heads)[back]).astype(np.float64)
+        deep = np.flatnonzero(np.diff(self.start)[group] > 1)
+        deep = deep[np.argsort(group[deep], kind="stable")]
+        edges = np.flatnonzero(np.diff(group[deep], prepend=-1, append=-1)) if len(deep) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            at, g = deep[a:b], group[deep[a]]
+            v = vector[back[at]]
+            within = _norms(v, self.outputs[self.order[self.start[g] : self.start[g + 1]]])
+            out[at] += np.einsum("ij,ij->i", v, self.outputs[ids[at]]) - within
+        return out
+
+
+def _norms(vector: np.ndarray, outputs: np.ndarray) -> np.ndarray:
+    """Log of the sum of the exponentials of each vector's products with all outputs."""
+    norm = np.empty(len(vector), np.float32)
+    for a in range(0, len(vector), 512):
+        logit = vector[a : a + 512] @ outputs.T
+        top = logit.max(axis=1)
+        logit -= top[:, None]
+        norm[a : a + 512] = np.log(np.exp(logit, out=logit).sum(axis=1)) + top
+    return norm
 
 
 def initial(short: np.ndarray, share: np.ndarray, seed: int = 11) -> Model:
-    """The model of the counts alone."""
+    """The model of the counts alone; `share` has the classes of other tokens after those of `short`."""
     rng = np.random.default_rng(seed)
-    n = len(short) + 1
+    n = len(share)
+    order = np.argsort(-share, kind="stable")
+    size = max(1, int(np.ceil(np.sqrt(max(0, n - SHORT)))))
+    start = np.append(np.arange(min(n, SHORT)), np.append(np.arange(SHORT, n, size), n)).astype(np.int64)
+    group = np.empty(n, np.int64)
+    group[order] = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    mass = np.bincount(group, share, len(start) - 1)
+    bias = lambda vectors, x: np.column_stack([vectors, np.log(x)]).astype(np.float32)
     return Model(
         short,
         share,
+        group,
+        order,
+        start,
         rng.normal(0, 0.1, (n + 1, DIM)).astype(np.float32),
+        bias(rng.normal(0, 0.01, (n, DIM)), share / mass[group]),
+        bias(rng.normal(0, 0.01, (len(mass), DIM)), mass),
         (np.ones((CONTEXT, DIM)) / (1 + np.arange(CONTEXT))[:, None]).astype(np.float32),
-        rng.normal(0, 0.01, (n, DIM)).astype(np.float32),
-        np.log(share).astype(np.float32),
     )
 
 
-def _add(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """into[at] += rows, for repeated places."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    into[at[start]] += np.add.reduceat(rows[order], start, axis=0)
+def _noise(logit: np.ndarray) -> np.ndarray:
+    """The probability that a token is noise."""
+    return (1 / (1 + np.exp(np.clip(logit, -30, 30)))).astype(np.float32)
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad; a batch shares its noise."""
+    """Noise-contrastive estimation with Adagrad on both levels; a batch shares the noise of the first."""
 
-    def __init__(self, model: Model, seed: int):
-        self.m = Model(model.short, model.share, model.inputs.copy(), model.places.copy(), model.outputs.copy(), model.bias.copy())
+    def __init__(self, model: Model, seed: int, rate: float = RATE):
+        self.m = model.copy()
+        self.rate = rate
         self.rng = np.random.default_rng(seed)
-        self.parts = [self.m.inputs, self.m.places, self.m.outputs, self.m.bias]
-        self.sums = [np.full(p.shape, 1e-6, np.float32) for p in self.parts]
-        self.grads = [np.zeros_like(p) for p in self.parts]
-        self.log_noise = np.log(NOISE * model.share).astype(np.float32)
-        self.cut = np.cumsum(model.share)
+        self.sums = [np.full(p.shape, 1e-6, np.float32) for p in self.m.parts()]
+        self.times = [np.zeros(len(p), np.int64) for p in self.m.parts()]
+        mass = np.bincount(model.group, model.share, len(model.start) - 1)
+        self.log_noise = np.log(NOISE * mass).astype(np.float32)
+        self.cut = np.cumsum(mass)
+        self.sizes = np.diff(model.start)
         self.seen = 0
 
+    def step(self, part: int, at: np.ndarray, rows: np.ndarray, n: int) -> None:
+        """One step of the vectors at the (repeated) places, by the sum of their gradients over n tokens."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        start = np.flatnonzero(np.diff(at, prepend=-1))
+        one, g = at[start], np.add.reduceat(rows[order], start, axis=0) / np.float32(n)
+        s = self.sums[part][one] + g * g
+        self.sums[part][one] = s
+        self.m.parts()[part][one] -= np.float32(self.rate) * g / np.sqrt(s)
+        self.times[part][one] += np.diff(np.append(start, len(at)))
+
     def batch(self, ids: np.ndarray, context: np.ndarray) -> None:
-        m, (g_in, g_place, g_out, g_bias) = self.m, self.grads
-        for g in self.grads:
-            g[:] = 0
+        m, n = self.m, len(ids)
         noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), len(self.cut) - 1)
         parts = m.inputs[context]
-        vector = np.einsum("ikd,kd->id", parts, m.places)
-        own = np.einsum("ij,ij->i", vector, m.outputs[ids]) + m.bias[ids] - self.log_noise[ids]
-        other = vector @ m.outputs[noise].T + (m.bias[noise] - self.log_noise[noise])
-        up = (1 / (1 + np.exp(np.clip(own, -30, 30)))).astype(np.float32)  # probability that the token is noise
-        down = (1 / (1 + np.exp(-np.clip(other, -30, 30)))).astype(np.float32)
-        back = down @ m.outputs[noise] - up[:, None] * m.outputs[ids]
-        _add(g_out, ids, -up[:, None] * vector)
-        np.add.at(g_out, noise, down.T @ vector)
-        g_bias += np.bincount(ids, -up, len(g_bias)) + np.bincount(noise, down.sum(axis=0), len(g_bias))
-        for k in range(CONTEXT):
-            _add(g_in, context[:, k], back * m.places[k])
-            g_place[k] = (back * parts[:, k]).sum(axis=0)
-        for p, s, g in zip(self.parts, self.sums, self.grads):
-            g /= len(ids)
-            s += g * g
-            p -= RATE * g / np.sqrt(s)
-        self.seen += len(ids)
+        vector = np.ones((n, DIM + 1), np.float32)
+        vector[:, :DIM] = np.einsum("ikd,kd->id", parts, m.places)
+        group = m.group[ids]
+        own = np.einsum("ij,ij->i", vector, m.heads[group]) - self.log_noise[group]
+        other = vector @ m.heads[noise].T - self.log_noise[noise]
+        up, down = _noise(own), 1 - _noise(other)
+        back = down @ m.heads[noise] - up[:, None] * m.heads[group]
+        head = (np.concatenate([group, noise]), np.concatenate([-up[:, None] * vector, down.T @ vector]))
+        deep = np.flatnonzero(self.sizes[group] > 1)
+        if len(deep):
+            v, token, g = vector[deep], ids[deep], group[deep]
+            place = (self.rng.random((len(deep), NOISE_WITHIN)) * self.sizes[g][:, None]).astype(np.int64)
+            drawn = m.order[m.start[g][:, None] + place]
+            log_noise = np.log(NOISE_WITHIN / self.sizes[g]).astype(np.float32)
+            o_own, o_drawn = m.outputs[token], m.outputs[drawn]
+            up = _noise(np.einsum("ij,ij->i", v, o_own) - log_noise)
+            down = 1 - _noise(np.einsum("ij,ikj->ik", v, o_drawn) - log_noise[:, None])
+            back[deep] += np.einsum("ik,ikj->ij", down, o_drawn) - up[:, None] * o_own
+            rows = np.concatenate([-up[:, None] * v, (down[:, :, None] * v[:, None]).reshape(-1, DIM + 1)])
+            self.step(1, np.concatenate([token, drawn.ravel()]), rows, n)
+        self.step(2, *head, n)
+        back = back[:, None, :DIM]
+        places = (back * parts).sum(axis=0)
+        self.step(0, context.ravel(), (back * m.places).reshape(-1, DIM), n)
+        self.step(3, np.arange(CONTEXT), places, n)
+        self.seen += n
 
     def learn(self, texts: list) -> None:
         for a, b in W.slices(texts):
@@ -195,20 +265,52 @@ def _counted(batches):
         yield flush()
 
 
-def _trained(batches, model: Model):
-    task = TaskContext.get()
-    trainer = Trainer(model, 1 + task.partitionId())
+AVERAGED = "group int, piece int, at binary, times binary, change binary"
+SCALE = 256  # of changes in half precision
+
+
+def _packed(group: int, piece: int, at: np.ndarray, times: np.ndarray, change: np.ndarray, maker):
+    held = (at.astype(np.int32), times.astype(np.float32), np.clip(change * SCALE, -65504, 65504).astype(np.float16))
+    arrays = [pa.array([group], pa.int32()), pa.array([piece], pa.int32()), *[pa.array([x.tobytes()]) for x in held]]
+    return maker(arrays, ["group", "piece", "at", "times", "change"])
+
+
+def _unpacked(at: bytes, times: bytes, change: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(change, np.float16).astype(np.float32).reshape(-1, DIM + 1) / SCALE
+    return np.frombuffer(at, np.int32), np.frombuffer(times, np.float32), rows
+
+
+def _pieces(group: int, at: np.ndarray, times: np.ndarray, rows: np.ndarray, maker):
+    for piece in np.unique(at // PIECE).tolist():
+        a, b = np.searchsorted(at, (piece * PIECE, (piece + 1) * PIECE))
+        yield _packed(group, piece, at[a:b], times[a:b], rows[a:b], maker)
+
+
+def _trained(batches, model: Model, round_: int, groups: int):
+    """The changes of one copy of the model, and how often each vector was changed."""
+    part = TaskContext.get().partitionId()
+    trainer = Trainer(model, 1 + part + (round_ << 32), RATE / np.sqrt(1 + round_))
     for batch in batches:
         trainer.learn(batch.column("_bytes").to_pylist())
-    if trainer.seen:
-        flat = np.concatenate([p.ravel() for p in trainer.parts]).astype(np.float64) * trainer.seen
-        row = [pa.array([task.partitionId() % GROUPS], pa.int32()), pa.array([trainer.seen]), pa.array([flat.tobytes()])]
-        yield pa.RecordBatch.from_arrays(row, ["group", "seen", "sum"])
+    first = 0
+    for old, new, times in zip(model.parts(), trainer.m.parts(), trainer.times):
+        at = np.flatnonzero(times)
+        rows = np.zeros((len(at), DIM + 1))
+        rows[:, : old.shape[1]] = new[at] - old[at]
+        if len(at):
+            yield from _pieces(part % groups, first + at, times[at], rows, pa.RecordBatch.from_arrays)
+        first += len(old)
 
 
 def _summed(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x) for x in group.column("sum").to_pylist())
-    return pa.table({"seen": [sum(group.column("seen").to_pylist())], "sum": [total.tobytes()]})
+    piece = group.column("piece")[0].as_py()
+    times, rows = np.zeros(PIECE), np.zeros((PIECE, DIM + 1))
+    for x in zip(*[group.column(c).to_pylist() for c in ("at", "times", "change")]):
+        at, n, change = _unpacked(*x)
+        times[at - piece * PIECE] += n  # each once
+        rows[at - piece * PIECE] += change * n[:, None]
+    at = np.flatnonzero(times)
+    return _packed(group.column("group")[0].as_py(), piece, at + piece * PIECE, times[at], rows[at] / times[at, None], pa.Table.from_arrays)
 
 
 class LanguageModel:
@@ -224,39 +326,51 @@ class LanguageModel:
         often = most_frequent(self.table.where(F.col("token") != end), "c", MANY - 1)
         many = often.union(self.table.where(F.col("token") == end)).toPandas()
         names, counts = many["token"].to_numpy(np.int64).view(np.uint64), many["c"].to_numpy(np.int64)
-        best = names[np.lexsort((names, -counts))][: SHORT - 1]
-        short = np.unique(np.append(best, END)) if len(names) else names
         order = np.argsort(names)
-        self.counts = Counts(names[order], counts[order], int(all_["total"] or 0), int(all_["kinds"]))
-        held = self.counts.counts[np.minimum(np.searchsorted(self.counts.names, short), max(0, len(names) - 1))] if len(names) else counts
-        self.others = self.counts.total - int(held.sum())
-        self.other_kinds = self.counts.kinds - len(short)
-        share = np.append(held, max(self.others, 0)) + SMOOTH
-        self.model = self._train(read, initial(short, share / share.sum()))
+        names, counts = names[order], counts[order]
+        total, kinds = int(all_["total"] or 0), int(all_["kinds"])
+        classes = 1 << max(0, min(MANY, -(-(kinds - len(names)) // TAIL)) - 1).bit_length()
+        n, k = np.zeros(classes), np.zeros(classes)
+        by = self.table.groupBy(F.col("token").bitwiseAND(F.lit(classes - 1)).alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"))
+        for r in by.toLocalIterator():  # MANY rows at most
+            n[r["class"]], k[r["class"]] = r["n"], r["k"]
+        known = (names & np.uint64(classes - 1)).astype(np.int64)
+        tail = n - np.bincount(known, counts, classes) + SMOOTH * (k - np.bincount(known, minlength=classes) + 1)
+        self.counts = Counts(names, counts, total, kinds, np.log10(tail))
+        share = np.append(counts + SMOOTH, tail)
+        self.model = self._train(read, initial(names, share / share.sum()))
 
     def _train(self, read: DataFrame, model: Model) -> Model:
-        start = self.context.broadcast(model)  # of a fixed size
-        sums = (
-            read.mapInArrow(lambda b: _trained(b, start.value), "group int, seen bigint, sum binary")
-            .groupBy("group")
-            .applyInArrow(_summed, "seen bigint, sum binary")
-            .collect()  # GROUPS rows at most
-        )
-        if not sums:
-            return model
-        flat = sum(np.frombuffer(bytes(r["sum"])) for r in sums) / sum(r["seen"] for r in sums)
-        out, at = [], 0
-        for p in (model.inputs, model.places, model.outputs, model.bias):
-            out.append(flat[at : at + p.size].reshape(p.shape).astype(np.float32))
-            at += p.size
-        return Model(model.short, model.share, *out)
+        tokens_ = self.counts.total // ROUNDS
+        copies = max(1, min(self.context.defaultParallelism, tokens_ // LEAST), -(-tokens_ // COPY))
+        groups = min(GROUPS, 1 + copies // 16)
+        for i in range(ROUNDS):
+            start = self.context.broadcast(model)  # of a fixed size
+            rows = (
+                read.where(F.pmod(F.xxhash64("_bytes"), F.lit(ROUNDS)) == i)
+                .coalesce(copies)
+                .mapInArrow(lambda b, start=start, i=i: _trained(b, start.value, i, groups), AVERAGED)
+                .groupBy("group", "piece")
+                .applyInArrow(_summed, AVERAGED)
+                .groupBy("piece")
+                .applyInArrow(_summed, AVERAGED)
+            )
+            model = model.copy()
+            first = np.cumsum([0, *[len(p) for p in model.parts()]])
+            for r in rows.toLocalIterator():  # each piece once
+                at, _, change = _unpacked(bytes(r["at"]), bytes(r["times"]), bytes(r["change"]))
+                for p, a, b in zip(model.parts(), first[:-1], first[1:]):
+                    own = (at >= a) & (at < b)
+                    p[at[own] - a] += change[own, : p.shape[1]]
+            start.destroy()
+        return model
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """All rows of `docs` but the text, with n_tokens, n_known, train_tokens, base_score, score."""
         added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
         kept = [c for c in docs.columns if c not in added and c != text]
         shared = self.context.broadcast((self.model, self.counts))  # of a fixed size
-        own = "_text bigint, _sent bigint, n_tokens bigint, _known bigint, _often double, _short double, _others bigint, _class double, _rare array<bigint>, _times array<bigint>"
+        own = "_text bigint, _sent bigint, n_tokens bigint, _known bigint, _often double, _class double, _rare array<bigint>, _times array<bigint>"
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
         part = stored(
             docs.select(*kept, F.col(text).cast("binary").alias("_bytes")).mapInArrow(
@@ -279,20 +393,19 @@ class LanguageModel:
         all_log = F.col("_often") + log
         smooth = lambda n, kinds: float(np.log10(n + SMOOTH * (kinds + 1)))
         base = all_log - F.col("n_tokens") * smooth(self.counts.total, self.counts.kinds)
-        other = all_log - F.col("_short") - F.col("_others") * smooth(max(self.others, 0), max(self.other_kinds, 0))
         return part.join(looked, "_text").select(
             *kept,
             "n_tokens",
             (F.col("_known") + more).alias("n_known"),
             F.lit(self.counts.total).cast("bigint").alias("train_tokens"),
             base.alias("base_score"),
-            (F.col("_class") + other).alias("score"),
+            (F.col("_class") + log).alias("score"),
         )
 
 
 def _scored(batches, kept: list[str], model: Model, counts: Counts):
     seen: set = set()
-    names = ["_text", "_sent", "n_tokens", "_known", "_often", "_short", "_others", "_class", "_rare", "_times"]
+    names = ["_text", "_sent", "n_tokens", "_known", "_often", "_class", "_rare", "_times"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         texts = batch.column("_bytes").to_pylist()
@@ -310,8 +423,8 @@ def _scored(batches, kept: list[str], model: Model, counts: Counts):
             else:
                 often, log = np.zeros(len(hashes), bool), np.zeros(len(hashes))
             ids = model.ids(hashes)
-            other = ids == len(model.short)
             p = model.log_probabilities(ids, model.contexts(ids, first)) / np.log(10)
+            p = p - np.where(often, 0.0, counts.tail[np.maximum(ids - len(model.short), 0)])
             sums = lambda x: np.bincount(text_of, x, b - a)
             fresh = np.array([w not in seen and not seen.add(w) for w in whole.tolist()], bool)
             rare = np.flatnonzero(~often & fresh[text_of])
@@ -321,8 +434,7 @@ def _scored(batches, kept: list[str], model: Model, counts: Counts):
             times = np.diff(np.append(start, len(order)))
             cut = np.searchsorted(r_text[start], np.arange(b - a + 1))
             columns = [
-                whole, fresh.astype(np.int64), size, sums(often).astype(np.int64), sums(log), sums(np.where(other, 0.0, log)),
-                sums(other).astype(np.int64), sums(p),
+                whole, fresh.astype(np.int64), size, sums(often).astype(np.int64), sums(log), sums(p),
             ]
             for o, c in zip(out, columns):
                 o.append(c)

@@ -152,6 +152,38 @@ def test_language_model_is_normalised_and_learns():
     assert np.exp(trainer.m.log_probabilities(every, one)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_language_model_learns_all_words(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):  # 1500 equally frequent words; the next one is near a multiple of the one before
+        w, out = rng.randrange(1500), []
+        for _ in range(400):
+            out.append(f"v{w}")
+            w = (w // 100 * 100 + 100 + rng.randrange(100)) % 1500
+        rows.append((i, " ".join(out)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    model = language_model.LanguageModel(df.where("doc_id % 6 > 0").crossJoin(spark.range(16)))
+    assert len(model.model.short) == 1501 == len(model.model.share) - 1
+    gain = model.score(df.where("doc_id % 6 = 0")).agg((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).first()[0]
+    print("gain", gain)
+    assert gain > 0.2
+
+
+def test_language_model_tail_classes_are_normalised():
+    rng = np.random.default_rng(1)
+    short, share = np.sort(rng.integers(0, 1 << 63, 900).astype(np.uint64)), rng.random(908)
+    model = language_model.initial(short, share / share.sum())
+    every = np.arange(908)
+    assert set(model.ids(rng.integers(0, 1 << 63, 999).astype(np.uint64))) == set(range(900, 908))
+    trainer = language_model.Trainer(model, 1)
+    context = rng.integers(0, 909, (908, language_model.CONTEXT))
+    for _ in range(20):
+        trainer.batch(every, context)
+    one = np.repeat(context[:1], 908, axis=0)
+    assert np.exp(trainer.m.log_probabilities(every, one)).sum() == pytest.approx(1, abs=1e-4)
+    assert trainer.m.log_probabilities(every, context).mean() > model.log_probabilities(every, context).mean()
+
+
 # 3 url filter ---------------------------------------------------------------------
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
