@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.llm import decontaminate, html_text, language_model, mixing, near_join, pii, substrings, toxicity, url_filter, vector_join
+from stratocast.llm import (
+    decontaminate,
+    hard_negatives,
+    html_text,
+    language_model,
+    mixing,
+    near_join,
+    pii,
+    sharding,
+    spelling,
+    substrings,
+    toxicity,
+    url_filter,
+    vector_join,
+)
 
 PII_KEY = "change-me-per-corpus"  # the queries' key; a user passes a secret one
 
@@ -147,3 +161,128 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract(pages, html_text.fit(pages))
+
+
+# crc32 of bytes: a table of 256 by the reflected polynomial, then one lookup a byte.
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c
+    FROM (SELECT unnest(range(256)) AS i)
+  )
+)"""
+
+
+def _bytes_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda y: ('0x' || y)::BIGINT)"
+
+
+def _crc_sql(numbers: str) -> str:
+    return f"xor(list_reduce({numbers}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295)"
+
+
+@query
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard among 24 and its slot there, and its shard among 25."""
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+
+
+ORACLE_SQL["op12_shards"] = f"""
+WITH RECURSIVE {_CRC_TABLE}, hashed AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_bytes_sql("coalesce(text, '')")} AS b,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::HUGEINT AS k
+  FROM documents
+), jumps AS (
+  SELECT r, n, 0::BIGINT AS here, 0::BIGINT AS "to", k FROM hashed, (VALUES (24), (25)) AS shards(n)
+  UNION ALL
+  SELECT r, n, "to",
+    floor(("to" + 1)::DOUBLE * (2147483648::DOUBLE / (((k * 2862933555777941757 + 1) % 18446744073709551616 >> 33) + 1)::DOUBLE))::BIGINT,
+    (k * 2862933555777941757 + 1) % 18446744073709551616
+  FROM jumps WHERE "to" < n
+), placed AS (
+  SELECT r, max(here) FILTER (n = 24) AS shard, max(here) FILTER (n = 25) AS grown_shard FROM jumps GROUP BY r
+), told AS (
+  SELECT doc_id, len(b)::BIGINT + 8 AS size, {_crc_sql("b")} AS text_crc32, shard, grown_shard
+  FROM hashed JOIN placed USING (r), crc_table
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM told
+"""
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five first positives; every seventh vector's label is moved on."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), anchor=F.col("vec_id") % 100 == 0)
+
+
+ORACLE_SQL["op11_hard_negatives"] = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+  FROM usable a JOIN usable r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+  (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words' number, the form it is a variant of, and the last form."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Near words meet through what is left after one deletion: a replacement leaves equal rests at one place,
+# and a deletion leaves the shorter word.
+ORACLE_SQL["op13_spelling"] = f"""
+WITH RECURSIVE {_CRC_TABLE}, found AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS MATERIALIZED (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM found GROUP BY ALL
+), numbers AS MATERIALIZED (
+  SELECT id, run, n, {_bytes_sql("id || ':' || run")} AS b FROM counted
+), hashed AS (
+  SELECT run, n, {_crc_sql("b")} AS h FROM numbers, crc_table
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hashed
+), vocabulary AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), placed AS (
+  SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary
+), rests AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM placed
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT r.word, v.word, v.n FROM rests r JOIN vocabulary v ON r.rest = v.word
+  UNION
+  SELECT v.word, r.word, r.n FROM rests r JOIN vocabulary v ON r.rest = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word
+), named AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * v.n THEN other END AS form,
+    CASE WHEN other_n >= 2 * v.n THEN other_n END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)
+), followed AS (
+  SELECT word, word AS root, form AS next FROM named
+  UNION ALL
+  SELECT f.word, f.next, n.form FROM followed f JOIN named n ON f.next = n.word
+)
+SELECT n.word, form, root, n, n_near, form_n FROM named n JOIN followed f ON n.word = f.word AND f.next IS NULL
+"""
