@@ -182,8 +182,9 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     met = told.withColumn("other", other).withColumn(
         "sides", F.least("piece", "other") * (1 << 20) + F.greatest("piece", "other")
     )
-    found = (
+    found = (  # dealt anew, or all meetings of a group would stay in the partition that the join put it in
         met.select("tail", "part", "sides", "piece", "word", "n")
+        .repartition("tail", "part", "sides")
         .groupBy("tail", "part", "sides")
         .applyInArrow(_meet, "word string, n_near bigint, best_n bigint, best string")
     )
