@@ -291,8 +291,10 @@ def _met(rows: DataFrame, anchors: DataFrame, most: int, rates: tuple[int, int]
     keys = ["size", "list", "piece", "block"]
     anchors = anchors.select(*[F.col(c).alias(c) for c in anchors.columns])  # both sides come from one table
     return (
-        rows.groupBy(*keys)
-        .cogroup(anchors.groupBy(*keys))
+        # Dealt anew, or all pieces of a list would stay in the partition that a join put the list in.
+        rows.repartition(*keys)
+        .groupBy(*keys)
+        .cogroup(anchors.repartition(*keys).groupBy(*keys))
         .applyInArrow(
             lambda r, a: _search(r, a, most, rates), "anchor bigint, window bigint, key bigint, row bigint, score bigint"
         )
