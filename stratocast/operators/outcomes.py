@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratocast.operators.ranges import range_summary
+
 # Edges of the declared bands.
 BANDS = {
     "temperature_c": [-10.0, 0.0, 10.0, 20.0, 30.0, 40.0],
@@ -32,35 +34,26 @@ def verify_outcomes(
 ) -> DataFrame:
     """`key` and observed STRUCT<rain, temperature> over (generated_at, valid_until] at each forecast's location.
 
-    Both sides meet by location and day, so a forecast looks at the days it
-    covers only. Nothing observed gives NULL fields; the struct feeds
-    `rewards.join_observed`. Observations are summed up by location, day and
-    minute first where they repeat.
+    Observations are summed up by location and time, and each different range of
+    time is answered by its two bounds (`ranges.range_summary`): no forecast
+    meets a single observation, and a hot location is spread by time. Nothing
+    observed gives NULL fields; the struct feeds `rewards.join_observed`.
     """
-    day = F.explode(
-        F.when(
-            F.col("generated_at") < F.col("valid_until"),
-            F.sequence(F.to_date("generated_at"), F.to_date("valid_until")),
+    asked = forecasts.select(F.col(key).alias("_id"), F.col(location).alias("at"), F.col("generated_at").alias("since"), F.col("valid_until").alias("until"))
+    temperature = F.nanvl("temperature_c", F.lit(None))
+    seen = (
+        obs.where(F.col(location).isNotNull() & F.col("datetime").isNotNull())
+        .groupBy(F.col(location).alias("at"), F.col("datetime").alias("time"))
+        .agg(
+            F.coalesce(F.sum(temperature), F.lit(0.0)).alias("total"),
+            F.count(temperature).alias("n"),
+            F.max(F.nanvl("precipitation_probability", F.lit(None))).alias("top"),
         )
     )
-    asked = forecasts.select(F.col(key).alias("_id"), F.col(location).alias("_at"), "generated_at", "valid_until")
-    seen = obs.select(
-        F.col(location).alias("_at"),
-        F.to_date("datetime").alias("_day"),
-        "datetime",
-        F.nanvl("temperature_c", F.lit(None)).alias("_t"),
-        F.nanvl("precipitation_probability", F.lit(None)).alias("_p"),
-    )
-    inside = (F.col("datetime") > F.col("generated_at")) & (F.col("datetime") <= F.col("valid_until"))
-    found = (
-        asked.select("*", day.alias("_day"))
-        .join(seen, ["_at", "_day"])
-        .where(inside)
-        .groupBy("_id")
-        .agg((F.max("_p") >= rain_from).alias("rain"), F.avg("_t").alias("temperature"))
-    )
-    return asked.join(found, "_id", "left").select(
-        F.col("_id").alias(key), F.struct("rain", "temperature").alias("observed")
+    found = range_summary(asked.select("at", "since", "until"), seen)
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    return asked.join(found, ["at", "since", "until"], "left").select(
+        F.col("_id").alias(key), F.struct((F.col("top") >= rain_from).alias("rain"), mean.alias("temperature")).alias("observed")
     )
 
 
