@@ -43,6 +43,23 @@ def _extreme(values: list[str], pick: str) -> str:
     return f"{pick}({', '.join(values)})" if len(values) > 1 else values[0]
 
 
+def features(length: int, horizon: int) -> list[str]:
+    """Input arrays and horizon aggregates from the structs _s0, _s1, ... of length + horizon consecutive rows."""
+    temp, humidity, wind, precip = (
+        _future(c, length, horizon)
+        for c in ("temperature_c", "humidity_pct", "wind_speed_kph", "precipitation_probability")
+    )
+    return [
+        *["array(" + ", ".join(f"_s{k}.{column}" for k in range(length)) + f") AS {name}" for name, column in SERIES.items()],
+        f"{_mean(temp)} AS avg_temp",
+        f"{_extreme(temp, 'greatest')} AS max_temp",
+        f"{_extreme(temp, 'least')} AS min_temp",
+        f"{_mean(humidity)} AS avg_humidity",
+        f"{_extreme(wind, 'greatest')} AS max_wind",
+        f"{_mean(precip)} AS avg_precip",
+    ]
+
+
 def _windows(rows: DataFrame, partition: str, order: str, length: int, horizon: int, keep: str = "true") -> DataFrame:
     """Every start with its input arrays and horizon aggregates.
 
@@ -57,26 +74,10 @@ def _windows(rows: DataFrame, partition: str, order: str, length: int, horizon:
     steps = [f"{step} AS _s0", *[f"lead({step}, {k}) {over} AS _s{k}" for k in range(1, ahead)]]
     carried = [c for c in rows.columns if c not in SERIES.values() and not c.startswith("_")]
     helpers = [c for c in ("_member", "_chunk") if c in rows.columns]
-    temp, humidity, wind, precip = (
-        _future(c, length, horizon)
-        for c in ("temperature_c", "humidity_pct", "wind_speed_kph", "precipitation_probability")
-    )
     return (
         rows.selectExpr(*carried, *helpers, *steps, f"lead(true, {ahead}) {over} AS _complete")
         .where(f"_complete AND {keep}")
-        .selectExpr(
-            *carried,
-            *[
-                "array(" + ", ".join(f"_s{k}.{column}" for k in range(length)) + f") AS {name}"
-                for name, column in SERIES.items()
-            ],
-            f"{_mean(temp)} AS avg_temp",
-            f"{_extreme(temp, 'greatest')} AS max_temp",
-            f"{_extreme(temp, 'least')} AS min_temp",
-            f"{_mean(humidity)} AS avg_humidity",
-            f"{_extreme(wind, 'greatest')} AS max_wind",
-            f"{_mean(precip)} AS avg_precip",
-        )
+        .selectExpr(*carried, *features(length, horizon))
     )
 
 
