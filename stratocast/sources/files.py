@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratocast.schemas import HOURLY_BLOCK, OBSERVATION, QUALITY_CASE, TRAINING_RECORD
+from stratocast.sources.json_split import array_records, first_characters, map_entries
 
 _ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS"
 _PLAIN = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -53,19 +54,14 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("datetime", F.to_timestamp("datetime"))
 
 
-def _starts_with(spark: SparkSession, path: str) -> str:
-    """The first character that is no white space."""
-    head = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 1)).limit(1)
-    row = head.collect()
-    return row[0][0] if row else ""
-
-
 def _read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines, or one JSON array per file."""
-    reader = spark.read.schema(schema)
-    if _starts_with(spark, path) == "[":
-        return reader.option("multiLine", True).json(path)
-    return reader.json(path)
+    """JSON lines, or arrays of records, whichever each file holds; an array of any size is many tasks."""
+    arrays = first_characters(spark, path).where("first = '['")
+    if arrays.isEmpty():
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).join(arrays, "file", "left_anti")
+    texts = lines.where(F.trim("value") != "").select(F.col("value").alias("text"))
+    return array_records(spark, path, arrays).select("text").union(texts).select(F.from_json("text", schema).alias("r")).select("r.*")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -97,14 +93,18 @@ def read_quality_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(id, generated_forecast) from a JSON object {id: text} or a list of records."""
-    if _starts_with(spark, path) == "[":
-        schema = "id string, generated_forecast string, forecast string"
-        rows = spark.read.schema(schema).option("multiLine", True).json(path)
-        # The rows of one array file come in file order.
-        return normalize_predictions(rows.withColumn("_position", F.monotonically_increasing_id()), F.col("_position"))
-    whole = spark.read.text(path, wholetext=True)
-    return normalize_prediction_maps(whole.select(F.from_json("value", "map<string,string>").alias("predictions")))
+    """(id, generated_forecast) from files of JSON maps {id: text} or lists of records; of equal ids the last wins, by file and place."""
+    heads = first_characters(spark, path)
+    record = "id string, generated_forecast string, forecast string"
+    listed = array_records(spark, path, heads.where("first = '['")).select(F.from_json("text", record).alias("r"), "file", "position")
+    place = F.struct("file", "position")
+    text = F.coalesce(F.nullif("r.generated_forecast", F.lit("")), F.nullif("r.forecast", F.lit("")))
+    mapped = map_entries(spark, path, heads.where("first = '{'")).select(
+        F.col("key").alias("id"), F.coalesce("value", F.lit("None")).alias("text"), place.alias("place")
+    )
+    named = listed.select(F.nullif("r.id", F.lit("")).alias("id"), text.alias("text"), place.alias("place"))
+    both = named.where("id IS NOT NULL AND text IS NOT NULL").union(mapped)
+    return both.groupBy("id").agg(F.max_by("text", "place").alias("generated_forecast"))
 
 
 def normalize_predictions(df: DataFrame, position: Column) -> DataFrame:
@@ -122,8 +122,10 @@ def normalize_predictions(df: DataFrame, position: Column) -> DataFrame:
     )
 
 
-def normalize_prediction_maps(df: DataFrame, predictions: str = "predictions") -> DataFrame:
-    """Map shape: one row per id, the last of equal ones; a null text reads 'None'."""
-    entries = df.select(F.posexplode(F.map_entries(predictions)).alias("_at", "_entry"))
+def normalize_prediction_maps(df: DataFrame, predictions: str = "predictions", place: Column | None = None) -> DataFrame:
+    """Map shape: one row per id, the last of equal ones by (place of the map, place in it); a null text reads 'None'."""
+    at = F.lit(0) if place is None else place
+    entries = df.select(at.alias("_map"), F.posexplode(F.map_entries(predictions)).alias("_at", "_entry"))
     text = F.coalesce(F.col("_entry.value").cast("string"), F.lit("None"))
-    return entries.groupBy(F.col("_entry.key").alias("id")).agg(F.max_by(text, "_at").alias("generated_forecast"))
+    last = F.max_by(text, F.struct("_map", "_at"))
+    return entries.groupBy(F.col("_entry.key").alias("id")).agg(last.alias("generated_forecast"))
