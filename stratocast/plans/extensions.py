@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.functions import extract
-from stratocast.operators import evaluate, outcomes, rewards
+from stratocast.operators import evaluate, inference, outcomes, rewards
 from stratocast.operators import sequences as seq
 from stratocast.plans import oracle as O
 from stratocast.plans import views as V
 from stratocast.plans.catalog import query, rounded
 from stratocast.sources import files
 from stratocast.storage import new_path
+from stratocast.streaming import outcomes as stream_outcomes
+from stratocast.streaming import sinks
+from stratocast.streaming import windows as stream_state
 
 NBSP = "\u00a0"
 
@@ -157,6 +160,99 @@ def evaluate_pinned(spark, sf):
     return rounded(evaluate.evaluate(V.predictions(spark, sf), by=["band"], bleu="bleu4", rouge="library"))
 
 
+@query
+def bootstrap_interval(spark, sf):
+    """The overall score with its resampled interval."""
+    p = V.predictions(spark, sf)
+    return rounded(inference.evaluate_with_bootstrap(p, "sample_id", ["band"]).select("band", "predictions", "overall_score", "bootstrap_low", "bootstrap_high"))
+
+
+@query
+def calibration_curve(spark, sf):
+    return rounded(inference.calibration_curve(V.probabilities(spark, sf), "p", "outcome", ["toxic"]))
+
+
+@query
+def paired_significance(spark, sf):
+    """Do the two texts of a prediction earn different rewards?"""
+    p = V.predictions(spark, sf)
+    both = [
+        rewards.composite_reward(p, text, "observed").select("sample_id", "band", F.col("total_reward").alias(name))
+        for text, name in (("generated_forecast", "one"), ("reference_forecast", "two"))
+    ]
+    pairs = both[0].join(both[1].drop("band"), "sample_id")
+    return rounded(inference.sign_flip_test(pairs, "one", "two", "sample_id", ["band"]))
+
+
+@query
+def change_points(spark, sf):
+    """Levels of the daily mean temperature of each group of stations."""
+    obs = V.observations(spark, sf).withColumns({"station_group": F.substring("location_name", -1, 1), "day": F.to_date("datetime")})
+    days = obs.groupBy("station_group", "day").agg(F.avg("temperature_c").alias("mean"))
+    found = inference.change_points(days, "mean", "day", ["station_group"], slack=0.25, limit=2.0)
+    dates = {c: F.date_format(c, "yyyy-MM-dd") for c in ("day", "up_since", "down_since")}
+    return rounded(found.withColumns(dates))
+
+
+def _closed(df: DataFrame, path: str, time: str, **later: str) -> DataFrame:
+    """The rows of `df` written as a stream's files, with two rows at a place of their own that end the stream.
+
+    `later`: other times of these rows, as an interval from `time`.
+    """
+    df.write.parquet(path)
+    for days in (30, 60):
+        end = F.max(time) + F.expr(f"INTERVAL {days} DAYS")
+        filled = {time: end, "location_name": F.lit("end of stream"), "event_id": F.lit(-days)}
+        filled |= {c: end + F.expr(f"INTERVAL {span}") for c, span in later.items()}
+        row = df.agg(*[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+        row.write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query
+def verify_stream(spark, sf):
+    """Forecasts and observations as two streams: the outcomes that `verify_outcomes` finds in tables."""
+    made = forecasts_made(spark, sf)
+    forecasts = _closed(made, new_path(spark), "generated_at", valid_until="1 HOUR")
+    obs = _closed(V.observations(spark, sf), new_path(spark), "datetime")
+    found = stream_outcomes.verify_stream(forecasts, obs, "event_id", longest="12 hours")
+    out = new_path(spark)
+    sinks.start_exactly_once(found, out, "verify", new_path(spark)).awaitTermination()
+    rows = sinks.read_batches(spark, out, found.schema).where("event_id >= 0")
+    return rounded(rows.select("event_id", "observed.rain", "observed.temperature"))
+
+
+@query
+def stream_windows(spark, sf):
+    """Sliding windows from keyed state: the horizon aggregates that `horizon_aggregates` finds in a table."""
+    before = spark.conf.get(stream_state.PROVIDER, None)
+    stream_state.with_rocksdb(spark)
+    try:
+        obs = _closed(V.observations(spark, sf), new_path(spark), "datetime")
+        found = stream_state.stream_windows(obs, order=V.ORDER)
+        out = new_path(spark)
+        sinks.start_exactly_once(found, out, "windows", new_path(spark)).awaitTermination()
+    finally:
+        spark.conf.unset(stream_state.PROVIDER) if before is None else spark.conf.set(stream_state.PROVIDER, before)
+    return rounded(sinks.read_batches(spark, out, found.schema).select("location_name", "datetime", "event_id", *seq.HORIZON))
+
+
+@query
+def quality_case_files(spark, sf):
+    """Quality cases written as JSON arrays, read back by many tasks."""
+    cases = V.quality_cases(V.predictions(spark, sf))
+    folder = new_path(spark) + ".json"
+    arrays = cases.groupBy(F.floor(F.col("id").cast("bigint") / 50)).agg(F.to_json(F.collect_list(F.struct(*cases.columns))).alias("value"))
+    arrays.select("value").write.text(folder)
+    c = files.read_quality_cases(spark, folder)
+    return rounded(
+        c.select(
+            "id", "location", "input", "reference_forecast", F.col("required_terms"), F.array_join("forbidden_patterns", " ").alias("patterns"),
+            "observed_weather.rain", "observed_weather.temperature",
+        )
+    )
+
+
 _GAPPY = """gappy AS (SELECT location_name, CASE WHEN event_id % 41 <> 0 THEN datetime END AS datetime, event_id,
  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 97 = 0 THEN 1000.0 ELSE temperature_c END AS temperature_c,
  CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 89 = 0 THEN 150.0 ELSE humidity_pct END AS humidity_pct, wind_speed_kph,
@@ -298,4 +394,76 @@ def sql() -> dict[str, str]:
     q["dataset_round_trip"] = O.with_ctes(
         'SELECT location, count(*) AS "rows", max(input) AS last_input, min(target) AS first_target FROM corpus GROUP BY 1', "corpus"
     )
+    q["verify_stream"] = q["verify_outcomes"]
+    q["stream_windows"] = O.oracle()["horizon_aggregates"]
+    q.update(_inference_sql())
+    q["quality_case_files"] = O.with_ctes(
+        """SELECT CAST(sample_id AS VARCHAR) AS id, location, 'Weather data' AS input, reference_forecast, band || '|Conditions|' || wind_term AS required_terms,
+ '\\| generate a forecast GUSTS near 4[5-9]' AS patterns, obs_rain AS rain, round(obs_temp, 6) AS temperature FROM pred""", "pred"
+    )
     return q
+
+
+def _lanes_sql(key: str, draws: int) -> str:
+    """(lane, draw) of every row, as a list of structs."""
+    lanes = inference.LANES
+    return f"""list_transform(range({draws}), lambda nth: struct_pack(lane := nth,
+ draw := ('0x' || substr(md5('0:' || {key} || ':' || (nth // {lanes})), ((nth % {lanes}) * 4 + 1)::INT, 4))::INT))"""
+
+
+def _inference_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    w, weights = inference, evaluate.OVERALL
+    poisson = " + ".join(f"(x.draw >= {int(65536 * sum(1 / (2.718281828459045 * _factorial(i)) for i in range(k + 1)))})::INT" for k in range(8))
+    names = {"bleu": "rouge_1", "rouge_1": "rouge_1", "categorical": "categorical", "length": "length_sim", "readability": "read_score"}
+    score = " + ".join(f"{weights[n]}::DOUBLE * coalesce({c}, 0)" for n, c in names.items())
+    q["bootstrap_interval"] = O.with_ctes(
+        f""", drawn AS (SELECT band, score, hit, pair, x.lane, {poisson} AS w FROM (SELECT band, {score} AS score, rain_hit AS hit, rain_pair AS pair,
+ unnest({_lanes_sql('sample_id', w.REPLICATES)}) AS x FROM scored)),
+ means AS (SELECT band, sum(w * score) / sum(w) + {weights['rain']}::DOUBLE * sum(w * hit) / greatest(sum(w * pair), 1) AS m FROM drawn GROUP BY band, lane HAVING sum(w) > 0),
+ ends AS (SELECT band, list_sort(list(m)) AS l FROM means GROUP BY band)
+ SELECT e.band, predictions, {O.r6('overall_score')} AS overall_score, round(l[floor((len(l) - 1) * 0.025 + 1e-9)::INT + 1], 6) AS bootstrap_low,
+ round(l[ceil((len(l) - 1) * 0.975 - 1e-9)::INT + 1], 6) AS bootstrap_high FROM ({O.evaluation(['band'])}) e JOIN ends ON ends.band = e.band""",
+        "scored",
+    )
+    p = "(doc_id * 37 % 101)::DOUBLE / 100"
+    # The isotonic fit of a bin is the largest, over starts up to it, of the smallest mean up to any end from it on.
+    q["calibration_curve"] = f"""WITH bins AS (SELECT toxic, least(floor({p} * 100), 99)::INT AS bin, count(*) AS n, avg({p}) AS mean_p, avg(quality) AS rate
+ FROM labels GROUP BY 1, 2),
+ spans AS (SELECT a.toxic, a.bin AS lo, b.bin AS hi, (SELECT sum(c.n * c.rate) / sum(c.n) FROM bins c WHERE c.toxic = a.toxic AND c.bin BETWEEN a.bin AND b.bin) AS mean
+  FROM bins a JOIN bins b ON a.toxic = b.toxic AND a.bin <= b.bin),
+ least_of AS (SELECT x.toxic, x.bin, s.lo, min(s.mean) AS m FROM bins x JOIN spans s ON s.toxic = x.toxic AND s.lo <= x.bin AND s.hi >= x.bin GROUP BY 1, 2, 3)
+ SELECT x.toxic, x.bin, x.n AS "rows", round(x.mean_p, 6) AS mean_p, round(x.rate, 6) AS rate, round(max(l.m), 6) AS fitted
+ FROM bins x JOIN least_of l ON l.toxic = x.toxic AND l.bin = x.bin GROUP BY x.toxic, x.bin, x.n, x.mean_p, x.rate"""
+    two = O.rewarded("reference_forecast", "obs_rain", "obs_temp", O.W_DEFAULT) % "pred"
+    signed = ", ".join(f"sum(CASE WHEN (x.draw >> {k}) & 1 = 1 THEN d ELSE -d END) AS s{k}" for k in range(16))
+    far = " + ".join(f"(abs(s{k}) >= abs(s) - 1e-9 * size)::INT" for k in range(16))
+    q["paired_significance"] = O.with_ctes(
+        f""", two AS ({two}), d AS (SELECT r.sample_id, r.band, two.total_reward - r.total_reward AS d FROM rewarded r JOIN two ON two.sample_id = r.sample_id),
+ drawn AS (SELECT band, d, unnest({_lanes_sql('sample_id', w.FLIPS // 16)}) AS x FROM d),
+ sums AS (SELECT band, x.lane, count(*) AS n, sum(d) AS s, sum(abs(d)) AS size, {signed} FROM drawn GROUP BY band, x.lane)
+ SELECT band, max(n) AS pairs, round(first(s) / max(n), 6) AS delta, round((sum({far}) + 1) / {w.FLIPS + 1}.0::DOUBLE, 6) AS p_value FROM sums GROUP BY band""",
+        "rewarded",
+    )
+    sums = {"up": "z - 0.25", "down": "-z - 0.25"}
+    first = ", ".join(f"greatest(0.0::DOUBLE, {e}) AS {c}, CASE WHEN {e} <= 0 THEN day END AS {c}_zero" for c, e in sums.items())
+    following = ", ".join(
+        f"greatest(0.0::DOUBLE, r.{c} + {e}), CASE WHEN r.{c} + {e} <= 0 THEN d.day ELSE r.{c}_zero END"
+        for c, e in (("up", "d.z - 0.25"), ("down", "-d.z - 0.25"))
+    )
+    q["change_points"] = O.with_ctes(
+        f""", days AS (SELECT right(location_name, 1) AS station_group, CAST(datetime AS DATE) AS day, avg(temperature_c) AS mean FROM obs GROUP BY 1, 2),
+ z AS (SELECT *, coalesce((mean - avg(mean) OVER w) / nullif(stddev_pop(mean) OVER w, 0), 0) AS z,
+ row_number() OVER (PARTITION BY station_group ORDER BY day) AS rn FROM days WINDOW w AS (PARTITION BY station_group)),
+ run AS (SELECT station_group, rn, day, mean, {first} FROM z WHERE rn = 1
+ UNION ALL SELECT d.station_group, d.rn, d.day, d.mean, {following} FROM run r JOIN z d ON d.station_group = r.station_group AND d.rn = r.rn + 1)
+ SELECT station_group, CAST(day AS VARCHAR) AS day, round(mean, 6) AS mean, round(up, 6) AS up, round(down, 6) AS down,
+ CASE WHEN up > 2 THEN CAST(up_zero AS VARCHAR) END AS up_since, CASE WHEN down > 2 THEN CAST(down_zero AS VARCHAR) END AS down_since,
+ up > 2 OR down > 2 AS changed FROM run""",
+        "obs",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    return q
+
+
+def _factorial(n: int) -> int:
+    return 1 if n < 2 else n * _factorial(n - 1)

@@ -83,7 +83,7 @@ def array_records(spark: SparkSession, path: str, files: DataFrame | None = None
     if files is not None:
         pieces = pieces.join(files.select("file"), "file", "left_semi")
     found = _split(pieces, "}", "{", "}", 0).where("ends = 1")
-    whole = F.concat(F.ltrim(F.col("text"), F.lit(_BLANK + "[,")), F.lit("}"))
+    whole = F.concat(F.ltrim(F.col("text"), F.lit(_BLANK + "[],")), F.lit("}"))
     return found.select("file", "position", whole.alias("text"))
 
 

@@ -20,13 +20,13 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from stratocast.operators.sequences import SERIES, features
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def with_rocksdb(spark: SparkSession) -> SparkSession:
     """Keep the state of this session's new queries in RocksDB."""
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    spark.conf.set(PROVIDER, _ROCKSDB)
     return spark
 
 
