@@ -17,6 +17,16 @@ HEAVY_LIMIT = 10_000
 HEAVY_ROWS = 1_000_000
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a scan that has fewer tasks than there are cores by `keys`.
+
+    For costly work per row on a file of few row groups. A large table has tasks
+    enough and stays as it is, so nothing is shuffled at scale.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
 def heavy_keys(
     df: DataFrame, key: str, min_rows: int = HEAVY_ROWS, limit: int = HEAVY_LIMIT, **extra: Column
 ) -> DataFrame:

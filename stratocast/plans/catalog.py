@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.functions import extract, labels, render, reward, text
-from stratocast.operators import candidates, corpus, evaluate, forecasts, gate, ingest, metriclog, rewards
+from stratocast.operators import candidates, corpus, evaluate, forecasts, gate, ingest, metriclog, rewards, scale
 from stratocast.operators import sequences as seq
 from stratocast.storage import stored
 from stratocast.plans import views as V
@@ -279,7 +279,7 @@ def build_vocab(spark, sf):
 
 @query
 def encode_vocab(spark, sf):
-    d = V.table(spark, sf, "documents").select("doc_id", "text")
+    d = scale.spread(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     coded = corpus.encode_vocab(d, ["doc_id"], {"text": "ids"}, corpus.build_vocab(d, ["text"]))
     return coded.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_md5"))
 

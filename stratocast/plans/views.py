@@ -153,8 +153,9 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the one of the next id."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
+    scan = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = scale.spread(scan, "doc_id")
+    following = scan.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next_text"))
     return d.join(following, "doc_id")
 
 

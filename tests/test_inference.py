@@ -116,4 +116,4 @@ def test_change_points_equal_the_recursion(spark):
     first = min(t for (s, t), r in got.items() if s == "up" and r["up"] > 4)
     assert 40 <= first < 56 and 36 <= got["up", first]["up_since"] < 44
     assert not any(r["changed"] for (s, _), r in got.items() if s == "flat")
-    assert got["gaps", 59]["down"] > 4
+    assert got["gaps", 59]["down"] > 3
