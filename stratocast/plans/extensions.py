@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.functions import extract
-from stratocast.operators import evaluate, inference, outcomes, rewards
+from stratocast.operators import evaluate, inference, outcomes, profiles, rewards
 from stratocast.operators import sequences as seq
 from stratocast.plans import oracle as O
 from stratocast.plans import views as V
@@ -194,6 +194,27 @@ def change_points(spark, sf):
     return rounded(found.withColumns(dates))
 
 
+@query
+def merged_profile(spark, sf):
+    """Profiles of days, stored and merged: exact figures, and whether the sketched ones lie within their error."""
+    obs = gappy_observations(spark, sf)
+    path = new_path(spark)
+    profiles.store_profiles(obs, path)
+    merged = profiles.merge_profiles(profiles.read_profiles(spark, path))
+    c = "temperature_c"
+    t, clean = F.nanvl(c, F.lit(None)), ["records", "first_datetime", "last_datetime", f"{c}_n", f"{c}_mean", f"{c}_low", f"{c}_high"]
+    below = {q: F.col(f"{c}_{q}") for q in profiles.QUARTILES}
+    both = obs.crossJoin(merged.select(*clean, F.col("locations").alias("_guess"), *[v.alias(f"_{q}") for q, v in below.items()]))  # one row
+    ranks = [F.abs(F.avg(F.when(t.isNotNull(), (t < F.col(f"_{q}")).cast("double"))) - share) for q, share in profiles.QUARTILES.items()]
+    ties = [F.avg(F.when(t.isNotNull(), (t == F.col(f"_{q}")).cast("double"))) for q in profiles.QUARTILES]
+    close = [r <= 0.03 + e for r, e in zip(ranks, ties)]
+    exact = F.count_distinct("location_name")
+    checked = both.groupBy(*clean).agg(
+        (F.abs(F.first("_guess") - exact) <= F.ceil(exact * 0.05)).alias("locations_close"), (close[0] & close[1] & close[2]).alias("quartiles_close")
+    )
+    return rounded(checked)
+
+
 def _closed(df: DataFrame, path: str, time: str, **later: str) -> DataFrame:
     """The rows of `df` written as a stream's files, with two rows at a place of their own that end the stream.
 
@@ -394,6 +415,10 @@ def sql() -> dict[str, str]:
     q["dataset_round_trip"] = O.with_ctes(
         'SELECT location, count(*) AS "rows", max(input) AS last_input, min(target) AS first_target FROM corpus GROUP BY 1', "corpus"
     )
+    t = _clean("temperature_c")
+    q["merged_profile"] = f"""{head} SELECT count(*) AS records, epoch_us(min(datetime)) AS first_datetime, epoch_us(max(datetime)) AS last_datetime,
+ count({t}) AS temperature_c_n, round(avg({t}), 6) AS temperature_c_mean, round(min({t}), 6) AS temperature_c_low, round(max({t}), 6) AS temperature_c_high,
+ true AS locations_close, true AS quartiles_close FROM gappy"""
     q["verify_stream"] = q["verify_outcomes"]
     q["stream_windows"] = O.oracle()["horizon_aggregates"]
     q.update(_inference_sql())
