@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratocast.functions import extract, text
+from stratocast.functions.stemming import SHORTEST, with_stem
 from stratocast.operators.corpus import take_first
+from stratocast.operators.scale import skew_join
 
 # Weights of the overall score, and the report thresholds.
 OVERALL = {
@@ -75,13 +77,17 @@ def score_rows(
     reference: str = "reference_forecast",
     bleu: str = "overlap",
     rouge: str = "fallback",
+    identity: Sequence[str] = (),
 ) -> DataFrame:
     """Add every row-level metric and error, computed from tokens made once per row.
 
     bleu='overlap' takes the unigram F1, bleu='bleu4' the smoothed BLEU-4.
     rouge='fallback' leaves stopwords out and takes rouge-1 for rouge-L;
-    rouge='library' keeps them and takes the longest common subsequence.
+    rouge='library' keeps them and takes the longest common subsequence;
+    rouge='stemmed' does so over stems, and needs the rows' `identity`.
     """
+    if rouge == "stemmed" and not identity:
+        raise ValueError("stems come back to their rows by identity columns")
     gen, ref = F.coalesce(F.col(generated), F.lit("")), F.coalesce(F.col(reference), F.lit(""))
     tokens = pred.withColumns(
         {
@@ -95,6 +101,8 @@ def score_rows(
             "_rt": text.metric_tokens(ref) if rouge == "fallback" else text.rouge_tokens(ref),
         }
     )
+    if rouge == "stemmed":
+        tokens = stem_tokens(tokens, identity, ["_gt", "_rt"])
     tokens = tokens.withColumns({"_g2": text.ngrams(F.col("_gt"), 2), "_r2": text.ngrams(F.col("_rt"), 2)})
     g1, r1, gc, rc = F.col("_g1"), F.col("_r1"), F.col("_gc"), F.col("_rc")
     gm, rm = extract.midpoint(gc["temperature_range"]), extract.midpoint(rc["temperature_range"])
@@ -124,6 +132,30 @@ def score_rows(
     )
 
 
+def stem_tokens(df: DataFrame, identity: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Replace the tokens of array columns by their stems; tokens of three letters or fewer stay.
+
+    Each different token is stemmed once. Tokens travel to their stems and back
+    with their place in the row; frequent ones meet them by broadcast.
+    """
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("tokens")) for i, c in enumerate(columns)])
+    placed = df.select(*identity, F.explode(sides).alias("_side")).select(
+        *identity, F.col("_side.side").alias("_of"), F.posexplode("_side.tokens").alias("_at", "_token")
+    )
+    long = F.length("_token") >= SHORTEST
+    stems = with_stem(placed.where(long).select("_token").distinct(), "_token", "_stem")
+    found = skew_join(placed, stems, "_token")
+    entry = F.struct("_of", "_at", F.coalesce("_stem", "_token").alias("token"))
+    lists = found.groupBy(*identity).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))  # one row's own tokens
+    joined = df.join(lists, list(identity), "left")
+    entries = F.coalesce("_entries", F.expr("array()").cast("array<struct<_of:int,_at:int,token:string>>"))
+
+    def side(i: int) -> Column:
+        return F.filter(entries, lambda e: e["_of"] == i)["token"]
+
+    return joined.withColumns({c: side(i) for i, c in enumerate(columns)}).drop("_entries")
+
+
 def rain_accuracy() -> Column:
     return F.sum("_rain_hit") / F.greatest(F.sum("_rain_pair"), F.lit(1))
 
@@ -172,6 +204,7 @@ def evaluate(
     bleu: str = "overlap",
     scored: bool = False,
     rouge: str = "fallback",
+    identity: Sequence[str] = (),
 ) -> DataFrame:
     """All metrics per group (or per rollup level) in one aggregation.
 
@@ -180,7 +213,7 @@ def evaluate(
     has `level`, one bit per column that is rolled up, so that a null group and
     a total can be told apart.
     """
-    rows = pred if scored else score_rows(pred, bleu=bleu, rouge=rouge)
+    rows = pred if scored else score_rows(pred, bleu=bleu, rouge=rouge, identity=identity)
     grouped = rows.rollup(*by) if rollup else rows.groupBy(*by)
     level = [F.grouping_id().cast("bigint").alias("level")] if rollup else []
     out = grouped.agg(

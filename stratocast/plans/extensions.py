@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratocast.functions import extract
-from stratocast.operators import evaluate, inference, outcomes, profiles, rewards
+from stratocast.functions import extract, stemming, text
+from stratocast.operators import evaluate, inference, outcomes, profiles, rewards, scale
 from stratocast.operators import sequences as seq
 from stratocast.plans import oracle as O
 from stratocast.plans import views as V
@@ -194,6 +194,21 @@ def change_points(spark, sf):
     return rounded(found.withColumns(dates))
 
 
+@query
+def token_stems(spark, sf):
+    """Every different token of the documents with its stem."""
+    d = scale.spread(V.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    tokens = d.select(F.explode(text.rouge_tokens(F.col("text"))).alias("token"))
+    return stemming.with_stem(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "token")
+
+
+@query
+def evaluate_stemmed(spark, sf):
+    """The evaluation as the pinned environment does it: BLEU-4, and ROUGE over stems."""
+    p = V.predictions(spark, sf)
+    return rounded(evaluate.evaluate(p, by=["band"], bleu="bleu4", rouge="stemmed", identity=["sample_id"]))
+
+
 @query
 def merged_profile(spark, sf):
     """Profiles of days, stored and merged: exact figures, and whether the sketched ones lie within their error."""
