@@ -1,9 +1,10 @@
 """One rule for intermediates that are used more than once: a table in the shared folder.
 
-The folder is spark.checkpoint.dir of the session. Where that is unset it is a
-folder below the warehouse, which all executors share too. What is written is
-the same on a laptop and on a cluster. Everything a session wrote lies in one
-folder of its own, which `clear` deletes; it is also called when the program ends.
+The folder is spark.checkpoint.dir of the session. Where that is unset, a local
+session takes a folder below its warehouse, and a cluster is told to set it: its
+executors need not share a warehouse. What is written is the same on a laptop
+and on a cluster. Everything a session wrote lies in one folder of its own,
+which `clear` deletes; it is also called when the program ends.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """This session's own folder in the shared one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
     return f"{root.rstrip('/')}/stratocast-{spark.sparkContext.applicationId}"
 
