@@ -10,20 +10,30 @@ or more are retrieved. A retrieved item counts when shares of the word n-grams o
 its question (all sentences but the last) and of its answer (the last sentence)
 stand in the passage. An item of one sentence is halved.
 
-The index is built in shards of a bounded number of items and bytes; each shard
-is broadcast and searched by all passages. Before the search, the block maxima of
-fixed ranges of items are added up for all passages at once; most passages cannot
-reach the threshold in any range and end there. Idf and mean length are a shard's own.
+Document frequencies and the mean length are counted over all different items
+(an item is its id and text). The index is cut into shards, which bound memory
+and nothing else: an item's weights, its passages (their half is the power of two
+at or above the item's own length) and its n-grams do not depend on the items it
+lies with. Tasks build the shards and write them to the shared folder. A pass over
+the documents searches up to PASS shards, which are broadcast and opened one at a
+time; more shards are further passes over what the pass before wrote. In a shard,
+block maxima of fixed ranges of items are first added up for all passages at once;
+most passages cannot reach the threshold in any range and end there.
 
 Edge cases: null and empty texts hold nothing; items without words are found
-nowhere; equal items are all found; repeated rows are judged one by one; columns
-of the input that carry the name of a result column are replaced by it.
+nowhere; a document that holds an item without an id is contaminated, but the
+item is in no list; equal items are all found, repeated ones listed once; ids that
+are not whole numbers are listed as strings; an empty table of items leaves all
+documents clean; repeated rows are judged one by one; columns of the input that
+carry the name of a result column are replaced by it, all others stay.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from collections.abc import Iterable, Iterator
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -34,12 +44,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratocast.llm import words as W
+from stratocast.llm.names import free_name
+from stratocast.storage import stored
 
 MIN_HALF = 64
 K1, B = 1.2, 0.75
 BLOCK = 32  # postings per block
 RANGES = 64  # ranges of items whose bounds are added up for all passages at once
 GRAM = 3
+PASS = 16  # shards that one pass over the documents searches
+OPEN = 2  # shards that a task keeps open; of more it opens one at a time
+SLICES = 16  # slices of texts whose words a task holds at a time
 END = 1 << 62
 ADDED = ("contaminated", "items")
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -47,18 +62,35 @@ _SENTENCE = re.compile(rb"[.!?\n]+")
 
 @dataclass
 class Index:
-    """Postings by term: items (ascending), weights, block maxima; and each item's question and answer n-grams.
-
-    `ranges` has each term's largest weight within each of RANGES equal ranges of items.
-    """
+    """Postings by term: items (ascending), weights, block maxima; and each item's id, question and answer n-grams."""
 
     terms: np.ndarray
     bounds: list
-    ranges: np.ndarray
     postings: list
     grams: dict
     half: int
 
+    def ranges(self) -> np.ndarray:
+        """Each term's largest weight within each of RANGES equal ranges of items."""
+        out = np.zeros((len(self.terms), RANGES), np.float32)
+        for row, (ids, weights, _) in enumerate(self.postings):
+            np.maximum.at(out[row], np.array(ids) * RANGES // len(self.grams), np.array(weights, np.float32))
+        return out
+
+
+@dataclass
+class Counts:
+    """Of all items: their number, their mean length, and in how many of them each term stands."""
+
+    items: int
+    mean: float
+    df: dict
+
+
+def half_of_length(length: int) -> int:
+    """Half a passage for items of a length: a power of two, so that few kinds of passages are needed."""
+    return max(MIN_HALF, 1 << max(0, length - 1).bit_length())
+
 
 def _hashes(text: bytes) -> np.ndarray:
     return W.word_hashes([text], True, W.GAPS_AND_MARKS)[0]
@@ -78,20 +110,28 @@ def question_and_answer(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return alone[: (len(alone) + 1) // 2], alone[(len(alone) + 1) // 2 :]
 
 
-def build_index(items: list[tuple[int, bytes]]) -> Index:
-    """The index of one shard; items are (id, text), ids ascending."""
-    bags = [(i, Counter(_hashes(t).tolist()), t) for i, t in items]
-    bags = [(i, bag, t) for i, bag, t in bags if bag]
-    lengths = [sum(bag.values()) for _, bag, _ in bags]
-    mean = sum(lengths) / max(1, len(lengths))
-    df = Counter(term for _, bag, _ in bags for term in bag)
-    lists, grams = defaultdict(list), {}
-    for (i, bag, text), n in zip(bags, lengths):
-        raw = {
-            t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
-            for t, tf in bag.items()
-        }
-        total = sum(raw.values())
+def counts_of(texts: list[bytes]) -> Counts:
+    """Counts of items that fit into memory."""
+    bags = [Counter(_hashes(t).tolist()) for t in texts]
+    lengths = [sum(bag.values()) for bag in bags if bag]
+    return Counts(len(lengths), sum(lengths) / max(1, len(lengths)), Counter(term for bag in bags for term in bag))
+
+
+def build_index(items: list[tuple], counts: Counts | None = None) -> Index:
+    """The index of one shard; items are (id, text), `counts` are those of all shards (None: it is the only one)."""
+    counts = counts or counts_of([t for _, t in items])
+    lists, grams, longest = defaultdict(list), {}, 0
+    for i, text in items:
+        bag = Counter(_hashes(text).tolist())
+        n = sum(bag.values())
+        if not n:
+            continue
+        longest = max(longest, n)
+        raw = {}
+        for t, tf in bag.items():
+            idf = math.log(1 + (counts.items - counts.df[t] + 0.5) / (counts.df[t] + 0.5))
+            raw[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / counts.mean))
+        total = math.fsum(raw.values())
         for t, w in raw.items():
             lists[t].append((len(grams), w / total))
         question, answer = question_and_answer(text)
@@ -102,11 +142,7 @@ def build_index(items: list[tuple[int, bytes]]) -> Index:
         ids, weights = [i for i, _ in lists[t]], [w for _, w in lists[t]]
         maxima = [max(weights[k : k + BLOCK]) for k in range(0, len(ids), BLOCK)]
         postings.append((ids, weights, maxima))
-    bounds = [max(p[2]) for p in postings]
-    ranges = np.zeros((len(terms), RANGES), np.float32)
-    for row, (ids, weights, _) in enumerate(postings):
-        np.maximum.at(ranges[row], np.array(ids) * RANGES // len(grams), np.array(weights, np.float32))
-    return Index(terms, bounds, ranges, postings, grams, max([MIN_HALF, *lengths]))
+    return Index(terms, [max(p[2]) for p in postings], postings, grams, half_of_length(longest))
 
 
 def retrieve(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -135,12 +171,13 @@ def retrieve(index: Index, terms: list[int], threshold: float) -> list[tuple[int
                 ceiling += maxima[block]
                 until = min(until, ids[min(len(ids), (block + 1) * BLOCK) - 1] + 1)
         if ceiling >= floor:
-            score = 0.0
+            parts = []
             for head in heads[: pivot + 1]:
                 ids, weights, _ = index.postings[head[2]]
                 at = _seek(ids, head[1], item)
                 if at < len(ids) and ids[at] == item:
-                    score += weights[at]
+                    parts.append(weights[at])
+            score = math.fsum(parts)  # the same in any order
             if score >= floor:
                 found.append((item, score))
             target = item + 1
@@ -178,69 +215,130 @@ def _share(part: frozenset, there: set) -> float:
     return len(part & there) / len(part) if part else 1.0
 
 
-def find_items(texts: list, index: Index, threshold: float, overlap: float) -> list[list[int]]:
-    """For each text (bytes or None) the sorted ids of the items it holds."""
-    out: list[list[int]] = [[] for _ in texts]
-    if not len(index.terms):
-        return out
-    for a, b in W.slices(texts):
-        hashes, first = W.word_hashes(texts[a:b], True, W.GAPS_AND_MARKS)
-        counts = np.diff(first)
-        if not len(hashes):
+def _found_in(index: Index, ranges: np.ndarray, hashes: np.ndarray, first: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple]:
+    """(text, item id) for the items that a slice of texts holds, given its words and each text's first."""
+    counts = np.diff(first)
+    term = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
+    known = np.flatnonzero(index.terms[term] == hashes)
+    halves = -(-counts // index.half)
+    begin = np.concatenate([[0], np.cumsum(halves)])
+    text_of = np.repeat(np.arange(len(counts)), counts)
+    half_of = begin[text_of] + (np.arange(len(hashes)) - first[text_of]) // index.half
+    pairs = np.unique(half_of[known] * len(index.terms) + term[known])
+    edge = np.searchsorted(pairs // len(index.terms), np.arange(begin[-1] + 1))
+    bound = np.zeros((begin[-1] + 1, RANGES), np.float32)
+    held = np.flatnonzero(edge[1:] > edge[:-1])
+    if len(held):
+        bound[held] = np.add.reduceat(ranges[pairs % len(index.terms)], edge[held])
+    last = np.zeros(begin[-1] + 1, bool)
+    last[begin[1:][halves > 0] - 1] = True
+    bound[:-1][~last[:-1]] += bound[1:][~last[:-1]]  # a passage is a half and the next one
+    # A text's last half is a passage only where it is the first, too.
+    alone = np.zeros(begin[-1] + 1, bool)
+    alone[begin[:-1][halves == 1]] = True
+    able = bound.max(axis=1) >= threshold - 1e-4
+    able[-1] = False
+    for half in np.flatnonzero(able & (~last | alone)).tolist():
+        end = half + (1 if last[half] else 2)
+        query = np.unique(pairs[edge[half] : edge[end]] % len(index.terms)).tolist()
+        hits = retrieve(index, query, threshold)
+        if not hits:
             continue
-        term = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-        known = np.flatnonzero(index.terms[term] == hashes)
-        halves = -(-counts // index.half)
-        begin = np.concatenate([[0], np.cumsum(halves)])
-        text_of = np.repeat(np.arange(b - a), counts)
-        half_of = begin[text_of] + (np.arange(len(hashes)) - first[text_of]) // index.half
-        pairs = np.unique(half_of[known] * len(index.terms) + term[known])
-        edge = np.searchsorted(pairs // len(index.terms), np.arange(begin[-1] + 1))
-        bound = np.zeros((begin[-1] + 1, RANGES), np.float32)
-        held = np.flatnonzero(edge[1:] > edge[:-1])
-        if len(held):
-            bound[held] = np.add.reduceat(index.ranges[pairs % len(index.terms)], edge[held])
-        last = np.zeros(begin[-1] + 1, bool)
-        last[begin[1:][halves > 0] - 1] = True
-        bound[:-1][~last[:-1]] += bound[1:][~last[:-1]]  # a passage is a half and the next one
-        # A text's last half is a passage only where it is the first, too.
-        alone = np.zeros(begin[-1] + 1, bool)
-        alone[begin[:-1][halves == 1]] = True
-        able = bound.max(axis=1) >= threshold - 1e-4
-        able[-1] = False
-        for half in np.flatnonzero(able & (~last | alone)).tolist():
-            end = half + (1 if last[half] else 2)
-            query = np.unique(pairs[edge[half] : edge[end]] % len(index.terms)).tolist()
-            hits = retrieve(index, query, threshold)
-            if not hits:
-                continue
-            row = int(np.searchsorted(begin, half, side="right")) - 1
-            low = first[row] + (half - begin[row]) * index.half
-            passage = hashes[low : min(low + 2 * index.half, first[row + 1])]
-            there = set()
-            for n in range(1, GRAM + 1):
-                if len(passage) >= n:
-                    there.update(W.grams(passage, np.array([0, len(passage)]), n)[0][: len(passage) - n + 1].tolist())
-            for item, _ in hits:
-                name, question, answer = index.grams[item]
-                if _share(question, there) >= overlap and _share(answer, there) >= overlap:
-                    out[a + row].append(name)
-    return [sorted(set(x)) for x in out]
-
-
-def shards(items: DataFrame, text: str, key: str, max_items: int, max_bytes: int):
-    """Lists of (id, text) in id order, each of at most max_items items and, but for one item, max_bytes."""
-    part, size = [], 0
-    rows = items.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
-    for row in rows.where("_key IS NOT NULL AND _text IS NOT NULL").orderBy("_key", "_text").toLocalIterator():
-        value = bytes(row["_text"])
-        if part and (len(part) >= max_items or size + len(value) > max_bytes):
-            yield part
-            part, size = [], 0
-        part.append((row["_key"], value))
-        size += len(value)
-    if part:
-        yield part
+        row = int(np.searchsorted(begin, half, side="right")) - 1
+        low = first[row] + (half - begin[row]) * index.half
+        passage = hashes[low : min(low + 2 * index.half, first[row + 1])]
+        there = set()
+        for n in range(1, GRAM + 1):
+            if len(passage) >= n:
+                there.update(W.grams(passage, np.array([0, len(passage)]), n)[0][: len(passage) - n + 1].tolist())
+        for item, _ in hits:
+            name, question, answer = index.grams[item]
+            if _share(question, there) >= overlap and _share(answer, there) >= overlap:
+                yield row, name
+
+
+def find_items(texts: list, indexes: Iterable[Index], threshold: float, overlap: float) -> list[set]:
+    """For each text (bytes or None) the ids of the items it holds; `indexes` is gone through once for some slices."""
+    out: list[set] = [set() for _ in texts]
+    cuts = list(W.slices(texts))
+    for k in range(0, len(cuts), SLICES):
+        hashed = [(a, *W.word_hashes(texts[a:b], True, W.GAPS_AND_MARKS)) for a, b in cuts[k : k + SLICES]]
+        hashed = [x for x in hashed if len(x[1])]
+        for index in indexes if hashed else ():
+            ranges = index.ranges()
+            for a, hashes, first in hashed:
+                for row, name in _found_in(index, ranges, hashes, first, threshold, overlap):
+                    out[a + row].add(name)
+    return out
+
+
+class _Shards:
+    """Pickled indexes, opened one at a time unless they are few."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.blobs = blobs
+        self.opened = [pickle.loads(x) for x in blobs] if len(blobs) <= OPEN else None
+
+    def __iter__(self) -> Iterator[Index]:
+        return iter(self.opened) if self.opened is not None else map(pickle.loads, self.blobs)
+
+
+def _terms(batches):
+    """Each item's length and different words."""
+    for batch in batches:
+        texts = batch.column("_text").to_pylist()
+        lengths, terms = [], []
+        for a, b in W.slices(texts):
+            hashes, first = W.word_hashes(texts[a:b], True, W.GAPS_AND_MARKS)
+            lengths += np.diff(first).tolist()
+            terms += [np.unique(hashes[x:y]).view(np.int64) for x, y in zip(first[:-1], first[1:])]
+        columns = [batch.column("_key"), batch.column("_text"), pa.array(lengths, pa.int64()), pa.array(terms, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["_key", "_text", "_length", "_terms"])
+
+
+def _is_whole(items: DataFrame, key: str) -> bool:
+    return isinstance(items.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def build_shards(items: DataFrame, key: str, text: str, max_items: int, max_bytes: int) -> tuple[DataFrame | None, int]:
+    """A stored table (shard, index) of pickled indexes, and the number of shards.
+
+    Items of one length class lie in as many shards, by hash, as leave each half full on average.
+    """
+    plain = items.select(F.col(key).cast("bigint" if _is_whole(items, key) else "string").alias("_key"), F.col(text).cast("binary").alias("_text"))
+    plain = plain.where("_text IS NOT NULL").distinct()
+    schema = T.StructType([*plain.schema, T.StructField("_length", T.LongType()), T.StructField("_terms", T.ArrayType(T.LongType()))])
+    rows = stored(plain.mapInArrow(_terms, schema).where("_length > 0"))
+    # The exponent of the power of two at or above the length.
+    bits = F.greatest(F.lit(MIN_HALF.bit_length() - 1), F.length(F.bin(F.col("_length") - 1)))
+    rows = rows.withColumn("_class", bits.cast("int"))
+    classes = rows.groupBy("_class").agg(  # one row for a power of two
+        F.count("*").alias("n"), F.sum("_length").alias("words"), F.sum(F.length("_text")).alias("bytes")
+    )
+    shard, n_shards, n_items, n_words = F.lit(None).cast("int"), 0, 0, 0
+    for c in classes.orderBy("_class").collect():
+        fits = c["n"] <= max_items and c["bytes"] <= max_bytes
+        n = 1 if fits else max(-(-2 * c["n"] // max_items), -(-2 * c["bytes"] // max_bytes))
+        place = F.pmod(F.xxhash64("_key", "_text"), F.lit(n)).cast("int") + n_shards
+        shard = F.when(F.col("_class") == c["_class"], place).otherwise(shard)
+        n_shards, n_items, n_words = n_shards + n, n_items + c["n"], n_words + c["words"]
+    if not n_shards:
+        return None, 0
+    rows = rows.withColumn("_shard", shard)
+    terms = rows.select("_shard", F.explode("_terms").alias("_term"))
+    df = terms.groupBy("_term").agg(F.count("*").alias("_n"))
+    needed = terms.distinct().join(df, "_term").withColumnRenamed("_shard", "_of")
+
+    def build(here: pa.Table, terms: pa.Table) -> pa.Table:
+        numbers = terms.column("_term").to_numpy().view(np.uint64).tolist()
+        counts = Counts(n_items, n_words / n_items, dict(zip(numbers, terms.column("_n").to_pylist())))
+        texts = here.column("_text").to_pylist()
+        members = sorted(zip(here.column("_key").to_pylist(), texts), key=lambda x: (x[1], str(x[0])))
+        index = pickle.dumps(build_index(members, counts), pickle.HIGHEST_PROTOCOL)
+        return pa.table({"shard": pa.array(here.column("_shard").to_pylist()[:1], pa.int32()), "index": pa.array([index], pa.binary())})
+
+    members = rows.select("_shard", "_key", "_text").groupBy("_shard")
+    return stored(members.cogroup(needed.groupBy("_of")).applyInArrow(build, "shard int, index binary")), n_shards
 
 
 def decontaminate(
@@ -252,24 +350,35 @@ def decontaminate(
     item_key: str = "item_id",
     item_text: str = "text",
     max_items: int = 2_000,
-    max_bytes: int = 8_000_000,
+    max_bytes: int = 1_000_000,
 ) -> DataFrame:
-    """All rows of `docs` with contaminated (boolean) and items (sorted ids of the items that the text holds)."""
-    kept = [c for c in docs.columns if c not in ADDED]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("items", T.ArrayType(T.LongType()))])
-    context = docs.sparkSession.sparkContext
-    out = docs.select(*kept, F.array().cast("array<bigint>").alias("items"))
-    for shard in shards(items, item_text, item_key, max_items, max_bytes):
-        shared = context.broadcast(build_index(shard))  # bounded by max_items and max_bytes
+    """All rows of `docs` with contaminated (boolean) and items (sorted ids of the items that the text holds).
+
+    `max_items` and `max_bytes` bound a shard on average; they change no result.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    body = free_name(docs.columns, "bytes")
+    built, n_shards = build_shards(items, item_key, item_text, max_items, max_bytes)
+    whole = _is_whole(items, item_key)
+    listed, arrow = (T.LongType(), pa.int64()) if whole else (T.StringType(), pa.string())
+    none = F.array().cast(T.ArrayType(listed))
+    out = docs.select(*kept, F.lit(False).alias("contaminated"), none.alias("items"))
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("contaminated", T.BooleanType()), T.StructField("items", T.ArrayType(listed))])
+    for low in range(0, n_shards, PASS):
+        part = built.where(F.col("shard").between(low, low + PASS - 1)).orderBy("shard").collect()  # PASS shards of bounded size
+        shared = docs.sparkSession.sparkContext.broadcast([bytes(r["index"]) for r in part])
 
         def run(batches, shared=shared):
+            indexes = _Shards(shared.value)
             for batch in batches:
-                found = find_items(batch.column("_bytes").to_pylist(), shared.value, threshold, overlap)
-                before = batch.column("items").to_pylist()
-                merged = [sorted({*x, *y}) for x, y in zip(before, found)]
-                columns = [batch.column(c) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(merged, pa.list_(pa.int64()))], [*kept, "items"])
-
-        # Each shard adds to what the ones before found.
-        out = out.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(run, schema)
-    return out.select(*kept, (F.size("items") > 0).alias("contaminated"), "items")
+                found = find_items(batch.column(body).to_pylist(), indexes, threshold, overlap)
+                flags = [bool(x or y) for x, y in zip(batch.column("contaminated").to_pylist(), found)]
+                lists = [sorted({*x, *(y - {None})}) for x, y in zip(batch.column("items").to_pylist(), found)]
+                columns = [*(batch.column(c) for c in kept), pa.array(flags, pa.bool_()), pa.array(lists, pa.list_(arrow))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "contaminated", "items"])
+
+        out = out.withColumn(body, F.col(text).cast("binary")).mapInArrow(run, schema)
+        if low + PASS < n_shards:
+            out = stored(out)  # so that no more than one pass's shards are alive
+            shared.unpersist()
+    return out

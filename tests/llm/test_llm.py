@@ -491,6 +491,55 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.decontaminate(df, bench.where("item_id < 0")).where("contaminated").count() == 0
 
 
+def test_decontaminate_does_not_depend_on_shards(spark):
+    """Items of one template: in a shard of its own, an item's words would look rarer than they are."""
+    template = "in which year did the well known scientist named {0} first publish about {1}. it was {0} {1}"
+    items = [(i, template.format(f"name{i}", f"thing{i}")) for i in range(40)]
+    long = text(100, 77)
+    items += [(None, "quite an uncommon question without any number. surely found"), (50, long), (51, long), (50, long)]
+    words = template.split(".")[0].split()
+    texts = [
+        f"{' '.join(words[:6])} name7 thing7 in year. it was name7 thing7",  # 8 of 12 words of the question
+        "they ask quite an uncommon question without any number. Surely found!", text(150, 5) + " " + long + " " + text(200, 6),
+        text(300, 8), None, "", text(130, 9) + " " + items[3][1] + " " + text(60, 4) + " " + items[4][1],
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("_bytes", F.lit("own"))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    # Brute force: every passage against every item, by sets of words and n-grams.
+    distinct = sorted(set(items), key=str)
+    bags = [t.replace(".", " ").split() for _, t in distinct]
+    mean, df_of = sum(map(len, bags)) / len(bags), collections.Counter(w for b in bags for w in set(b))
+    def weights(bag):
+        idf = {w: math.log(1 + (len(bags) - df_of[w] + 0.5) / (df_of[w] + 0.5)) for w in bag}
+        raw = {w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(bag) / mean)) for w, n in collections.Counter(bag).items()}
+        return {w: x / sum(raw.values()) for w, x in raw.items()}
+    def grams(ws):
+        n = min(3, len(ws))
+        return {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+    want = {}
+    for d, t in enumerate(texts):
+        ws = [w.strip(".!").lower() for w in (t or "").split()]
+        found = set()
+        for (i, body), bag in zip(distinct, bags):
+            parts = [p.split() for p in body.split(".") if p.strip()]
+            question, answer = ([w for p in parts[:-1] for w in p], parts[-1]) if len(parts) > 1 else (bag[: (len(bag) + 1) // 2], bag[(len(bag) + 1) // 2 :])
+            half = 64 if len(bag) <= 64 else 128
+            for low in range(0, max(1, len(ws) - half), half):
+                passage = ws[low : low + 2 * half]
+                there = {tuple(passage[k : k + n]) for n in (1, 2, 3) for k in range(len(passage) - n + 1)}
+                score = sum(x for w, x in weights(bag).items() if w in passage)
+                if score >= 0.75 and all(len(grams(p) & there) >= 0.6 * len(grams(p)) for p in (question, answer)):
+                    found.add(i)
+        want[d] = (bool(found), sorted(found - {None}))
+    assert want[1] == (True, []) and want[2] == (True, [50, 51]) and want[6] == (True, [3, 4]) and not want[3][0]
+    for max_items in (4, 2_000):
+        rows = decontaminate.decontaminate(df, bench, max_items=max_items).collect()
+        assert {r["doc_id"]: (r["contaminated"], r["items"]) for r in rows} == want
+        assert {r["_bytes"] for r in rows} == {"own"}
+    named = decontaminate.decontaminate(df, bench.withColumn("item_id", F.concat(F.lit("q"), "item_id"))).collect()
+    assert {r["doc_id"]: (r["contaminated"], r["items"]) for r in named} == {d: (x, sorted(f"q{i}" for i in y)) for d, (x, y) in want.items()}
+
+
 # 9 repeats --------------------------------------------------------------------------
 
 
