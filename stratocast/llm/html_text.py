@@ -9,8 +9,8 @@ element, outside of menus, asides, forms and comments, is text; and the same
 blocks set again in other LAYOUTS, whose labels are known by construction.
 
 Edge cases: null and empty html, and pages without a text block, give an empty
-text; unclosed and stray tags are read as browsers do, roughly; repeated rows are
-read one by one; columns of the input that carry the name of a result column
+text; unclosed and stray tags are read as browsers do, roughly, in time linear in
+the page; repeated rows are read one by one; columns of the input that carry the name of a result column
 are replaced by it.
 """
 
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratocast.llm.names import free_name
+
 # Fixed values of HTML: tags without content, raw-text tags, tags inside a line.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template title textarea iframe svg object canvas select".split())
@@ -43,10 +45,8 @@ WORDS = set(
     "pagination pager popup post promo recommended related replies reply respond search share sharing sidebar signup social "
     "sponsor sponsored story subscribe tags text toolbar widget".split()
 )
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S,
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_STOP = re.compile(r"[>\"']")
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -73,69 +73,144 @@ class Block:
     link_share: float
 
 
+class _Open:
+    """The open tags of a page, with what blocks ask of them kept up to date: each tag costs a few steps."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.marks: list[frozenset] = []
+        self.places: dict[str, list[int]] = {}  # where each name stands in `names`, ascending
+        self.inside: set[str] = set()  # the PLACES among them
+        self.words: dict[str, int] = {}  # class words, with the number of open tags that carry them
+        self.outer: list[str] = []  # the open tags that are not inside a line
+
+    def push(self, name: str, marks: frozenset) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in PLACES:
+            self.inside.add(name)
+        self.names.append(name)
+        self.marks.append(marks)
+        for w in marks:
+            self.words[w] = self.words.get(w, 0) + 1
+        if name not in INLINE:
+            self.outer.append(name)
+
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def pop(self, name: str) -> None:
+        """Close the last open tag of this name and all within it."""
+        if not self.has(name):
+            return
+        for _ in range(len(self.names) - self.places[name][-1]):
+            last = self.names.pop()
+            self.places[last].pop()
+            if not self.places[last]:
+                self.inside.discard(last)
+            for w in self.marks.pop():
+                self.words[w] -= 1
+                if not self.words[w]:
+                    del self.words[w]
+            if last not in INLINE:
+                self.outer.pop()
+
+
+class _Tags:
+    """The tags of a page, found going forward; no part of it is searched more than a few times."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        self.astray: set[int] = set()  # quotes from which no end of a tag can be reached
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the next tag, with an empty name for comments and declarations."""
+        html, size = self.html, len(self.html)
+        while True:
+            start = html.find("<", at)
+            if start < 0 or start + 1 >= size:
+                return None
+            if html[start + 1] in "!?":
+                close = "-->" if html.startswith("<!--", start) else ">"
+                stop = html.find(close, start + (4 if close == "-->" else 2))
+                return start, size if stop < 0 else stop + len(close), False, "", ""
+            name = _NAME.match(html, start + 1) if start < self.last[">"] else None
+            if name:
+                stop = self._stop(name.end())
+                if stop < 0:  # a quote stays open: the tag ends at the next >
+                    stop = html.find(">", name.end())
+                return start, stop + 1, name[0][0] == "/", name[0].lstrip("/").lower(), html[name.end() : stop]
+            at = start + 1
+
+    def _stop(self, at: int) -> int:
+        """Where the tag's > stands, outside of quotes, or -1."""
+        passed = []
+        while True:
+            m = _STOP.search(self.html, at)
+            if m and m[0] == ">":
+                return m.start()
+            if not m or m.start() in self.astray or m.start() == self.last[m[0]]:
+                self.astray.update(passed)
+                return -1
+            passed.append(m.start())
+            at = self.html.index(m[0], m.end()) + 1
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset]] = []
+    tags = _Open()
     parts: list[str] = []
     linked = at = 0
     html = html or ""
+    found = _Tags(html)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
         if text:
-            tags = frozenset(t for t, _ in stack if t in PLACES)
-            words = frozenset().union(*(w for _, w in stack))
-            block = next((t for t, _ in reversed(stack) if t not in INLINE), "")
-            out.append(Block(text, tags, words, block, min(1.0, linked / len(text))))
+            block = tags.outer[-1] if tags.outer else ""
+            out.append(Block(text, frozenset(tags.inside), frozenset(tags.words), block, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
-    def pop(name: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                return
-
-    while True:
-        m = _TAG.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
+    def add(text: str) -> None:
+        nonlocal linked
         if text:
             parts.append(text)
-            if any(t == "a" for t, _ in stack):
+            if tags.has("a"):
                 linked += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        closing, name, marks = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+
+    while tag := found.after(at):
+        start, end, closing, name, marks = tag
+        add(html[at:start])
+        at = end
         if not name:
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "br":
                 parts.append(" ")
             elif closing:
-                pop(name)
+                tags.pop(name)
             elif name not in VOID:
-                stack.append((name, _marks(marks)))
+                tags.push(name, _marks(marks))
             continue
         flush()
         if closing:
-            pop(name)
+            tags.pop(name)
             continue
         if name in RAW and not marks.endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at) if at <= found.last[">"] else None
             at = end.end() if end else len(html)
             continue
         if name in VOID:
             continue
         for other in CLOSES.get(name, ()):  # a list item ends the one before, within its own list
-            if any(t == other for t, _ in stack[-2:]):
-                pop(other)
-        if any(t == "p" for t, _ in stack):
-            pop("p")
-        stack.append((name, _marks(marks)))
+            if other in tags.names[-2:]:
+                tags.pop(other)
+        tags.pop("p")
+        tags.push(name, _marks(marks))
+    add(html[at:])
     flush()
     return out
 
@@ -198,40 +273,65 @@ class Field:
         return out[::-1]
 
 
+def _summed(emit: np.ndarray, t: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward log sums of chains of like length, and each chain's total; padding follows the chain."""
+    ahead, behind = np.zeros(emit.shape), np.zeros(emit.shape)
+    ahead[:, 0] = emit[:, 0]
+    for j in range(1, emit.shape[1]):
+        moved = np.logaddexp.reduce(ahead[:, j - 1, :, None] + t, axis=1) + emit[:, j]
+        ahead[:, j] = np.where(real[:, j, None], moved, ahead[:, j - 1])
+    for j in range(emit.shape[1] - 2, -1, -1):
+        moved = np.logaddexp.reduce(t + (emit[:, j + 1] + behind[:, j + 1])[:, None, :], axis=2)
+        behind[:, j] = np.where(real[:, j + 1, None], moved, 0.0)
+    return ahead, behind, np.logaddexp.reduce(ahead[:, -1], axis=1)
+
+
+def slope(state: np.ndarray, x: np.ndarray, groups: list[tuple]) -> np.ndarray:
+    """The gradient of the negative log likelihood; groups hold (row of x, label, whether real) of padded chains."""
+    w, t = state[:-4], state[-4:].reshape(2, 2)
+    gain, grad, by_row = x @ w, np.zeros_like(state), np.zeros(len(x))
+    for kind, y, real in groups:
+        emit = np.stack([np.zeros(y.shape), gain[kind]], 2)
+        ahead, behind, total = _summed(emit, t, real)
+        p = np.exp(ahead + behind - total[:, None, None])[..., 1]
+        by_row += np.bincount(kind[real], (p - y)[real], len(x))
+        for a in (0, 1):
+            for b in (0, 1):
+                joint = np.exp(ahead[:, :-1, a] + t[a, b] + emit[:, 1:, b] + behind[:, 1:, b] - total[:, None])
+                seen = (y[:, :-1] == a) & (y[:, 1:] == b)
+                grad[len(w) + 2 * a + b] += ((joint - seen) * real[:, 1:]).sum()
+    grad[:-4] = by_row @ x
+    return grad
+
+
+def padded(pages: list[tuple[list[Block], list[int]]]) -> tuple[np.ndarray, list[tuple]]:
+    """The different rows of features, and the pages in groups whose longest has less than twice the blocks of the shortest."""
+    rows: dict[tuple, int] = {}
+    groups: dict[int, list] = {}
+    for blocks, labels in pages:
+        kinds = [rows.setdefault(tuple(sorted(features_of(b))), len(rows)) for b in blocks]
+        groups.setdefault(len(blocks).bit_length(), []).append((kinds, labels))
+    x = np.zeros((len(rows), len(FEATURES)))
+    for features, i in rows.items():
+        x[i, list(features)] = 1
+    out = []
+    for _, chains in sorted(groups.items()):
+        shape = (len(chains), max(len(k) for k, _ in chains))
+        kind, y, real = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, bool)
+        for i, (kinds, labels) in enumerate(chains):
+            kind[i, : len(kinds)], y[i, : len(kinds)], real[i, : len(kinds)] = kinds, labels, True
+        out.append((kind, y, real))
+    return x, out
+
+
 def train(pages: list[tuple[list[Block], list[int]]], steps: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam on whole passes; forward and backward sums run over all pages at once."""
+    """Maximum likelihood by Adam on whole passes over whole pages."""
     pages = [p for p in pages if p[0]]
-    size = max((len(b) for b, _ in pages), default=1)
-    x = np.zeros((len(pages), size, len(FEATURES)), np.float32)
-    y = np.zeros((len(pages), size), np.int64)
-    real = np.zeros((len(pages), size), bool)
-    for i, (blocks, labels) in enumerate(pages):
-        for j, block in enumerate(blocks):
-            x[i, j, features_of(block)] = 1
-        y[i, : len(blocks)], real[i, : len(blocks)] = labels, True
+    x, groups = padded(pages)
     state = np.zeros(len(FEATURES) + 4)
     m, s = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, steps + 1):
-        w, t = state[:-4], state[-4:].reshape(2, 2)
-        emit = np.stack([np.zeros(y.shape), x @ w], 2)
-        ahead, behind = np.zeros(emit.shape), np.zeros(emit.shape)
-        ahead[:, 0] = emit[:, 0]
-        for j in range(1, size):
-            moved = np.logaddexp.reduce(ahead[:, j - 1, :, None] + t, axis=1) + emit[:, j]
-            ahead[:, j] = np.where(real[:, j, None], moved, ahead[:, j - 1])
-        for j in range(size - 2, -1, -1):
-            moved = np.logaddexp.reduce(t + (emit[:, j + 1] + behind[:, j + 1])[:, None, :], axis=2)
-            behind[:, j] = np.where(real[:, j + 1, None], moved, 0.0)
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        p = np.exp(ahead + behind - total[:, None, None])[..., 1] * real
-        grad = np.zeros_like(state)
-        grad[:-4] = np.tensordot((p - y * real), x, axes=([0, 1], [0, 1]))
-        for a in (0, 1):
-            for b in (0, 1):
-                joint = np.exp(ahead[:, :-1, a] + t[a, b] + emit[:, 1:, b] + behind[:, 1:, b] - total[:, None])
-                seen = (y[:, :-1] == a) & (y[:, 1:] == b)
-                grad[len(w) + 2 * a + b] = ((joint - seen) * real[:, 1:]).sum()
-        grad = grad / max(1, len(pages)) + decay * state
+        grad = slope(state, x, groups) / max(1, len(pages)) + decay * state
         m += 0.1 * (grad - m)
         s += 0.001 * (grad * grad - s)
         state = state - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
@@ -279,11 +379,11 @@ def fit(pages: DataFrame, html: str = "html", max_pages: int = 60, max_chars: in
     rows = near.dropDuplicates(["_hash"]).orderBy("_hash").limit(max_pages).collect()
     labelled = []
     for r in rows:
-        blocks = blocks_of(r["_html"])[:60]
+        blocks = blocks_of(r["_html"])
         labels = [by_markup(b) for b in blocks]
         if any(labels):
             labelled.append((blocks, labels))
-        labelled += [laid_out(blocks[:40], labels[:40], layout) for layout in LAYOUTS]
+        labelled += [laid_out(blocks, labels, layout) for layout in LAYOUTS]
     return train(labelled)
 
 
@@ -295,15 +395,16 @@ def main_text(html: str | None, field: Field) -> str:
 
 def extract(pages: DataFrame, field: Field, html: str = "html") -> DataFrame:
     """All rows of `pages` but the html, with text and n_chars (its code points)."""
-    kept = [c for c in pages.columns if c not in ("text", "n_chars", html)]
+    kept = [c for c in pages.columns if c.lower() not in ("text", "n_chars", html.lower())]
+    body = free_name(pages.columns, "html")
     shared = pages.sparkSession.sparkContext.broadcast(field)  # of a fixed size
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x, shared.value) for x in batch.column("_html").to_pylist()]
+            texts = [main_text(x, shared.value) for x in batch.column(body).to_pylist()]
             columns = [batch.column(c) for c in kept]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), sizes], [*kept, "text", "n_chars"])
 
     schema = pages.select(*kept, F.lit("").alias("text"), F.lit(0).cast("bigint").alias("n_chars")).schema
-    return pages.select(*kept, F.col(html).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(html).alias(body)).mapInArrow(run, schema)

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -603,3 +605,52 @@ def test_html_text(spark):
         assert got[i]["text"] == "\n".join([f"Title {i}", *p]) and got[i]["n_chars"] == len(got[i]["text"])
     assert got[100]["text"] == got[101]["text"] == got[102]["text"] == "" and got[104]["n_chars"] > 40_000 and out.count() == len(pages)
     assert html_text.extract(df.where("page_id < 0"), html_text.fit(df.where("page_id < 0"))).count() == 0
+
+
+def test_html_parsing_is_linear():
+    begin = time.monotonic()
+    for part in ('<div>x', '<a b="', "<a b", '<a ">" ', "<p>", "</script ", "<!-"):
+        html_text.blocks_of(part * 100_000 + "'>")
+    assert time.monotonic() - begin < 20
+    begin = time.monotonic()
+    assert len(html_text.blocks_of("<div>x" * 200_000)) == 200_000
+    assert time.monotonic() - begin < 4
+
+
+def test_html_field_against_enumeration():
+    """Viterbi, likelihood and gradient of chains of up to 6 blocks, over all labelings."""
+    rng = np.random.default_rng(4)
+    pages = []
+    for n in (1, 3, 6, 5, 6):
+        blocks = html_text.blocks_of("".join(f"<{rng.choice(['p', 'li', 'h2', 'nav'])} class='{rng.choice(['ad', 'post', ''])}'>{text(int(rng.integers(1, 30)), i)}</div>" for i in range(n)))
+        pages.append((blocks, rng.integers(0, 2, n).tolist()))
+    state = rng.normal(size=len(html_text.FEATURES) + 4)
+
+    def weight(state, blocks, labels):
+        gain = sum(sum(state[f] for f in html_text.features_of(b)) for b, y in zip(blocks, labels) if y)
+        return gain + sum(state[-4 + 2 * a + b] for a, b in zip(labels, labels[1:]))
+
+    def loss(state):
+        total = 0.0
+        for blocks, labels in pages:
+            every = [weight(state, blocks, ys) for ys in itertools.product((0, 1), repeat=len(blocks))]
+            total += np.logaddexp.reduce(every) - weight(state, blocks, labels)
+        return total
+
+    field = html_text.Field(state[:-4], state[-4:].reshape(2, 2))
+    for blocks, _ in pages:
+        best = max(itertools.product((0, 1), repeat=len(blocks)), key=lambda ys: weight(state, blocks, ys))
+        assert tuple(field.decode(blocks)) == best
+    got = html_text.slope(state, *html_text.padded(pages))
+    for k in range(len(state)):
+        step = np.zeros_like(state)
+        step[k] = 1e-5
+        assert got[k] == pytest.approx((loss(state + step) - loss(state - step)) / 2e-5, abs=1e-6)
+
+
+def test_html_training_reads_whole_pages(spark):
+    """What stands only after the sixtieth block of the training pages is learned."""
+    rows = [(i, "<article><h1>T</h1>" + "".join(f"<p>{text(30, 100 * i + k)}.</p>" for k in range(80)) + "<p class='related'>Read this too.</p></article><footer>end</footer>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, html string").withColumn("_html", F.lit("own"))
+    got = html_text.extract(df, html_text.fit(df)).collect()
+    assert all(len(r["text"].split("\n")) == 81 and r["_html"] == "own" for r in got)
