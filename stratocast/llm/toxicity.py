@@ -8,8 +8,9 @@ one, and a misspelling shares most of its n-grams with the word it comes from.
 In training each document's loss reaches the embeddings of its worst window.
 
 Edge cases: null and empty texts have no window and get the score of the bias
-alone; rows without a label teach nothing; without labels of both kinds every
-score is 0; repeated rows are scored one by one; columns of the input that carry
+alone; rows without a label or a key teach nothing, and of several texts of one
+labelled key the least teaches, once; without labels of both kinds every score is
+0; repeated rows are scored one by one; columns of the input that carry
 the name of a result column are replaced by it.
 """
 
@@ -23,11 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
+from stratocast.llm.names import free_name
+from stratocast.storage import stored
 
 SIZES = (3, 4, 5)
 BUCKET_BITS = 17
 WINDOW = 4
 DIM = 8
+SPAN_WORDS = 1 << 17  # training works on the windows of about so many words at a time
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,19 +77,40 @@ def _word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ids, begin
 
 
+@dataclass
+class Span:
+    """The words of some texts, of which `at` is the first; and each word's window: its end and number of n-grams."""
+
+    at: int
+    flat: np.ndarray
+    first: np.ndarray
+    until: np.ndarray
+    n_window: np.ndarray
+
+
+def _spans(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of texts that have about SPAN_WORDS words together."""
+    place = (np.cumsum(lengths) - lengths) // SPAN_WORDS
+    cuts = np.flatnonzero(np.diff(place)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(lengths)]))
+
+
+def _windows(texts: list[np.ndarray], at: int, counts: np.ndarray) -> Span:
+    flat = np.concatenate(texts)
+    lengths = np.array([len(t) for t in texts])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    # The window at each word is cut short at the end of its text.
+    until = np.minimum(np.arange(len(flat)) + WINDOW, np.repeat(first[1:], lengths)).astype(np.int32)
+    run = np.concatenate([[0], np.cumsum(counts[flat])])
+    return Span(at, flat, first, until, np.maximum(run[until] - run[:-1], 1).astype(np.float32))
+
+
 def train(texts: list[np.ndarray], labels: np.ndarray, words: list[bytes], steps: int = 120, seed: int = 7) -> Model:
     """Fit embeddings and softmax by Adam on whole passes; texts hold indexes into `words`."""
     ids, begin = _word_grams(words)
     counts = np.diff(begin)
     lengths = np.array([len(t) for t in texts])
-    flat = np.concatenate(texts)
-    first = np.concatenate([[0], np.cumsum(lengths)])
-    # The window at each word, cut short at the end of its text.
-    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-    until = np.minimum(np.arange(len(flat)) + WINDOW, first[text_of + 1]).astype(np.int32)
-    n_run = np.concatenate([[0], np.cumsum(counts[flat])])
-    n_window = np.maximum(n_run[until] - n_run[:-1], 1).astype(np.float32)
-    del n_run
+    spans = [_windows(texts[a:b], a, counts) for a, b in _spans(lengths)]
     weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
@@ -101,20 +126,24 @@ def train(texts: list[np.ndarray], labels: np.ndarray, words: list[bytes], steps
     for step in range(1, steps + 1):
         gram = (state["e"] @ state["v"]).astype(np.float32)
         word = np.concatenate([np.add.reduceat(gram[ids[begin[a] : begin[b]]], begin[a:b] - begin[a]) for a, b in parts])
-        run = np.concatenate([[0.0], np.cumsum(word[flat], dtype=np.float64)])
-        logit = ((run[until] - run[:-1]) / n_window).astype(np.float32)
-        if step <= warm:  # the mean window first, then the worst
-            best = np.bincount(text_of, logit, len(texts)) / lengths
-        else:
-            best = np.maximum.reduceat(logit, first[:-1])
-        error = (1 / (1 + np.exp(-(best + state["b"]))) - labels) * weight
-        if step <= warm:
-            back = (error / lengths)[text_of] / n_window
-        else:
-            back = np.where(logit == best[text_of], error[text_of], 0.0) / n_window
-        edge = np.bincount(until, back, len(flat) + 1)
-        edge[:-1] -= back
-        per_word = np.bincount(flat, -np.cumsum(edge)[:-1], len(words))
+        error, per_word = np.zeros(len(texts)), np.zeros(len(words))
+        for span in spans:
+            here = slice(span.at, span.at + len(span.first) - 1)
+            text_of = np.repeat(np.arange(len(span.first) - 1), np.diff(span.first))
+            run = np.concatenate([[0.0], np.cumsum(word[span.flat], dtype=np.float64)])
+            logit = ((run[span.until] - run[:-1]) / span.n_window).astype(np.float32)
+            if step <= warm:  # the mean window first, then the worst
+                best = np.bincount(text_of, logit, len(span.first) - 1) / lengths[here]
+            else:
+                best = np.maximum.reduceat(logit, span.first[:-1])
+            error[here] = (1 / (1 + np.exp(-(best + state["b"]))) - labels[here]) * weight[here]
+            if step <= warm:
+                back = (error[here] / lengths[here])[text_of] / span.n_window
+            else:
+                back = np.where(logit == best[text_of], error[here][text_of], 0.0) / span.n_window
+            edge = np.bincount(span.until, back, len(span.flat) + 1)
+            edge[:-1] -= back
+            per_word += np.bincount(span.flat, -np.cumsum(edge)[:-1], len(words))
         per_gram = np.zeros(size)
         for a, b in parts:
             per_gram += np.bincount(ids[begin[a] : begin[b]], np.repeat(per_word[a:b], counts[a:b]), size)
@@ -168,22 +197,25 @@ def fit(
     label: str = "toxic",
     text: str = "text",
     key: str = "doc_id",
-    max_rows: int = 800,
-    max_bytes: int = 60_000,
+    max_rows: int = 1_500,
+    max_bytes: int = 200_000,
     seed: int = 0,
 ) -> Model | None:
-    """Train on at most `max_rows` labelled documents of each kind, none longer than `max_bytes`; None without both kinds."""
+    """Train on at most `max_rows` labelled documents of each kind, none longer than `max_bytes`; None without both kinds.
+
+    They are chosen by a hash of their key, among those whose text has a word and is not too long.
+    """
+    plain = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
+    plain = plain.where((F.length("_text") <= max_bytes) & F.col("_text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
     usable = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).where("_key IS NOT NULL AND _label IN (0, 1)")
+    usable = stored(usable.distinct().join(plain.select("_key").distinct(), "_key"))
     place = F.xxhash64("_key", F.lit(seed))
-    picked = None
-    for kind in (0, 1):
-        some = usable.where(F.col("_label") == kind).dropDuplicates(["_key"]).orderBy(place, "_key").limit(max_rows)
-        picked = some if picked is None else picked.unionByName(some)
+    picked = [usable.where(F.col("_label") == kind).orderBy(place, "_key").limit(max_rows) for kind in (0, 1)]
     sample = (
-        docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
-        .where(F.length("_text") <= max_bytes)
-        .join(F.broadcast(picked), "_key")  # 2 * max_rows rows at most
-        .select("_label", "_text")
+        plain.join(F.broadcast(picked[0].unionByName(picked[1])), "_key")  # 2 * max_rows rows at most
+        .groupBy("_label", "_key")
+        .agg(F.min("_text").alias("_text"))  # one text of a key
+        .orderBy("_label", place, "_key")
     )
     index: dict[bytes, int] = {}
     texts, kinds = [], []
@@ -200,17 +232,18 @@ def fit(
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """All rows of `docs` with score (0 to 1) and predicted (1 from `threshold` on)."""
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    body = free_name(docs.columns, "bytes")
     if model is None:
         return docs.select(*kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
 
     def run(batches):
         for batch in batches:
-            values = score_texts(batch.column("_bytes").to_pylist(), shared.value)
+            values = score_texts(batch.column(body).to_pylist(), shared.value)
             columns = [batch.column(c) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values)], [*kept, "score"])
 
     schema = docs.select(*kept, F.lit(0.0).alias("score")).schema
-    scored = docs.select(*kept, F.col(text).cast("binary").alias("_bytes")).mapInArrow(run, schema)
+    scored = docs.select(*kept, F.col(text).cast("binary").alias(body)).mapInArrow(run, schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -360,6 +360,35 @@ def test_toxicity_edges(docs, none):
     assert toxicity.fit(docs, none.selectExpr("doc_id", "0 AS toxic")) is None
 
 
+def test_toxicity_scores_by_hand():
+    """Each text's worst window of words, one n-gram after another."""
+    model = toxicity.Model(np.random.default_rng(3).normal(size=1 << toxicity.BUCKET_BITS).astype(np.float32), 0.3)
+    texts = [b"One two  three four\tfive six seven", b"a", b"", None, "Wörter und é".encode(), text(300, 4).encode()]
+    for t, got in zip(texts, toxicity.score_texts(texts, model)):
+        words = (t or b"").lower().split()
+        grams = [[model.logits[b] for n in toxicity.SIZES for b in toxicity._buckets(np.frombuffer(b" " + w + b" ", np.uint8), n)] for w in words]
+        windows = [sum(grams[k : k + toxicity.WINDOW], []) for k in range(len(words))]
+        worst = max((sum(map(float, x)) / len(x) for x in windows), default=0.0)
+        assert got == pytest.approx(1 / (1 + math.exp(-(worst + 0.3))))
+
+
+def test_toxicity_sample(spark, monkeypatch):
+    """Too long, blank and repeated texts take no place from others; training in spans is training at once."""
+    rows = [(i, f"w{i} fine words here") for i in range(6)] + [(10 + i, f"w{i} horridslur") for i in range(6)]
+    useless = [(20 + i, t) for i, t in enumerate(["", " \n", None, "x" * 3_000])]
+    df = spark.createDataFrame(rows + useless + rows * 20, "doc_id bigint, text string").withColumn("_bytes", F.lit("own"))
+    labels = spark.createDataFrame([(i, int(i >= 10)) for i, _ in rows + useless] * 3, "doc_id bigint, toxic int")
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, kinds, words: seen.append((texts, kinds, words)) or train(texts, kinds, words))
+    model = toxicity.fit(df, labels, max_rows=6, max_bytes=2_000)
+    texts, kinds, words = seen[0]
+    assert sorted(kinds) == [0] * 6 + [1] * 6
+    monkeypatch.setattr(toxicity, "SPAN_WORDS", 7)
+    assert np.allclose(train(texts, kinds, words).logits, model.logits, atol=1e-4)
+    assert {r["_bytes"] for r in toxicity.score(df, model).collect()} == {"own"}
+
+
 # 6 vectors ------------------------------------------------------------------------
 
 
