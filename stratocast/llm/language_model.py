@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from stratocast.llm import words as W
 from stratocast.llm.frequent import most_frequent
+from stratocast.llm.names import renamed, set_apart
 from stratocast.storage import stored
 
 SHORT = 512
@@ -368,13 +369,15 @@ class LanguageModel:
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """All rows of `docs` but the text, with n_tokens, n_known, train_tokens, base_score, score."""
         added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+        docs, own = set_apart(docs)
+        (text,) = renamed(own, text)
         kept = [c for c in docs.columns if c not in added and c != text]
         shared = self.context.broadcast((self.model, self.counts))  # of a fixed size
-        own = "_text bigint, _sent bigint, n_tokens bigint, _known bigint, _often double, _class double, _rare array<bigint>, _times array<bigint>"
+        told = "_text bigint, _sent bigint, n_tokens bigint, _known bigint, _often double, _class double, _rare array<bigint>, _times array<bigint>"
         schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
         part = stored(
             docs.select(*kept, F.col(text).cast("binary").alias("_bytes")).mapInArrow(
-                lambda b: _scored(b, kept, *shared.value), f"{schema}, {own}" if kept else own
+                lambda b: _scored(b, kept, *shared.value), f"{schema}, {told}" if kept else told
             )
         )
         rare = part.where("_sent = 1").select("_text", F.explode(F.arrays_zip("_rare", "_times")).alias("x"))
@@ -400,7 +403,7 @@ class LanguageModel:
             F.lit(self.counts.total).cast("bigint").alias("train_tokens"),
             base.alias("base_score"),
             (F.col("_class") + log).alias("score"),
-        )
+        ).withColumnsRenamed(own)
 
 
 def _scored(batches, kept: list[str], model: Model, counts: Counts):

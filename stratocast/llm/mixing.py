@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratocast.llm.names import renamed, set_apart
 from stratocast.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,11 +81,13 @@ def mix_sources(
     table has a row per partition and source. Without `carry_text` only the
     other columns move.
     """
+    docs, own = set_apart(docs)
+    text, source, key = renamed(own, text, source, key)
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     kept = [c for c in docs.columns if c not in ADDED and (carry_text or c != text)]
     sized = docs.withColumn("_size", words).select(*kept, F.col("_size").alias("size"))
     order = [F.col(source).asc_nulls_last(), F.col("size"), F.col(key)]
-    return _mixed(sized, kept, order, weights, share, most, seed, source)
+    return _mixed(sized, kept, order, weights, share, most, seed, source).withColumnsRenamed(own)
 
 
 def _mixed(sized, kept, order, weights, share, most, seed, source) -> DataFrame:

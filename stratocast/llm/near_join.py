@@ -39,6 +39,7 @@ from stratocast.llm import words as W
 from stratocast.llm.bits import bit_filter, holds
 from stratocast.llm.components import components
 from stratocast.llm.frequent import most_frequent
+from stratocast.llm.names import renamed, set_apart
 from stratocast.storage import stored
 
 WIDTH = 5
@@ -446,9 +447,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that name their class, each once; rows without a key are kept as they are."""
+    docs, own = set_apart(docs)
+    key, text = renamed(own, key, text)
     found = near_classes(docs, key, text).where(F.col(key) == F.col("component_id"))
     kept = found.groupBy(F.col(key).alias("_kept")).agg(F.count(F.lit(1)).alias("_times"))
     met = docs.join(kept, F.col(key) == F.col("_kept"))
     once = met.where("_times = 1").select(*docs.columns)
     twice = met.where("_times > 1").select(*docs.columns).dropDuplicates([key, text])
-    return once.unionByName(twice).unionByName(docs.where(F.col(key).isNull()))
+    return once.unionByName(twice).unionByName(docs.where(F.col(key).isNull())).withColumnsRenamed(own)

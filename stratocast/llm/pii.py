@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratocast.llm.names import renamed, set_apart
 from stratocast.storage import stored
 
 # Patterns of the entities, in order of precedence.
@@ -209,6 +210,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Texts with entities are told apart by their md5, so equal texts are looked
     up once; texts without any stay where they are.
     """
+    docs, own = set_apart(docs)
+    (text,) = renamed(own, text)
     kept = [c for c in docs.columns if c != "n_entities"]
     value = F.col(text)
     found = F.when(value.rlike(HINT), F.regexp_extract_all(value, F.lit(ANY), F.lit(0))).otherwise(F.array())
@@ -232,4 +235,4 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     columns = [F.array_join(pieces, "").alias(c) if c == text else F.col(c) for c in kept]
     replaced = have.join(names, "_id").select(*columns, F.size("_found").alias("n_entities"))
     plain = held.where(F.size("_found") == 0).select(*kept, F.lit(0).alias("n_entities"))
-    return plain.unionByName(replaced)
+    return plain.unionByName(replaced).withColumnsRenamed(own)

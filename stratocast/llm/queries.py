@@ -135,12 +135,62 @@ def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+ORACLE_SQL["op6_near_vectors"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a
+  JOIN usable b ON b.label = a.label AND b.vec_id <> a.vec_id AND len(b.v) = len(a.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), reached AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node WHERE r.root < l.b
+), least AS (
+  SELECT node, min(root) AS component_id FROM reached GROUP BY node
+)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, r.component_id, e.vec_id = r.component_id AS kept
+FROM embeddings e JOIN least r ON r.node = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+"""
+
+
 @query
 def op7_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of shingles and the class of near copies it belongs to."""
     return near_join.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+ORACLE_SQL["op7_near_join"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON b.s = a.s AND b.doc_id > a.doc_id GROUP BY 1, 2
+), near AS (
+  SELECT s.a, s.b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)
+), links AS (
+  SELECT a, b FROM near UNION ALL SELECT b, a FROM near
+), reached AS (
+  SELECT doc_id AS node, doc_id AS root FROM documents
+  UNION
+  SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.node WHERE r.root < l.b
+), least AS (
+  SELECT node, min(root) AS component_id FROM reached GROUP BY node
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d JOIN least r ON r.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items that its text holds."""
@@ -156,6 +206,28 @@ def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+ORACLE_SQL["op9_remove_repeats"] = r"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM worded
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM worded WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), marked AS (
+  SELECT p.doc_id, p.i, p.word, count(l.i) OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM placed p LEFT JOIN later l ON l.doc_id = p.doc_id AND l.i = p.i
+), summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed s ON s.doc_id = d.doc_id
+"""
+
+
 @query
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""

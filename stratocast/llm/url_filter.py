@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratocast.llm.names import renamed, set_apart
 from stratocast.operators.scale import skew_join
 from stratocast.storage import stored
 
@@ -128,6 +129,8 @@ class UrlFilter:
 
     def judge(self, pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", threshold: float = 0.5) -> DataFrame:
         """All rows of `pages` with host, path, rule, score (probability of block) and verdict."""
+        pages, own = set_apart(pages, "probability", "prediction", "rawPrediction")
+        (url,) = renamed(own, url)
         kept = [c for c in pages.columns if c not in ADDED]
         host, path = host_and_path(F.col("_url"))
         rows = pages.select(*kept, F.col(url).alias("_url")).withColumns({"host": host, "path": path})
@@ -140,4 +143,4 @@ class UrlFilter:
                 "score", vector_to_array("probability")[1]
             )
         method = F.when(F.col("score") >= threshold, "block").otherwise("allow")
-        return scored.select(*kept, "host", "path", "rule", "score", F.coalesce("_decision", method).alias("verdict"))
+        return scored.select(*kept, "host", "path", "rule", "score", F.coalesce("_decision", method).alias("verdict")).withColumnsRenamed(own)

@@ -14,8 +14,8 @@ labels beyond that use the pivots of the largest label of their length.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite
 components, or whose label is null, links with nothing; a row without an id
-links like others but names no component; repeated rows count as other vectors;
-an empty table gives an empty result.
+links like others but names no component; repeated rows count as other vectors,
+and so do rows of one id with different vectors; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def near_vectors(
         & F.exists("embedding", lambda v: v != 0),
         F.lit(False),
     )
-    # A node's name is the smallest key; nodes without any key get names below all keys' range.
+    # A node's name is its place in the written table: keys may repeat over different vectors, hashes may meet.
     grouped = rows.where(usable).groupBy("label", "embedding").agg(F.min("_key").alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(
         grouped.select(
@@ -153,7 +153,7 @@ def near_vectors(
             "first",
             "copies",
             F.size("embedding").alias("size"),
-            F.coalesce(F.col("first").cast("bigint"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64("label", "embedding"), F.lit(1 << 60))).alias("node"),
+            F.monotonically_increasing_id().alias("node"),
         )
     )
     pivots = context.broadcast(choose_pivots(nodes))  # ALL_PIVOTS vectors at most

@@ -683,3 +683,35 @@ def test_html_training_reads_whole_pages(spark):
     df = spark.createDataFrame(rows, "page_id bigint, html string").withColumn("_html", F.lit("own"))
     got = html_text.extract(df, html_text.fit(df)).collect()
     assert all(len(r["text"].split("\n")) == 81 and r["_html"] == "own" for r in got)
+
+
+# helper columns and keys ------------------------------------------------------------
+
+
+def test_equal_ids_of_different_vectors_link(spark):
+    near, far = [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, 0, near), (1, 0, [1.0, 0.01, 0.0]), (2, 0, far), (2, 0, far), (3, 0, [1.0, 0.0, 0.01]), (None, 0, [0.0, 0.01, 1.0]), (4, 1, near)]
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>")
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in vector_join.near_vectors(df).collect())
+    assert got == [("1", 2, 1), ("1", 2, 1), ("2", 2, 2), ("2", 2, 2), ("3", 2, 1), ("4", 0, 4), ("None", 2, 2)]
+
+
+def test_own_columns_keep_their_names_and_values(spark):
+    names = "_id _found _names _at _size _part _source _rate _kept _times _text _bytes _sent _url _host _decision probability".split()
+    own = {c: F.concat(F.lit(f"own {c} "), F.col("doc_id").cast("string")) for c in names}
+    rows = [(1, "write to ann.b@x.org now", "a"), (2, "nothing private", "b"), (3, "", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns(own)
+
+    def kept(out):
+        found = out.collect()
+        assert len(found) == 3 and all(r[c] == f"own {c} {r['doc_id']}" for r in found for c in names)
+
+    kept(pii.pseudonymize(df, "key"))
+    kept(mixing.mix_sources(df))
+    kept(near_join.one_of_each(df))
+    kept(language_model.LanguageModel(df.select("text")).score(df))
+    urls = df.withColumn("url", F.concat(F.lit("http://a"), F.col("doc_id"), F.lit(".org/x")))
+    labelled = spark.createDataFrame([(f"http://{'spam' if i % 2 else 'fine'}{i}.net/{i}", i % 2) for i in range(40)], "u string, bad int")
+    kept(url_filter.UrlFilter(labelled, "u", "bad", trees=2).judge(urls, [("allow", "org/")]))
+    moved = mixing.mix_sources(df.withColumnsRenamed({"text": "_at2", "source": "_part2"}), text="_at2", source="_part2").collect()
+    assert sorted(r["size"] for r in moved) == [0, 2, 4]
