@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratocast.functions import extract, labels, render, reward, text
-from stratocast.operators import candidates, corpus, evaluate, forecasts, gate, ingest, metriclog, rewards, scale
+from stratocast.operators import candidates, corpus, evaluate, forecasts, gate, ingest, longest, metriclog, rewards, scale
 from stratocast.operators import sequences as seq
 from stratocast.storage import stored
 from stratocast.plans import views as V
@@ -365,6 +365,14 @@ def rouge_l_lcs(spark, sf):
     return V.text_pairs(spark, sf).select("conv_id", "turn", r6(text.rouge_l_lcs(g, r)).alias("rouge_l"))
 
 
+@query
+def rouge_l_long(spark, sf):
+    """Every pair in blocks of 16 tokens, so that all of them meet along the front."""
+    g, r = text.rouge_tokens(F.col("answer")), text.rouge_tokens(F.col("question"))
+    pairs = V.text_pairs(spark, sf).select("conv_id", "turn", g.alias("_g"), r.alias("_r"))
+    return rounded(longest.rouge_l_long(pairs, ["conv_id", "turn"], "_g", "_r", block=16))
+
+
 @query
 def bleu4(spark, sf):
     return rounded(evaluate.bleu4_long(_pair_tokens(spark, sf), ["conv_id", "turn"], "_g", "_r"))

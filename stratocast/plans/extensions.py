@@ -346,6 +346,7 @@ def sql() -> dict[str, str]:
  {_rouge_tokens('question')} AS r FROM text_pairs)""",
         "text_pairs",
     )
+    q["rouge_l_long"] = q["rouge_l_lcs"]
     scores = O.evaluation_rounded(["band"], bleu="bleu", rouge_l="longest", source="pinned")
     q["evaluate_pinned"] = O.with_ctes(f", {_pinned()} {scores}", "scored")
     made = "(SELECT *, datetime + (event_id % 12 + 1) * INTERVAL 1 HOUR AS until FROM obs)"
