@@ -11,6 +11,7 @@ from stratocast.functions import extract, text
 from stratocast.functions.stemming import SHORTEST, with_stem
 from stratocast.operators.corpus import take_first
 from stratocast.operators.scale import skew_join
+from stratocast.storage import stored
 
 # Weights of the overall score, and the report thresholds.
 OVERALL = {
@@ -135,15 +136,17 @@ def score_rows(
 def stem_tokens(df: DataFrame, identity: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Replace the tokens of array columns by their stems; tokens of three letters or fewer stay.
 
-    Each different token is stemmed once. Tokens travel to their stems and back
-    with their place in the row; frequent ones meet them by broadcast.
+    Each different token is stemmed once, and the table of stems is written, so
+    the plan of the join reads it and does not hold the stemmer's rules. Tokens
+    travel to their stems and back with their place in the row; frequent ones
+    meet them by broadcast.
     """
     sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("tokens")) for i, c in enumerate(columns)])
     placed = df.select(*identity, F.explode(sides).alias("_side")).select(
         *identity, F.col("_side.side").alias("_of"), F.posexplode("_side.tokens").alias("_at", "_token")
     )
     long = F.length("_token") >= SHORTEST
-    stems = with_stem(placed.where(long).select("_token").distinct(), "_token", "_stem")
+    stems = stored(with_stem(placed.where(long).select("_token").distinct(), "_token", "_stem"))
     found = skew_join(placed, stems, "_token")
     entry = F.struct("_of", "_at", F.coalesce("_stem", "_token").alias("token"))
     lists = found.groupBy(*identity).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))  # one row's own tokens
