@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocast.functions.render import prompt_time, render_prompt
 from stratocast.functions.text import word_count, words
@@ -15,6 +19,9 @@ from stratocast.operators.sequences import SERIES
 # Fixed value: label of a position that is not trained on.
 IGNORED = -100
 
+# Characters of the rows whose different words are looked up together.
+CHUNK_CHARS = 4_000_000
+
 
 def training_records(seq: DataFrame, location: str = "location_name", time: str = "datetime", keep: Sequence[str] = ()):
     """Six text columns per window; prompt repeats input and response repeats target."""
@@ -132,6 +139,19 @@ def build_vocab(df: DataFrame, columns: Sequence[str], seed: int = 0, first_id:
     return ranked.select("token", "uses", (F.col("_rank") - 1 + F.lit(first_id)).cast("int").alias("id"))
 
 
+def _codes(rows: pa.Table, known: pa.Table, names: Sequence[str], fields: int, unknown_id: int) -> pa.Table:
+    """The words of one chunk of rows looked up in the chunk's own part of the vocabulary."""
+    tokens, codes = known.column("_token").combine_chunks(), known.column("_code").combine_chunks()
+    out = {c: rows.column(c) for c in names}
+    for i in range(fields):
+        lists = rows.column(f"_words{i}").combine_chunks()
+        found = codes.take(pc.index_in(lists.flatten(), value_set=tokens)).fill_null(unknown_id)
+        ends = pc.cumulative_sum(pc.list_value_length(lists))
+        starts = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+        out[f"_ids{i}"] = pa.ListArray.from_arrays(starts, found)
+    return pa.table(out)
+
+
 def encode_vocab(
     df: DataFrame,
     identity: Sequence[str],
@@ -139,36 +159,44 @@ def encode_vocab(
     vocab: DataFrame,
     unknown_id: int = 0,
     min_rows: int = scale.HEAVY_ROWS,
+    chunk_chars: int = CHUNK_CHARS,
 ) -> DataFrame:
     """Add ARRAY<INT> word ids, `columns` maps a text column to its id column.
 
-    Words travel to the vocabulary and back with their place in the row.
-    Frequent words meet it by broadcast, all others by a shuffle on the word.
+    Rows are dealt to chunks of about `chunk_chars` characters by a hash of their
+    identity. Only the different words of a chunk travel to the vocabulary and
+    back, so a frequent word is as many rows as there are chunks, and no word
+    travels by itself. Texts are measured first, which is a job of its own.
+    `min_rows` has no use any more: no word is heavy.
     """
     fields = list(columns)
-    sides = F.array(
-        *[
-            F.struct(F.lit(i).alias("field"), words(F.coalesce(F.col(c), F.lit(""))).alias("words"))
-            for i, c in enumerate(fields)
-        ]
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in fields]
+    chars = df.agg(*[F.coalesce(F.sum(F.char_length(t)), F.lit(0)) for t in texts]).first()
+    chunk = F.pmod(F.xxhash64(*identity), F.lit(sum(chars) // chunk_chars + 1))
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in identity])  # the others have no ids
+    rows = df.where(named).select(
+        *identity, chunk.alias("_chunk"), *[words(t).alias(f"_words{i}") for i, t in enumerate(texts)]
     )
-    placed = (
-        df.select(*identity, F.explode(sides).alias("_side"))
-        .select(*identity, F.col("_side.field").alias("_field"), F.posexplode("_side.words").alias("_at", "_token"))
+    own = rows.repartition("_chunk").select(F.col("_chunk").alias("_of"), F.explode(F.concat(*[f"_words{i}" for i in range(len(fields))])).alias("_token"))
+    known = vocab.select(F.col("token").alias("_token"), F.col("id").cast("int").alias("_code"))
+    parts = own.distinct().join(known, "_token").select("_of", "_token", "_code")
+    names, count = list(identity), len(fields)
+    schema = T.StructType(
+        [df.schema[c] for c in names] + [T.StructField(f"_ids{i}", T.ArrayType(T.IntegerType())) for i in range(count)]
     )
-    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_code"))
-    heavy = None
-    if "uses" in vocab.columns:  # the vocabulary knows its frequent words
-        often = vocab.where(F.col("uses") > min_rows).orderBy(F.col("uses").desc(), "token").limit(scale.HEAVY_LIMIT)
-        heavy = often.select(F.col("token").alias("_token"))
-    coded = scale.skew_join(placed, known, "_token", min_rows=min_rows, heavy=heavy)
-    # One row's own words come back together: bounded by that row's text.
-    entry = F.struct("_field", "_at", F.coalesce(F.col("_code"), F.lit(unknown_id)).alias("code"))
-    lists = coded.groupBy(*identity).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    coded = (
+        rows.groupBy("_chunk").cogroup(parts.groupBy("_of"))
+        .applyInArrow(lambda texts, part: _codes(texts, part, names, count, unknown_id), schema)
+    )
+    # Rows of equal identity share their words, by place.
+    lists = coded.groupBy(*identity).agg(F.collect_list(F.struct(*[f"_ids{i}" for i in range(count)])).alias("_lists"))
 
     def ids(i: int) -> Column:
-        own = F.filter("_entries", lambda e: e["_field"] == i)["code"] if len(fields) > 1 else F.col("_entries.code")
+        placed = F.flatten(
+            F.transform("_lists", lambda one: F.transform(one[f"_ids{i}"], lambda code, at: F.struct(at.alias("at"), code.alias("code"))))
+        )
+        own = F.when(F.size("_lists") == 1, F.col("_lists")[0][f"_ids{i}"]).otherwise(F.array_sort(placed)["code"])
         return F.coalesce(own, F.array().cast("array<int>"))
 
-    joined = df.join(lists, list(identity), "left")
+    joined = df.join(lists, names, "left")
     return joined.select(*df.columns, *[ids(i).alias(columns[c]) for i, c in enumerate(fields)])

@@ -214,3 +214,16 @@ def test_null_keys_are_spread(spark):
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+def test_words_travel_once_for_a_chunk(spark):
+    """Repeated words, rows of equal identity, null identities and texts, in one chunk and in many."""
+    rows = [(i, f"wind wind rain w{i % 7} wind") for i in range(40)] + [(5, "rain dry"), (None, "wind"), (41, None), (42, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vocab = spark.createDataFrame([("wind", 1), ("rain", 2), ("w3", 3)], "token string, id int")
+    for chars in (10, 1_000_000):
+        out = corpus.encode_vocab(df, ["id"], {"text": "ids"}, vocab, chunk_chars=chars)
+        assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()  # chunks, not single words, meet their rows
+        got = {r["id"]: r["ids"] for r in out.collect()}
+        assert got[3] == [1, 1, 2, 3, 1] and got[4] == [1, 1, 2, 0, 1] and got[41] == got[42] == got[None] == []
+        assert got[5] == [1, 2, 0, 1, 2, 0, 1]
