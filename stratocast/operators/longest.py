@@ -16,8 +16,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocast.functions import text
 from stratocast.storage import stored
@@ -26,14 +28,14 @@ BLOCK = 4096
 LONG = 4 * BLOCK  # tokens of the longer side from which a pair is cut into blocks
 
 
-def advance(a: list[str], b: list[str], state: bytes | None, carries: bytes | None) -> tuple[bytes, bytes]:
+def advance(a: list, b: list, state: bytes | None, carries: bytes | None) -> tuple[bytes, bytes]:
     """State of strip `a` and the carries to the strip below, after the tokens `b`.
 
     A zero bit of the state is a row in which the subsequence grew. Without a
     state nothing was read yet; without carries there is no strip above.
     """
     full = (1 << len(a)) - 1
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, token in enumerate(a):
         where[token] = where.get(token, 0) | (1 << i)
     bits = full if state is None else int.from_bytes(state, "little")
@@ -77,6 +79,20 @@ def _pieces(pairs: DataFrame, side: str, other: str, place: str, tokens: str, bl
     )
 
 
+def _numbered(batches):
+    """Tokens as numbers, equal where tokens are equal; they hold within a batch, so within a pair."""
+    for batch in batches:
+        sides = [batch.column(c) for c in ("_left", "_right")]
+        flat = [side.flatten() for side in sides]
+        numbers = pa.concat_arrays(flat).dictionary_encode(null_encoding="encode").indices
+        out, at = {"_identity": batch.column("_identity")}, 0
+        for name, side, own in zip(("_left", "_right"), sides, flat):
+            sizes = np.concatenate([[0], pc.list_value_length(side).to_numpy(zero_copy_only=False)])
+            out[name] = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), numbers.slice(at, len(own)))
+            at += len(own)
+        yield pa.RecordBatch.from_pydict({**out, "_row": batch.column("_row")})
+
+
 def lcs_lengths(pairs: DataFrame, left: str, right: str, row: str, block: int = BLOCK) -> DataFrame:
     """`row` and `lcs`, for the pairs that have tokens on both sides; `row` tells pairs apart."""
     full = pairs.where((F.size(left) > 0) & (F.size(right) > 0)).select(F.col(row).alias("_row"), left, right)
@@ -116,14 +132,17 @@ def rouge_l_long(
     def tokens(c: str) -> Column:
         return F.coalesce(F.col(c), F.array().cast("array<string>"))
 
-    rows = stored(
-        pairs.select(
-            F.struct(*identity).alias("_identity"),
-            tokens(left).alias("_left"),
-            tokens(right).alias("_right"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
+    texts = pairs.select(
+        F.struct(*identity).alias("_identity"),
+        tokens(left).alias("_left"),
+        tokens(right).alias("_right"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    numbers = T.ArrayType(T.IntegerType())
+    schema = T.StructType(
+        [texts.schema["_identity"], T.StructField("_left", numbers), T.StructField("_right", numbers), texts.schema["_row"]]
     )
+    rows = stored(texts.mapInArrow(_numbered, schema))  # all later steps carry numbers in place of tokens
     lengths = lcs_lengths(rows, "_left", "_right", "_row", block)
     sized = rows.select("_identity", "_row", (F.size("_left") + F.size("_right")).alias("_size"))
     score = F.coalesce(2.0 * F.col("lcs") / F.col("_size"), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratocast.functions import text
 from stratocast.operators import longest
+from stratocast.storage import stored
 
 
 def lcs(a, b):
@@ -61,3 +62,19 @@ def test_one_very_long_pair_is_many_rows(spark):
     df = spark.createDataFrame([(1, a, b)], "id int, g array<string>, r array<string>")
     whole = df.select(text.rouge_l_lcs(F.col("g"), F.col("r"))).first()[0]
     assert longest.rouge_l_long(df, ["id"], "g", "r").first()["rouge_l"] == pytest.approx(whole)
+
+
+def test_written_tables_hold_numbers_for_tokens(spark, monkeypatch):
+    """What is written and shuffled for each diagonal has a number per token, whatever its length."""
+    kinds = []
+
+    def recorded(df, *args):
+        kinds.extend(t for _, t in df.dtypes)
+        return stored(df, *args)
+
+    monkeypatch.setattr(longest, "stored", recorded)
+    rows = [(1, ["a" * 50, "b", None, "b"], ["b", "a" * 50, None, "c"]), (2, None, ["b"]), (3, [], []), (4, ["b", "c"], ["b", "c"])]
+    df = spark.createDataFrame(rows, "id int, g array<string>, r array<string>")
+    out = longest.rouge_l_long(df, ["id"], "g", "r", block=2)
+    assert {r["id"]: r["rouge_l"] for r in out.collect()} == {1: 0.5, 2: 0.0, 3: 0.0, 4: 1.0}
+    assert "array<int>" in kinds and "array<string>" not in kinds
