@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratocast.sources import files
+from stratocast.sources import json_split
 from stratocast.sources.json_split import array_records, first_characters, map_entries
 
 NASTY = ['plain', 'a "quoted" }, { text', "back\\slash\\\\", "line\nbreak, comma", "}{][,:", '\\"}', "", "ünï ☃ \U0001f600", "\\", '",', "x" * 300]
@@ -83,3 +84,15 @@ def test_maps_and_lists_of_predictions(spark, tmp_path, small_ranges):
     assert got == want
     places = map_entries(spark, str(tmp_path), first_characters(spark, str(tmp_path)).where("first = '{'"))
     assert places.groupBy("file").agg(F.count("key").alias("n")).where("n <> 80").isEmpty()
+
+
+def test_tasks_follow_the_pieces(spark, tmp_path, monkeypatch):
+    """Sums run over short runs of pieces, and a task sorts a bounded number of them."""
+    monkeypatch.setattr(json_split, "TASK_PIECES", 50)
+    monkeypatch.setattr(json_split, "RUN_BITS", 2)
+    records = [{"id": i, "text": 'a } "quoted" { [' * (i % 3), "in": {"x": [i, {"y": "}"}]}} for i in range(150)]
+    (tmp_path / "a.json").write_text(json.dumps(records))
+    found = array_records(spark, str(tmp_path))
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [json.loads(r["text"]) for r in found.orderBy("position").collect()]
+    assert got == records
