@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratocast.functions import extract, stemming, text
 from stratocast.operators import evaluate, inference, outcomes, profiles, rewards, scale
@@ -18,6 +19,7 @@ from stratocast.streaming import sinks
 from stratocast.streaming import windows as stream_state
 
 NBSP = "\u00a0"
+SLICE_ROWS = 500_000  # rows of one file of a stream, which is what a trigger of `verify_stream` takes
 
 
 def gappy_observations(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,21 +238,60 @@ def _closed(df: DataFrame, path: str, time: str, **later: str) -> DataFrame:
     `later`: other times of these rows, as an interval from `time`.
     """
     df.write.parquet(path)
+    _end(df, path, time, **later)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def _end(df: DataFrame, path: str, time: str, **later: str) -> None:
+    """Land the two rows that end a stream, one file each."""
     for days in (30, 60):
         end = F.max(time) + F.expr(f"INTERVAL {days} DAYS")
         filled = {time: end, "location_name": F.lit("end of stream"), "event_id": F.lit(-days)}
         filled |= {c: end + F.expr(f"INTERVAL {span}") for c, span in later.items()}
         row = df.agg(*[filled.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
         row.write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+def _slices(df: DataFrame, time: str, rows: int = SLICE_ROWS) -> list[int]:
+    """Times (in microseconds) that cut `df` into stretches of about `rows` rows; the rows of one time stay together."""
+    n = -(-df.count() // rows)
+    if n < 2:
+        return []
+    shares = [i / n for i in range(1, n)]
+    found = df.select(F.percentile_approx(F.unix_micros(time), shares, 100 * n)).first()[0]
+    return sorted(set(found or []))
+
+
+def _arriving(df: DataFrame, cuts: list[int], time: str, **later: str) -> DataFrame:
+    """`_closed` as files that land one after the other in order of time, each the rows between two cuts.
+
+    A trigger takes one file, so the watermark moves with the files, and state is
+    kept for the open stretch of time and not for the whole table. A file has
+    small row groups, which many tasks read. Rows without a time come first.
+    """
+    sliced, landed = new_path(spark := df.sparkSession), new_path(spark)
+    at = F.unix_micros(time)
+    before = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= at)) if cuts else F.lit(0)
+    place = F.when(at.isNull(), 0).otherwise(before)
+    df.withColumn("_slice", place).repartition(len(cuts) + 1, "_slice").write.partitionBy("_slice").parquet(sliced)
+    whole = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_slice", T.IntegerType())])).parquet(sliced)
+    for i in range(len(cuts) + 1):
+        part = whole.where(F.col("_slice") == i).drop("_slice")
+        part.coalesce(1).write.mode("append").option("parquet.block.size", 1 << 20).parquet(landed)
+    _end(df, landed, time, **later)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(landed)
 
 
 @query
 def verify_stream(spark, sf):
-    """Forecasts and observations as two streams: the outcomes that `verify_outcomes` finds in tables."""
-    made = forecasts_made(spark, sf)
-    forecasts = _closed(made, new_path(spark), "generated_at", valid_until="1 HOUR")
-    obs = _closed(V.observations(spark, sf), new_path(spark), "datetime")
+    """Forecasts and observations as two streams: the outcomes that `verify_outcomes` finds in tables.
+
+    Both land in slices with the same cuts, so that both watermarks move together.
+    """
+    made, seen = forecasts_made(spark, sf), V.observations(spark, sf)
+    cuts = _slices(made, "generated_at")
+    forecasts = _arriving(made, cuts, "generated_at", valid_until="1 HOUR")
+    obs = _arriving(seen, cuts, "datetime")
     found = stream_outcomes.verify_stream(forecasts, obs, "event_id", longest="12 hours")
     out = new_path(spark)
     sinks.start_exactly_once(found, out, "verify", new_path(spark)).awaitTermination()
