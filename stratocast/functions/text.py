@@ -22,6 +22,8 @@ _SPACE = (
     r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 )
 SPACE_CLASS = _SPACE
+# All of them but the plain blank: replacing blanks by blanks would rebuild every text.
+_ODD_SPACE = _SPACE.replace("[ ", "[", 1)
 # One lower-case metric token that is no stopword.
 _TOKEN = r"(?<![a-z0-9])(?!(?:" + "|".join(STOPWORDS) + r")(?![a-z0-9]))[a-z0-9]+"
 
@@ -33,7 +35,7 @@ def bind(value: Column, body) -> Column:
 
 def even_space(text: Column) -> Column:
     """Every white space character as a plain blank."""
-    return F.regexp_replace(text, _SPACE, " ")
+    return F.regexp_replace(text, _ODD_SPACE, " ")
 
 
 def _pieces(text: Column, separator: str) -> Column:
@@ -123,9 +125,9 @@ def bleu4(generated_tokens: Column, reference_tokens: Column) -> Column:
     1; with no unigram in common the score is 0.
     """
     def hits(n: int) -> Column:
-        return F.size(
-            F.array_intersect(occurrences(ngrams(generated_tokens, n)), occurrences(ngrams(reference_tokens, n)))
-        )
+        if n == 1:
+            return overlap_count(generated_tokens, reference_tokens)
+        return bind(ngrams(generated_tokens, n), lambda a: bind(ngrams(reference_tokens, n), lambda b: overlap_count(a, b)))
 
     return bleu4_from_counts([hits(n) for n in (1, 2, 3, 4)], F.size(generated_tokens), F.size(reference_tokens))
 
