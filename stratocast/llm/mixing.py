@@ -78,8 +78,10 @@ def mix_sources(
     Rows are dealt to partitions by range of (source, size, key), so a source of
     any share of the rows is spread. A row's rank in its source is its place in
     its partition, shifted by the counts of the partitions before: the shift
-    table has a row per partition and source. Without `carry_text` only the
-    other columns move.
+    table has a row per partition and source. Only the three columns that order
+    the rows are sorted; the texts, written once with a number for each row, are
+    streamed to the figures found for them, so no task sorts or buffers texts.
+    Without `carry_text` the other columns move as they are, texts not at all.
     """
     docs, own = set_apart(docs)
     text, source, key = renamed(own, text, source, key)
@@ -87,7 +89,13 @@ def mix_sources(
     kept = [c for c in docs.columns if c not in ADDED and (carry_text or c != text)]
     sized = docs.withColumn("_size", words).select(*kept, F.col("_size").alias("size"))
     order = [F.col(source).asc_nulls_last(), F.col("size"), F.col(key)]
-    return _mixed(sized, kept, order, weights, share, most, seed, source).withColumnsRenamed(own)
+    if carry_text:
+        whole = stored(sized.withColumn("_row", F.monotonically_increasing_id()))
+        found = _mixed(whole.select("_row", *dict.fromkeys((source, key)), "size"), ["_row"], order, weights, share, most, seed, source)
+        mixed = whole.drop("size").join(found.hint("shuffle_hash"), "_row").select(*kept, *ADDED)
+    else:
+        mixed = _mixed(sized, kept, order, weights, share, most, seed, source)
+    return mixed.withColumnsRenamed(own)
 
 
 def _mixed(sized, kept, order, weights, share, most, seed, source) -> DataFrame:

@@ -101,6 +101,19 @@ def test_targets_by_rounds(spark):
     assert got == pytest.approx(want)
 
 
+def test_mixing_sorts_no_texts(spark):
+    """Only the columns that order rows are sorted, with texts or without; both ways give the same copies."""
+    rows = [(i % 50 if i % 11 else None, None if i % 13 == 0 else "w " * (i % 7), ("a", "b", None)[i % 3]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    mixed = mixing.mix_sources(df)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [_row" in plan and "SortMergeJoin [_row" not in plan
+    columns = ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+    plain = mixing.mix_sources(df, carry_text=False).select(columns)
+    assert sorted(map(str, mixed.select(columns).collect())) == sorted(map(str, plain.collect()))
+    assert sorted(map(str, mixed.select(df.columns).collect())) == sorted(map(str, df.collect()))
+
+
 def test_mixing_follows_targets(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["x"] * rng.randint(1, 300)), rng.choice("aaaab")) for i in range(1500)]
