@@ -199,6 +199,57 @@ def test_language_model_tail_classes_are_normalised():
     assert trainer.m.log_probabilities(every, context).mean() > model.log_probabilities(every, context).mean()
 
 
+def test_language_model_is_a_plain_softmax_of_three_short_levels():
+    n = language_model.MANY + 1024
+    full = language_model.initial(np.arange(language_model.MANY, dtype=np.uint64), np.ones(n))
+    assert len(full.heads) + full.wide + full.leaf < 1000  # exponentials of a context
+    rng = np.random.default_rng(4)
+    model = language_model.initial(np.sort(rng.integers(0, 1 << 63, 900).astype(np.uint64)), rng.random(908))
+    context = np.repeat(rng.integers(0, 909, (1, language_model.CONTEXT)), 908, axis=0)
+    for times in (1, 40):  # products that single precision holds, and others
+        for p in model.parts()[1:4]:
+            p[:, :-1] = rng.normal(0, times, (len(p), language_model.DIM))
+        vector = np.append((model.inputs[context[0]] * model.places).sum(axis=0), 1).astype(float)
+        want = np.empty(908)
+        soft = lambda rows: (rows @ vector) - np.logaddexp.reduce(rows @ vector)
+        for i, r in enumerate(model.rank):
+            if r < language_model.SHORT:
+                want[i] = soft(model.heads)[r]
+                continue
+            leaf = r - language_model.SHORT
+            sub = leaf // model.leaf
+            group = sub // model.wide
+            a, b = group * model.wide, sub * model.leaf
+            want[i] = soft(model.heads)[language_model.SHORT + group]
+            want[i] += soft(model.middle[a : a + model.wide])[sub - a] + soft(model.outputs[b : b + model.leaf])[leaf - b]
+        assert model.log_probabilities(np.arange(908), context) == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
+def test_language_model_shares_the_vectors_of_contexts():
+    rng = np.random.default_rng(2)
+    model = language_model.initial(np.sort(rng.integers(0, 1 << 63, 900).astype(np.uint64)), rng.random(908))
+    seen = rng.integers(0, 908, 400)
+    at = np.arange(language_model.CONTEXT, 400)
+    places = at[:, None] - 1 - np.arange(language_model.CONTEXT)
+    one, other = language_model.Trainer(model, 1), language_model.Trainer(model, 1)
+    one.tokens(seen[at], seen, places)
+    other.batch(seen[at], seen[places])
+    for x, y, t, u in zip(one.m.parts(), other.m.parts(), one.times, other.times):
+        assert x == pytest.approx(y, abs=1e-4) and (t == u).all()
+
+
+def test_language_model_averages_copies_a_few_at_a_time(spark, monkeypatch):
+    df = spark.createDataFrame([(text(200, i),) for i in range(80)], "text string").repartition(8)
+    monkeypatch.setattr(language_model, "COPY", 800)  # five copies
+    whole = language_model.LanguageModel(df).model
+    monkeypatch.setattr(language_model, "FAN", 2)
+    tree = language_model.LanguageModel(df).model
+    start = language_model.initial(whole.short, whole.share)
+    for x, y, z in zip(whole.parts(), tree.parts(), start.parts()):
+        if x.size:  # changes travel in half precision
+            assert np.abs(x - y).max() < 0.05 * np.abs(x - z).max()
+
+
 # 3 url filter ---------------------------------------------------------------------
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
