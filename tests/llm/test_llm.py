@@ -232,7 +232,7 @@ def test_language_model_shares_the_vectors_of_contexts():
     at = np.arange(language_model.CONTEXT, 400)
     places = at[:, None] - 1 - np.arange(language_model.CONTEXT)
     one, other = language_model.Trainer(model, 1), language_model.Trainer(model, 1)
-    one.tokens(seen[at], seen, places)
+    one.tokens(seen, at)
     other.batch(seen[at], seen[places])
     for x, y, t, u in zip(one.m.parts(), other.m.parts(), one.times, other.times):
         assert x == pytest.approx(y, abs=1e-4) and (t == u).all()
