@@ -103,6 +103,37 @@ def overlap_count(items_a: Column, items_b: Column) -> Column:
     )
 
 
+def runs(items: Column) -> Column:
+    """The different items in order, each with its count: an array of (item, n)."""
+
+    def told(ordered: Column) -> Column:
+        starts = F.array_compact(F.transform(ordered, lambda x, i: F.when(~x.eqNullSafe(F.get(ordered, i - 1)), i)))
+
+        def numbered(at: Column) -> Column:
+            ends = F.slice(at, F.lit(2), F.size(at))
+            return F.zip_with(
+                at, ends, lambda i, j: F.struct(F.get(ordered, i).alias("item"), (F.coalesce(j, F.size(ordered)) - i).alias("n"))
+            )
+
+        return bind(starts, numbered)
+
+    return bind(F.sort_array(items), told)
+
+
+def runs_overlap(runs_a: Column, runs_b: Column) -> Column:
+    """Size of the multiset intersection of two arrays, from their runs: linear but for a sort.
+
+    An item of both sides stands twice in the runs together, the smaller count first.
+    """
+    start = F.struct(F.lit(None).cast("string").alias("item"), F.lit(0).alias("n"), F.lit(0).alias("hits"))
+
+    def step(seen: Column, x: Column) -> Column:
+        hits = seen["hits"] + F.when(seen["item"] == x["item"], seen["n"]).otherwise(0)
+        return F.struct(x["item"].alias("item"), x["n"].alias("n"), hits.alias("hits"))
+
+    return F.aggregate(F.sort_array(F.concat(runs_a, runs_b)), start, step, lambda seen: seen["hits"])
+
+
 def f1_from_sizes(overlap: Column, size_a: Column, size_b: Column) -> Column:
     """2PR / (P + R) of an overlap count, which is 2 * overlap / (a + b)."""
     return F.lit(2.0) * overlap / F.greatest(size_a + size_b, F.lit(1)).cast("double")
